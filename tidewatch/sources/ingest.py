@@ -23,16 +23,21 @@ READERS = {"csv": read_csv, "json": read_json, "syslog": read_syslog}
 
 
 def read_files(spark: SparkSession, paths: list[str], default_year: int, format: str | None = None) -> DataFrame:
-    """All records of the files. Without ``format`` it follows the suffix, then the first line."""
+    """All records of the files.
+
+    Without ``format`` it follows the suffix, and for other suffixes the first line.
+    "auto" looks at the first line of every file.
+    """
     groups: dict[str, list[str]] = {}
-    if format is not None:
-        groups[format] = list(paths)
-    else:
-        unknown = [path for path in paths if suffix_of(path) not in SUFFIX_FORMATS]
-        heads = first_lines(spark, unknown)
-        for path in paths:
-            kind = SUFFIX_FORMATS.get(suffix_of(path)) or detect_format(heads.get(path, ""))
+    unknown = []
+    for path in paths:
+        kind = format or SUFFIX_FORMATS.get(suffix_of(path), "auto")
+        if kind == "auto":
+            unknown.append(path)
+        else:
             groups.setdefault(kind, []).append(path)
+    for path, line in first_lines(spark, unknown).items():
+        groups.setdefault(detect_format(line), []).append(path)
     if not groups:
         return spark.createDataFrame([], PARSED_DDL)
     return reduce(DataFrame.unionByName, [READERS[kind](spark, files, default_year) for kind, files in groups.items()])

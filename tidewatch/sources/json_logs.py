@@ -45,14 +45,19 @@ def _clean(column: str) -> Column:
     return F.trim(F.regexp_replace(column, "^﻿", ""))
 
 
+def _lower_keys(entries: Column) -> Column:
+    """A map with lower-case keys; of keys that become equal the last one counts."""
+    lowered = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    keys = F.transform(lowered, lambda e: e["key"])
+    last = F.filter(lowered, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), lowered).otherwise(last))
+
+
 def records(rows: DataFrame, default_year: int) -> DataFrame:
     """Parsed columns of rows that carry ``record`` (a variant) and ``value`` (its text)."""
-    is_object = F.schema_of_variant("record").startswith("OBJECT")
-    fields = F.when(is_object, F.col("record")).cast("map<string,variant>")
-    # Equal names after lower-casing: the last one counts.
-    entries = F.map_from_entries(F.transform(
-        F.map_entries(fields), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))
-    ))
+    # Only objects are records; the text of a variant object starts with a brace.
+    fields = F.when(F.ltrim("value").startswith("{"), F.col("record")).cast("map<string,variant>")
+    entries = _lower_keys(F.map_entries(fields))
     rows = rows.withColumn("m", entries)
 
     def pick(field: str) -> Column:

@@ -59,48 +59,56 @@ PARSED_COLUMNS = [
     "status", "source_file", "source_block", "source_row",
 ]
 
-# Accepted time stamp layouts. Fractions and a trailing Z are handled apart.
-DAY_TIME_FORMATS = ["yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s", "yyyy/M/d H:m:s", "d/MMM/yyyy:H:m:s"]
-YEARLESS_FORMAT = "yyyy MMM d H:m:s"
+# Month abbreviations in order.
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+CLOCK = r"\d{1,2}:\d{1,2}:\d{1,2}"
+DAY_TIME = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}( {CLOCK}(\.\d{{1,6}})?|T{CLOCK}(\.\d{{1,6}})?Z?)$"
+SLASH_DAY_TIME = rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}} {CLOCK}$"
+YEARLESS = rf"^([A-Za-z]{{3}}) (\d{{1,2}}) ({CLOCK})$"
+NAMED_MONTH = rf"^(\d{{1,2}})/([A-Za-z]{{3}})/(\d{{4}}):({CLOCK})$"
+ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
+ISO_HOUR = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}$"
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
 
 
 def parse_timestamp(text: Column, default_year: int) -> Column:
     """TIMESTAMP_NTZ of a time stamp in any accepted layout, else null.
 
-    A stamp without a year gets ``default_year``; an offset other than UTC is converted
-    to UTC.
+    Every layout is brought into ISO form as text and cast once, so the session time zone
+    plays no part. A stamp without a year gets ``default_year``; an offset other than UTC
+    is converted to UTC.
     """
-    stamp = F.trim(text)
-    fraction = F.regexp_extract(stamp, r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}:\d{1,2}\.(\d{1,6})Z?$", 1)
-    whole = F.when(fraction != "", F.regexp_replace(stamp, r"\.\d{1,6}Z?$", "")).otherwise(
-        F.regexp_replace(stamp, r"^(\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2})Z$", "$1")
-    )
-    named_month = F.initcap(F.regexp_replace(stamp, r"\s+", " "))
-    tries = [F.try_to_timestamp(whole, F.lit(f)) for f in DAY_TIME_FORMATS[:3]]
-    tries.append(F.try_to_timestamp(F.regexp_replace(stamp, r"\s+", " "), F.lit(DAY_TIME_FORMATS[3])))
-    tries.append(F.try_to_timestamp(F.concat(F.lit(f"{default_year} "), named_month), F.lit(YEARLESS_FORMAT)))
-    # Rendering and reading back as NTZ removes the session time zone from the result.
-    wall = F.date_format(F.coalesce(*tries), "yyyy-MM-dd HH:mm:ss").try_cast("timestamp_ntz")
-    micros = F.rpad(fraction, 6, "0").try_cast("bigint")
-    exact = F.when(
-        fraction != "", wall + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (micros / 1_000_000).cast("decimal(18,6)"))
-    ).otherwise(wall)
-    return F.coalesce(exact, _iso_timestamp(stamp))
-
-
-def _iso_timestamp(stamp: Column) -> Column:
-    """The ISO 8601 rest: dates without time, minutes only, offsets."""
+    stamp = F.regexp_replace(F.trim(text), r"\s+", " ")
+
+    def part(pattern: str, number: int) -> Column:
+        return F.regexp_extract(stamp, pattern, number)
+
+    def month(name: Column) -> Column:
+        place = F.position(F.initcap(name), F.lit(MONTHS))
+        return F.when(place % 3 == 1, F.floor((place + 2) / 3).cast("string"))
+
     bare = F.regexp_replace(F.regexp_replace(stamp, "Z", "+00:00"), r"\+00:00", "")
-    iso = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d{1,6})?)?)?)?$"), bare)
-    padded = F.when(iso.rlike(r"[T ]\d{2}$"), F.concat(iso, F.lit(":00"))).otherwise(iso)
-    offset = F.regexp_extract(bare, r"^\d{4}-\d{2}-\d{2}[T ].*([+-]\d{2}:\d{2})$", 1)
-    sign = F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1)
-    shift = sign * (
-        F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 5, 2).try_cast("int")
+    iso = (
+        F.when(stamp.rlike(DAY_TIME), F.rtrim(stamp, F.lit("Z")))
+        .when(stamp.rlike(SLASH_DAY_TIME), F.replace(stamp, F.lit("/"), F.lit("-")))
+        .when(stamp.rlike(YEARLESS), F.concat(
+            F.lit(f"{default_year}-"), month(part(YEARLESS, 1)), F.lit("-"), part(YEARLESS, 2), F.lit(" "),
+            part(YEARLESS, 3)))
+        .when(stamp.rlike(NAMED_MONTH), F.concat(
+            part(NAMED_MONTH, 3), F.lit("-"), month(part(NAMED_MONTH, 2)), F.lit("-"), part(NAMED_MONTH, 1),
+            F.lit(" "), part(NAMED_MONTH, 4)))
+        .when(bare.rlike(ISO_HOUR), F.concat(bare, F.lit(":00")))
+        .when(bare.rlike(ISO_DAY) | bare.rlike(ISO_TIME + "$"), bare)
     )
+    with_offset = bare.rlike(ISO_TIME + r"[+-]\d{2}:\d{2}$")
+    minutes = F.right(bare, F.lit(5))
+    shift = F.substring(minutes, 1, 2).cast("int") * 60 + F.substring(minutes, 4, 2).cast("int")
+    east = F.when(bare.rlike(r"\+\d{2}:\d{2}$"), 1).otherwise(-1)
     local = F.regexp_replace(bare, r"[+-]\d{2}:\d{2}$", "").try_cast("timestamp_ntz")
-    shifted = local - F.make_dt_interval(F.lit(0), F.lit(0), shift, F.lit(0).cast("decimal(18,6)"))
-    return F.coalesce(padded.try_cast("timestamp_ntz"), F.when(offset != "", shifted))
+    zero = F.lit(0)
+    to_utc = local - F.make_dt_interval(zero, zero, shift * east, zero.cast("decimal(18,6)"))
+    return F.coalesce(iso.try_cast("timestamp_ntz"), F.when(with_offset, to_utc))
 
 
 def place_columns() -> list[Column]:
