@@ -225,7 +225,7 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
     # Alerts of one key at one moment: only the first can be kept.
     heads = durable(
         keyed.groupBy("_key", "_t").agg(
-            F.min_by(F.struct(*alerts.columns), F.struct(*DEDUP_TIE_ORDER)).alias("alert")
+            F.min_by(F.struct(*alerts.columns), F.struct(*DEDUP_TIE_ORDER)).alias("_alert")
         ),
         "alert-heads",
     )
@@ -233,8 +233,8 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
         "_key",
         F.explode(F.expr(
             f"array(struct(_t AS t, 0 AS phase, 1L AS step), struct(_t + {window_us}L AS t, 1 AS phase, -1L AS step))"
-        )).alias("c"),
-    ).select("_key", "c.*").withColumn("arrives", F.when(F.col("phase") == 0, F.col("t")))
+        )).alias("_c"),
+    ).select("_key", "_c.*").withColumn("arrives", F.when(F.col("phase") == 0, F.col("t")))
     swept = running(
         cut_into_chunks(steps, ["_key"], ["t", "phase"], chunks), ["_key"], ["t", "phase"],
         {"active": "step"}, {"next_t": "arrives"},
@@ -255,7 +255,7 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
             links.join(further, ["_key", "next_t"]).select("_key", "_t", F.col("after_t").alias("next_t")),
             "alert-links",
         )
-    return heads.join(reached, ["_key", "_t"], "left_semi").select("alert.*")
+    return heads.join(reached, ["_key", "_t"], "left_semi").select("_alert.*")
 
 
 def at_least(alerts: DataFrame, severity: str) -> DataFrame:

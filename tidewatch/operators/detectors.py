@@ -165,12 +165,12 @@ def anomaly(flows: DataFrame, sensitivity: str = "medium", z_score_threshold: fl
     overall = counts.agg(F.struct(
         F.avg("event_count").alias("mean"), F.stddev_pop("event_count").alias("std"),
         F.count("*").alias("sources"), F.sum("event_count").alias("events"), F.min("_first").alias("first_ts"),
-    ).alias("o"))
-    scored = counts.withColumn("o", overall.scalar()).where(
-        "o.events >= 10 AND o.sources >= 3 AND o.std > 0"
-    ).withColumn("z_score", (F.col("event_count") - F.col("o.mean")) / F.col("o.std"))
+    ).alias("_o"))
+    scored = counts.withColumn("_o", overall.scalar()).where(
+        "_o.events >= 10 AND _o.sources >= 3 AND _o.std > 0"
+    ).withColumn("z_score", (F.col("event_count") - F.col("_o.mean")) / F.col("_o.std"))
     return scored.where(F.col("z_score") > threshold).select(
-        F.col("o.first_ts").alias("ts"), "src_ip", "event_count", "z_score",
+        F.col("_o.first_ts").alias("ts"), "src_ip", "event_count", "z_score",
         F.when(F.col("z_score") < 4, "MEDIUM").otherwise("HIGH").alias("severity"),
-        F.col("o.mean").alias("mean_events"), F.col("o.std").alias("std_events"), "total_bytes",
+        F.col("_o.mean").alias("mean_events"), F.col("_o.std").alias("std_events"), "total_bytes",
     )

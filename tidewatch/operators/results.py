@@ -72,9 +72,9 @@ def exec_summary(flows: DataFrame, alerts: DataFrame, files: int = 1) -> DataFra
         F.count_distinct("category").alias("categories"),
         F.concat_ws(", ", F.array_sort(F.collect_set(F.when(critical, F.col("category"))))).alias("critical_names"),
         _score().alias("risk_score"),
-    ).alias("a"))
+    ).alias("_a"))
     seen = flows.agg(F.count("*").alias("total_events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    row = seen.withColumn("a", found.scalar()).select("total_events", "first_ts", "last_ts", "a.*")
+    row = seen.withColumn("_a", found.scalar()).select("total_events", "first_ts", "last_ts", "_a.*")
     row = row.withColumn("risk_level", risk_level(F.col("risk_score"))).withColumn(
         "hours", (micros(F.col("last_ts")) - micros(F.col("first_ts"))) / (3600 * MICROS)
     )

@@ -78,8 +78,8 @@ def _row_steps(picked: DataFrame, keys: list[str], window_us: int) -> DataFrame:
     step = "struct({t} AS t, {phase} AS phase, {fire} AS fire, {dn}L AS dn, {ds} AS ds)"
     add = step.format(t="t", phase=0, fire="fire", dn=1, ds="v")
     remove = step.format(t=f"t + {window_us}L", phase=1, fire="false", dn=-1, ds="-v")
-    return picked.select(*keys, "eid", F.expr(f"explode(array({add}, {remove}))").alias("c")).select(
-        *keys, "c.t", "c.phase", "eid", F.lit(1).alias("sub"), "c.fire", "c.dn", "c.ds",
+    return picked.select(*keys, "eid", F.expr(f"explode(array({add}, {remove}))").alias("_c")).select(
+        *keys, "_c.t", "_c.phase", "eid", F.lit(1).alias("sub"), "_c.fire", "_c.dn", "_c.ds",
         F.lit(0).cast("bigint").alias("dd"),
     )
 
@@ -105,11 +105,11 @@ def _distinct_steps(picked: DataFrame, keys: list[str], window_us: int) -> DataF
                               F.lit(False).alias("fire"), F.lit(-1).cast("bigint").alias("dd"))).otherwise(none),
     )
     zero = F.lit(0).cast("bigint")
-    return edges.select(*keys, F.col("first.eid").alias("eid"), F.explode(steps).alias("c")).where(
-        "c IS NOT NULL"
+    return edges.select(*keys, F.col("first.eid").alias("eid"), F.explode(steps).alias("_c")).where(
+        "_c IS NOT NULL"
     ).select(
-        *keys, "c.t", "c.phase", "eid", F.lit(0).alias("sub"), "c.fire",
-        zero.alias("dn"), zero.alias("ds"), F.col("c.dd").alias("dd"),
+        *keys, "_c.t", "_c.phase", "eid", F.lit(0).alias("sub"), "_c.fire",
+        zero.alias("dn"), zero.alias("ds"), F.col("_c.dd").alias("dd"),
     )
 
 
@@ -155,8 +155,8 @@ def first_hits(
     start = (F.col("next_leaves") - window_us) if count_rows else F.lit(None).cast("bigint")
     hits = (
         reading.withColumn("start", start).where(fires())
-        .groupBy(*keys).agg(F.min(F.struct("t", "eid", "n", "s", "d", "start")).alias("h"))
-        .select(*keys, "h.*")
+        .groupBy(*keys).agg(F.min(F.struct("t", "eid", "n", "s", "d", "start")).alias("_h"))
+        .select(*keys, "_h.*")
     )
     return hits, picked
 

@@ -21,9 +21,9 @@ def ip_first_seen(flows: DataFrame, feeds: DataFrame, kind: str) -> DataFrame:
 
     ends = flows.select(
         "ts", "event_id", "src_ip", "dst_ip", "dst_port",
-        F.explode(F.array(role("src_ip", 0), role("dst_ip", 1))).alias("end"),
-    ).select("ts", "event_id", "src_ip", "dst_ip", "dst_port", "end.*")
-    sighting = F.min(F.struct("ts", "event_id", "role_no", "src_ip", "dst_ip", "dst_port")).alias("f")
+        F.explode(F.array(role("src_ip", 0), role("dst_ip", 1))).alias("_end"),
+    ).select("ts", "event_id", "src_ip", "dst_ip", "dst_port", "_end.*")
+    sighting = F.min(F.struct("ts", "event_id", "role_no", "src_ip", "dst_ip", "dst_port")).alias("_f")
     is_listed = F.lower("ip") == F.col("indicator")
     if has_at_most(listed, BROADCAST_ROWS):
         first = ends.join(F.broadcast(listed), is_listed, "left_semi").groupBy("ip").agg(sighting)
@@ -31,8 +31,8 @@ def ip_first_seen(flows: DataFrame, feeds: DataFrame, kind: str) -> DataFrame:
         # A large feed meets one row per address, so no busy address is shuffled row by row.
         first = ends.groupBy("ip").agg(sighting).join(listed, is_listed, "left_semi")
     return first.select(
-        "f.ts", "ip", F.when(F.col("f.role_no") == 0, "source").otherwise("destination").alias("direction"),
-        "f.src_ip", "f.dst_ip", "f.dst_port", "f.event_id", "f.role_no",
+        "_f.ts", "ip", F.when(F.col("_f.role_no") == 0, "source").otherwise("destination").alias("direction"),
+        "_f.src_ip", "_f.dst_ip", "_f.dst_port", "_f.event_id", "_f.role_no",
     )
 
 

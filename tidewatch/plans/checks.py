@@ -200,8 +200,8 @@ def parse_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.array(*[
         F.struct(F.lit(i).alias("layout"), F.date_format("ts", form).alias("text")) for i, form in enumerate(LAYOUTS)
     ])
-    rows = flows_of(spark, sf_dir).select("event_id", F.explode(texts).alias("x")).select("event_id", "x.*")
-    return rows.select("event_id", "layout", layout.parse_timestamp(F.col("text"), YEAR).alias("ts"))
+    rows = flows_of(spark, sf_dir).select("event_id", F.explode(texts).alias("entry")).select("event_id", "entry.*")
+    return rows.select("event_id", "layout", layout.parse_timestamp(layout.plain_stamp(F.col("text")), YEAR).alias("ts"))
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:

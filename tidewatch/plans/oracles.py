@@ -89,7 +89,7 @@ DDOS = """
 , dh AS (SELECT * FROM df WHERE rate >= 0.0005 AND d >= 5 QUALIFY row_number() OVER (PARTITION BY dst_ip ORDER BY ts) = 1)
 , dr AS (SELECT h.dst_ip, r.src_ip, r.bytes_sent + r.bytes_received AS b FROM f r JOIN dh h
          ON r.dst_ip = h.dst_ip AND r.ts BETWEEN h.start_ts AND h.ts)
-, dt AS (SELECT dst_ip, src_ip, count(*) AS c FROM dr GROUP BY ALL
+, dt AS (SELECT dst_ip, src_ip, count(*) AS c FROM dr GROUP BY dst_ip, src_ip
          QUALIFY row_number() OVER (PARTITION BY dst_ip ORDER BY count(*) DESC, src_ip) <= 10)
 , ds AS (SELECT dst_ip, string_agg(concat(src_ip, ':', CAST(c AS VARCHAR)), ',' ORDER BY c DESC, src_ip) AS top_sources
          FROM dt GROUP BY dst_ip)
@@ -304,10 +304,10 @@ ORACLES: dict[str, str] = {
         FROM a GROUP BY ALL""",
     "risk_score": f"""{ALERTS}, s AS (SELECT {SCORE} AS risk_score FROM a)
         SELECT risk_score, {LEVEL} AS risk_level FROM s""",
-    "recommendations": f"""{ALERTS}, r AS (SELECT * FROM (VALUES {_ADVICE}) v(place, category, recommendation)
+    "recommendations": f"""{ALERTS}, rec AS (SELECT * FROM (VALUES {_ADVICE}) v(place, category, recommendation)
         WHERE category IN (SELECT category FROM a))
-        SELECT CAST(place AS INT) AS place, category, recommendation FROM r
-        UNION ALL SELECT 1, NULL, '{NO_ADVICE}' WHERE NOT EXISTS (SELECT 1 FROM r)""",
+        SELECT CAST(place AS INT) AS place, category, recommendation FROM rec
+        UNION ALL SELECT 1, NULL, '{NO_ADVICE}' WHERE NOT EXISTS (SELECT 1 FROM rec)""",
     "exec_summary": f"""{ALERTS}, s AS (SELECT count(*) AS alerts, count(*) FILTER (severity = 'CRITICAL') AS critical,
         count(*) FILTER (severity = 'HIGH') AS high, count(DISTINCT category) AS categories,
         coalesce(array_to_string(list_sort(list(DISTINCT category) FILTER (severity = 'CRITICAL')), ', '), '')

@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 from tidewatch.operators.alerts import by_severity
 
 
+# Text formats keep whole microseconds.
+EXACT_TIME = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def write_alerts(alerts: DataFrame, path: str, format: str = "json", mode: str = "errorifexists") -> None:
     """Alerts by day below ``alerts``, and their counts below ``metadata``."""
-    alerts.withColumn("date", F.to_date("ts")).write.mode(mode).partitionBy("date").format(format).save(f"{path}/alerts")
+    alerts.withColumn("date", F.to_date("ts")).write.mode(mode).partitionBy("date").format(format).options(**EXACT_TIME).save(f"{path}/alerts")
     by_severity(alerts).write.mode(mode).format("json").save(f"{path}/metadata")
 
 
 def write_report(tables: dict[str, DataFrame], path: str, format: str = "json", mode: str = "errorifexists") -> None:
     """Each report table as a dataset of its own."""
     for name, table in tables.items():
-        table.write.mode(mode).format(format).save(f"{path}/{name}")
+        table.write.mode(mode).format(format).options(**EXACT_TIME).save(f"{path}/{name}")

@@ -57,41 +57,30 @@ def _read_group(spark: SparkSession, files: list[str], names: list[str], default
     }
     found = raw.select(
         *[_first_text(places).alias(f"f_{field}") for field, places in fields.items()],
+        lo.plain_stamp(_first_text(fields["timestamp"])).alias("stamp"),
         _misses_a_column(fields).alias("too_short"),
         F.to_json(F.struct(*[F.col(f"c{i}").alias(name) for name, i in position.items()])).alias("raw_log"),
         *lo.place_columns(),
     )
-    ts = lo.parse_timestamp(F.col("f_timestamp"), default_year)
-    numbers = {
-        field: F.trim(F.col(f"f_{field}")).try_cast(kind) for field, (kind, _) in lo.NUMBER_DEFAULTS.items()
-    }
+    number_types = lo.NUMBER_DEFAULTS.items()
+    parsed = lo.computed_once(found, [
+        "*", lo.parse_timestamp(F.col("stamp"), default_year).alias("ts"),
+        *[F.trim(f"f_{field}").try_cast(kind).alias(f"n_{field}") for field, (kind, _) in number_types],
+    ])
     bad_number = reduce(
         lambda a, b: a | b,
-        [F.col(f"f_{field}").isNotNull() & number.isNull() for field, number in numbers.items()],
+        [F.col(f"f_{field}").isNotNull() & F.col(f"n_{field}").isNull() for field in lo.NUMBER_DEFAULTS],
     )
-    return found.select(
-        ts.alias("ts"), *typed_fields(numbers), F.col("raw_log"),
+    return parsed.select(
+        "ts", *lo.text_fields(), *lo.number_fields(), F.lit(None).cast("int").alias("status_code"), "raw_log",
         F.create_map().cast("map<string,string>").alias("metadata"),
         # A record that ends before a column it needs is an error, even without a time stamp.
-        F.when(F.col("too_short.ts"), lo.REJECTED).when(ts.isNull(), lo.SKIPPED)
+        F.when(F.col("too_short.ts"), lo.REJECTED).when(F.col("ts").isNull(), lo.SKIPPED)
         .when(F.col("too_short.any") | bad_number, lo.REJECTED).otherwise(lo.ACCEPTED).alias("status"),
         "source_file", "source_block", "source_row",
     ).select(lo.PARSED_COLUMNS)
 
 
-def typed_fields(numbers: dict[str, Column]) -> list[Column]:
-    """Text fields with case rules and defaults, number fields with defaults."""
-    columns = []
-    for field, default in lo.TEXT_DEFAULTS.items():
-        text = F.coalesce(F.col(f"f_{field}"), F.lit(default))
-        text = F.upper(text) if field in lo.UPPER else F.lower(text) if field in lo.LOWER else text
-        columns.append(text.alias(field))
-    for field, (kind, default) in lo.NUMBER_DEFAULTS.items():
-        columns.append(F.coalesce(numbers[field], F.lit(default).cast(kind)).alias(field))
-    columns.append(F.lit(None).cast("int").alias("status_code"))
-    return columns
-
-
 def _text(place: int) -> Column:
     value = F.trim(f"c{place}")
     return F.when(value != "", value)

@@ -58,7 +58,7 @@ def records(rows: DataFrame, default_year: int) -> DataFrame:
     # Only objects are records; the text of a variant object starts with a brace.
     fields = F.when(F.ltrim("value").startswith("{"), F.col("record")).cast("map<string,variant>")
     entries = _lower_keys(F.map_entries(fields))
-    rows = rows.withColumn("m", entries)
+    rows = lo.computed_once(rows, ["value", "source_file", "source_block", "source_row", entries.alias("m")])
 
     def pick(field: str) -> Column:
         # The first name that is present counts, even if its value is null.
@@ -77,31 +77,24 @@ def records(rows: DataFrame, default_year: int) -> DataFrame:
         value = text(F.element_at("m", name))
         return F.when(~value.isin("", "0", "false"), value)
 
-    stamp = F.coalesce(*[truthy(name) for name in lo.JSON_NAMES["timestamp"]])
-    rows = rows.select(
+    number_types = lo.NUMBER_DEFAULTS.items()
+    found = rows.select(
         "value", "source_file", "source_block", F.col("source_row").cast("bigint").alias("source_row"),
-        F.col("record").isNotNull().alias("is_json"), F.col("m").isNotNull().alias("is_record"),
-        stamp.alias("f_timestamp"),
+        F.col("m").isNotNull().alias("is_record"),
+        lo.plain_stamp(F.coalesce(*[truthy(name) for name in lo.JSON_NAMES["timestamp"]])).alias("stamp"),
         *[text(pick(field)).alias(f"f_{field}") for field in lo.TEXT_DEFAULTS],
-        *[F.try_variant_get(pick(field), "$", kind).alias(f"n_{field}") for field, (kind, _) in lo.NUMBER_DEFAULTS.items()],
+        *[F.try_variant_get(pick(field), "$", kind).alias(f"n_{field}") for field, (kind, _) in number_types],
         *[present(field).alias(f"p_{field}") for field in lo.NUMBER_DEFAULTS],
         F.coalesce(*[truthy(n) for n in lo.JSON_NAMES["status_code"]]).try_cast("int").alias("status_code"),
     )
-    ts = lo.parse_timestamp(F.col("f_timestamp"), default_year)
+    parsed = lo.computed_once(found, ["*", lo.parse_timestamp(F.col("stamp"), default_year).alias("ts")])
     bad_number = reduce(
         lambda a, b: a | b, [F.col(f"p_{f}") & F.col(f"n_{f}").isNull() for f in lo.NUMBER_DEFAULTS]
     )
-    columns = []
-    for field, default in lo.TEXT_DEFAULTS.items():
-        value = F.coalesce(F.col(f"f_{field}"), F.lit(default))
-        value = F.upper(value) if field in lo.UPPER else F.lower(value) if field in lo.LOWER else value
-        columns.append(value.alias(field))
-    for field, (kind, default) in lo.NUMBER_DEFAULTS.items():
-        columns.append(F.coalesce(f"n_{field}", F.lit(default).cast(kind)).alias(field))
-    return rows.select(
-        ts.alias("ts"), *columns, "status_code", F.col("value").alias("raw_log"),
+    return parsed.select(
+        "ts", *lo.text_fields(), *lo.number_fields(), "status_code", F.col("value").alias("raw_log"),
         F.create_map().cast("map<string,string>").alias("metadata"),
-        F.when(~F.col("is_record"), lo.REJECTED).when(ts.isNull(), lo.SKIPPED)
+        F.when(~F.col("is_record"), lo.REJECTED).when(F.col("ts").isNull(), lo.SKIPPED)
         .when(bad_number, lo.REJECTED).otherwise(lo.ACCEPTED).alias("status"),
         "source_file", "source_block", "source_row",
     ).select(lo.PARSED_COLUMNS)

@@ -1,6 +1,6 @@
 """Which names a field may have in the input, and how text becomes typed columns."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of each field in CSV headers, by priority.
@@ -72,14 +72,17 @@ ISO_HOUR = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}$"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
 
 
-def parse_timestamp(text: Column, default_year: int) -> Column:
-    """TIMESTAMP_NTZ of a time stamp in any accepted layout, else null.
+def plain_stamp(text: Column) -> Column:
+    return F.regexp_replace(F.trim(text), r"\s+", " ")
+
+
+def parse_timestamp(stamp: Column, default_year: int) -> Column:
+    """TIMESTAMP_NTZ of a ``plain_stamp`` in any accepted layout, else null.
 
     Every layout is brought into ISO form as text and cast once, so the session time zone
     plays no part. A stamp without a year gets ``default_year``; an offset other than UTC
     is converted to UTC.
     """
-    stamp = F.regexp_replace(F.trim(text), r"\s+", " ")
 
     def part(pattern: str, number: int) -> Column:
         return F.regexp_extract(stamp, pattern, number)
@@ -111,6 +114,33 @@ def parse_timestamp(text: Column, default_year: int) -> Column:
     return F.coalesce(iso.try_cast("timestamp_ntz"), F.when(with_offset, to_utc))
 
 
+def text_fields() -> list[Column]:
+    """f_ columns as text fields, with case rules and defaults."""
+    columns = []
+    for field, default in TEXT_DEFAULTS.items():
+        text = F.coalesce(f"f_{field}", F.lit(default))
+        text = F.upper(text) if field in UPPER else F.lower(text) if field in LOWER else text
+        columns.append(text.alias(field))
+    return columns
+
+
+def number_fields() -> list[Column]:
+    """n_ columns as number fields, with defaults."""
+    return [
+        F.coalesce(f"n_{field}", F.lit(default).cast(kind)).alias(field)
+        for field, (kind, default) in NUMBER_DEFAULTS.items()
+    ]
+
+
+def computed_once(rows: DataFrame, columns: list[Column | str]) -> DataFrame:
+    """Select ``columns`` so that later filters and projections do not repeat their work.
+
+    The optimizer copies expressions into every filter above them; it does not do so
+    across a generator.
+    """
+    return rows.select(F.explode(F.array(F.struct(*columns))).alias("_r")).select("_r.*")
+
+
 def place_columns() -> list[Column]:
     """Where a record stands: file, block start and a number that grows within the block."""
     return [

@@ -31,9 +31,9 @@ def tumbling_totals(flows: DataFrame, width: str = "1 hour", delay: str = "10 mi
     """Events and bytes per time window and protocol; state older than ``delay`` is dropped."""
     stamped = flows.withColumn("event_time", F.to_timestamp("ts"))
     totals = stamped.withWatermark("event_time", delay).groupBy(
-        F.window("event_time", width).alias("w"), "protocol"
+        F.window("event_time", width).alias("_w"), "protocol"
     ).agg(F.count("*").alias("events"), F.sum(net.total_bytes()).alias("bytes"))
-    return totals.select(F.to_timestamp_ntz("w.start").alias("window_start"), "protocol", "events", "bytes")
+    return totals.select(F.to_timestamp_ntz("_w.start").alias("window_start"), "protocol", "events", "bytes")
 
 
 def run_available(stream: DataFrame, output: str, mode: str = "append", checkpoint: str | None = None) -> StreamingQuery:
