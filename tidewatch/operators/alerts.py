@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.durable import durable
 from tidewatch.functions import network as net
 from tidewatch.functions.clock import micros, window_micros
-from tidewatch.operators.scan import cut_into_chunks, running
+from tidewatch.operators.scan import chunked_if_large, running
 from tidewatch.schema import ALERT_COLUMNS, SEVERITIES, severity_rank
 
 # The advice that goes with each kind of alert.
@@ -235,10 +235,9 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
             f"array(struct(_t AS t, 0 AS phase, 1L AS step), struct(_t + {window_us}L AS t, 1 AS phase, -1L AS step))"
         )).alias("_c"),
     ).select("_key", "_c.*").withColumn("arrives", F.when(F.col("phase") == 0, F.col("t")))
-    swept = running(
-        cut_into_chunks(steps, ["_key"], ["t", "phase"], chunks), ["_key"], ["t", "phase"],
-        {"active": "step"}, {"next_t": "arrives"},
-    )
+    order = ["t", "phase"]
+    steps = chunked_if_large(steps, heads.count(), ["_key"], order, chunks)
+    swept = running(steps, ["_key"], order, {"active": "step"}, {"next_t": "arrives"})
     roots = swept.where("phase = 0 AND active = 1").select("_key", F.col("t").alias("_t"))
     links = swept.where("phase = 1 AND next_t IS NOT NULL").select(
         "_key", (F.col("t") - window_us).alias("_t"), "next_t"

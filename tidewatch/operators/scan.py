@@ -14,6 +14,18 @@ from tidewatch.durable import durable
 
 CHUNK = "chunk"
 
+# A table with at most this many rows needs no chunks: not even one key that holds all of
+# them is too much for a task.
+ONE_TASK_ROWS = 1_000_000
+
+
+def chunked_if_large(df: DataFrame, source_rows: int, keys: list[str], order: list[str],
+                     chunks: int | None = None) -> DataFrame:
+    """``cut_into_chunks`` unless the table ``df`` comes from is small (or ``chunks`` is given)."""
+    if chunks is None and source_rows <= ONE_TASK_ROWS:
+        return df
+    return cut_into_chunks(df, keys, order, chunks)
+
 
 def cut_into_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
     """Tag each row with the chunk it falls into; chunks are contiguous in (keys, order).
@@ -33,14 +45,14 @@ def running(
     totals: dict[str, str],
     upcoming: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add running sums and look-ahead minima to the result of ``cut_into_chunks``.
+    """Add running sums and look-ahead minima to the result of ``chunked_if_large``.
 
     ``totals`` maps a new column to the column whose sum up to and including the row it
     holds. ``upcoming`` maps a new column to the column whose minimum over the rows
     strictly after this one it holds (nulls are ignored).
     """
     upcoming = upcoming or {}
-    one_chunk = len(chunked.inputFiles()) <= 1
+    one_chunk = CHUNK not in chunked.columns
     group = list(keys) if one_chunk else [CHUNK, *keys]
     forward = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     backward = (
@@ -84,23 +96,3 @@ def running(
         *[(F.col(n) + F.coalesce(F.col(f"_carry_{n}"), F.lit(0))).alias(n) for n in totals],
         *[F.least(F.col(n), F.col(f"_carry_{n}")).alias(n) for n in upcoming],
     )
-
-
-def number_rows(df: DataFrame, order: list[str], name: str, chunks: int | None = None) -> DataFrame:
-    """Consecutive numbers 0.. in the given order, without sorting everything in one task."""
-    chunked = cut_into_chunks(df.withColumn("_one", F.lit(1).cast("bigint")), [], order, chunks)
-    within = Window.partitionBy(CHUNK).orderBy(*order)
-    sizes = chunked.groupBy(CHUNK).agg(F.sum("_one").alias("_size"))
-    # One row per chunk, so this window and the broadcast are bounded by the chunk count.
-    offsets = sizes.select(
-        CHUNK,
-        F.coalesce(
-            F.sum("_size").over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_offset"),
-    )
-    return (
-        chunked.join(F.broadcast(offsets), CHUNK)
-        .withColumn(name, F.col("_offset") + F.row_number().over(within) - 1)
-        .drop(CHUNK, "_one", "_offset")
-    )

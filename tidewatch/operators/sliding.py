@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.durable import durable
 from tidewatch.functions.clock import cell_of, micros, window_micros
-from tidewatch.operators.scan import cut_into_chunks, running
+from tidewatch.operators.scan import chunked_if_large, running
 
 Condition = Callable[[], Column]
 
@@ -135,9 +135,9 @@ def first_hits(
     window_us = window_micros(window_s)
     points = prepare(rows, keys, window_us, value, distinct, extra)
     needed = cells_to_read(points, keys, distinct is not None, possible, certain)
-    picked = points.join(needed, [*keys, "cell"])
+    # Written once: the input is scanned twice in all, whatever happens below.
+    picked = durable(points.join(needed, [*keys, "cell"]), "picked")
     if distinct is not None:
-        picked = durable(picked, "picked")
         steps = _distinct_steps(picked, keys, window_us)
         if count_rows:
             steps = steps.unionByName(_row_steps(picked, keys, window_us))
@@ -148,7 +148,8 @@ def first_hits(
     if count_rows:
         steps = steps.withColumn("leaves", F.when((F.col("phase") == 1) & (F.col("sub") == 1), F.col("t")))
         upcoming = {"next_leaves": "leaves"}
-    swept = running(cut_into_chunks(steps, keys, STEP_ORDER, chunks), keys, STEP_ORDER, totals, upcoming)
+    steps = chunked_if_large(steps, picked.count(), keys, STEP_ORDER, chunks)
+    swept = running(steps, keys, STEP_ORDER, totals, upcoming)
     reading = swept.where(
         (F.col("phase") == 0) & F.col("fire") & (F.col("sub") == (1 if count_rows else 0))
     )

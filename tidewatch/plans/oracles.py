@@ -200,8 +200,7 @@ ORACLES: dict[str, str] = {
     "ingest_syslog": f"{FLOWS} SELECT {SYSLOG_FLOWS} FROM f",
     "ingest_union": MIXED,
     "ingest_auto": MIXED,
-    "ingest_numbered": f"""{FLOWS} SELECT count(*) AS flows, CAST(0 AS BIGINT) AS first_id, count(*) - 1 AS last_id,
-        count(*) AS ids, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent FROM f""",
+    "ingest_numbered": f"""{FLOWS} SELECT count(*) AS flows, count(*) AS ids, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent FROM f""",
     "ingest_stats": f"""{FLOWS}, c AS (
         SELECT count(*) FILTER (bytes_sent % 11 <> 0 AND bytes_sent % 7 <> 0) AS total_parsed,
                count(*) FILTER (bytes_sent % 11 <> 0 AND bytes_sent % 7 = 0) AS parse_errors FROM f)

@@ -6,6 +6,9 @@ comparison start from the same rows.
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.durable import fresh_path
+from tidewatch.schema import FLOWS_DDL
+
 FLOWS_SQL = """
 SELECT event_id, ts,
  concat('10.0.', CAST(CAST(floor(user_id / 250) AS INT) AS STRING), '.', CAST(CAST(user_id % 250 + 1 AS INT) AS STRING)) AS src_ip,
@@ -32,6 +35,22 @@ FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM even
 """
 
 
+_tables: dict[tuple[str, str], str] = {}
+
+
 def flows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spark.sql(FLOWS_SQL.replace("FROM events)", "FROM {events})"), events=events)
+    """The flows table of a test set, written once per session as the ingest job would do.
+
+    A single small input file is read by one task, so its rows are spread over all cores.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        flows = spark.sql(FLOWS_SQL.replace("FROM events)", "FROM {events})"), events=events)
+        cores = spark.sparkContext.defaultParallelism
+        if len(events.inputFiles()) < cores:
+            flows = flows.repartition(cores)
+        path = fresh_path(spark, "test-flows")
+        flows.write.parquet(path)
+        _tables[key] = path
+    return spark.read.schema(FLOWS_DDL).parquet(_tables[key])

@@ -2,10 +2,10 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.scan import number_rows
+from tidewatch.durable import BROADCAST_ROWS, durable, has_at_most
 from tidewatch.schema import FLOWS_DDL
 from tidewatch.sources import layout as lo
 from tidewatch.sources.csv_logs import read_csv
@@ -57,10 +57,26 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("status") == lo.REJECTED).select("raw_log", *SOURCE_ORDER)
 
 
-def to_flows(parsed: DataFrame, chunks: int | None = None) -> DataFrame:
-    """Accepted records as a written flows table with ``event_id`` by file name and line."""
-    numbered = number_rows(accepted(parsed), SOURCE_ORDER, "event_id", chunks)
-    return numbered.select("event_id", *[c for c in parsed.columns if c not in ("status", *SOURCE_ORDER)])
+def to_flows(parsed: DataFrame) -> DataFrame:
+    """Accepted records as a written table, with ``event_id`` growing by file name and line.
+
+    Records keep the order they have within their block, and blocks are counted up; so the
+    records are parsed and written once, and never sorted. Numbers of rejected records
+    stay unused.
+    """
+    table = durable(accepted(parsed), "flows")
+    block = ["source_file", "source_block"]
+    spans = table.groupBy(*block).agg(F.min("source_row").alias("_first"), F.max("source_row").alias("_last"))
+    # One row per input block (some hundred thousand for 100 TB).
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    length = F.col("_last") - F.col("_first") + 1
+    bases = spans.select(*block, (F.coalesce(F.sum(length).over(before), F.lit(0)) - F.col("_first")).alias("_base"))
+    if has_at_most(bases, BROADCAST_ROWS):
+        bases = F.broadcast(bases)
+    return table.join(bases, block).select(
+        (F.col("_base") + F.col("source_row")).alias("event_id"),
+        *[c for c in parsed.columns if c not in ("status", *SOURCE_ORDER)],
+    )
 
 
 def quality(parsed: DataFrame) -> DataFrame:
