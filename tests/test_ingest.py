@@ -105,12 +105,14 @@ def test_json_lines(spark, tmp_path):
         '{"timestamp": "2024-02-04", "src_ip": "", "source_ip": "5.5.5.5"}',
         '{"timestamp": "2024-02-04", "bytes_sent": "12.5"}',
         '{"timestamp": "2024-02-04", "A": 1, "a": 2, "src_ip": null}',
+        '{"timestamp": "2024-02-04"} x', '{"timestamp": "2024-02-04"}{"a": 1}', "{'timestamp': '2024-02-04'}",
+        '{"TIMESTAMP": "2024-02-04", "SRC_IP": "7.7.7.7", "src_ip": "8.8.8.8", "note": "}{"}', '{"BAD',
     ]))
     parsed = read_json(spark, [path], YEAR)
     assert statuses(parsed) == [
         "accepted", "rejected", "rejected", "accepted", "rejected", "skipped", "rejected", "rejected",
-        "accepted", "rejected", "accepted"]
-    first, plain, empty_ip, null_ip = ingest.accepted(parsed).orderBy("source_row").collect()
+        "accepted", "rejected", "accepted", "rejected", "rejected", "rejected", "accepted", "rejected"]
+    first, plain, empty_ip, null_ip, twice = ingest.accepted(parsed).orderBy("source_row").collect()
     assert (first.ts, first.src_ip, first.dst_ip, first.src_port, first.dst_port) == (
         MOMENT, "1.1.1.1", "2.2.2.2", 12, 80)
     assert (first.protocol, first.bytes_sent, first.duration, first.action, first.status_code) == (
@@ -118,6 +120,7 @@ def test_json_lines(spark, tmp_path):
     assert (plain.dst_port, plain.packets, plain.src_ip) == (0, 1, "0.0.0.0")
     assert empty_ip.src_ip == ""  # the second name counts only if the first is absent
     assert null_ip.src_ip == "0.0.0.0"
+    assert twice.src_ip == "8.8.8.8"
 
 
 def test_json_array_files(spark, tmp_path):

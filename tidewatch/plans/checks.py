@@ -90,8 +90,8 @@ def _csv_rows(flows: DataFrame) -> DataFrame:
 def _json_rows(flows: DataFrame, *extra: str) -> DataFrame:
     return flows.select(
         *extra,
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("Timestamp"),
-        F.col("src_ip").alias("source_ip"), F.col("dst_ip").alias("dst"), F.col("src_port").alias("SRC_PORT"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"),
+        F.col("src_ip").alias("source_ip"), F.col("dst_ip").alias("dst"), "src_port",
         F.col("dst_port").cast("string").alias("dest_port"), F.lower("protocol").alias("proto"),
         F.col("bytes_sent").alias("out_bytes"), "bytes_received", F.col("packets").alias("packet_count"),
         F.col("duration").alias("flow_duration"), F.col("flags").alias("tcp_flags"),
@@ -100,6 +100,11 @@ def _json_rows(flows: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+def _loud_json_rows(flows: DataFrame) -> DataFrame:
+    rows = _json_rows(flows)
+    return rows.select([F.col(c).alias(c.upper()) for c in rows.columns])
+
+
 def _syslog_rows(flows: DataFrame) -> DataFrame:
     return flows.select(F.format_string(
         "%s fw01 kernel[12]: src=%s:%d dst=%s:%d proto=%s action=%s bytes=%d packets=%d",
@@ -152,7 +157,7 @@ def _three_formats(spark: SparkSession, sf_dir: str) -> str:
     flows = flows_of(spark, sf_dir)
     return _write_logs(
         spark, "mixed", csv=_csv_rows(flows.where("protocol IN ('UDP', 'HTTP')")),
-        json=_json_rows(flows.where("protocol NOT IN ('UDP', 'HTTP', 'ICMP')")),
+        json=_loud_json_rows(flows.where("protocol NOT IN ('UDP', 'HTTP', 'ICMP')")),
         syslog=_syslog_rows(flows.where("protocol = 'ICMP'")),
     )
 

@@ -25,14 +25,15 @@ def read_json(spark: SparkSession, paths: list[str], default_year: int, arrays:
     parts = []
     if lines:
         text = spark.read.text(lines).select("value", *lo.place_columns())
-        parts.append(records(text.where(F.trim("value") != "").withColumn("record", F.try_parse_json(_clean("value"))), default_year))
+        text = text.withColumn("value", _clean("value"))
+        parts.append(records(text.where("value <> ''"), default_year))
     if whole:
         text = spark.read.text(whole, wholetext=True).select("value", *lo.place_columns())
         # A document that cannot be read is lost without being counted.
         items = text.withColumn("items", F.try_parse_json(_clean("value")).cast("array<variant>")).where("items IS NOT NULL")
         exploded = items.select(
-            F.col("source_file"), F.col("source_block"), F.posexplode("items").alias("source_row", "record"),
-        ).withColumn("value", F.to_json("record"))
+            "source_file", "source_block", F.posexplode("items").alias("source_row", "item"),
+        ).withColumn("value", F.to_json("item"))
         parts.append(records(exploded, default_year))
     if not parts:
         from tidewatch.sources.ingest import PARSED_DDL
@@ -45,52 +46,76 @@ def _clean(column: str) -> Column:
     return F.trim(F.regexp_replace(column, "^﻿", ""))
 
 
-def _lower_keys(entries: Column) -> Column:
-    """A map with lower-case keys; of keys that become equal the last one counts."""
+# An upper-case letter (or an escape) inside a key.
+UPPER_KEY = r'[\p{Lu}\\][^"]*"\s*:'
+
+
+# Something other than a separator after a closing brace: perhaps more than one document.
+MORE_AFTER_BRACE = r"\}\s*[^\s,\}\]]"
+
+RECORD_DDL = ", ".join(
+    [f"{name} VARIANT" for names in lo.JSON_NAMES.values() for name in names] + ["_corrupt_record STRING"]
+)
+
+
+def _lower_keys(record: Column) -> Column:
+    """The text of an object with lower-case keys; of keys that become equal the last one counts."""
+    entries = F.map_entries(record.cast("map<string,variant>"))
     lowered = F.transform(entries, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     keys = F.transform(lowered, lambda e: e["key"])
     last = F.filter(lowered, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), lowered).otherwise(last))
+    unique = F.when(F.size(F.array_distinct(keys)) == F.size(keys), lowered).otherwise(last)
+    return F.to_json(F.map_from_entries(unique))
 
 
 def records(rows: DataFrame, default_year: int) -> DataFrame:
-    """Parsed columns of rows that carry ``record`` (a variant) and ``value`` (its text)."""
-    # Only objects are records; the text of a variant object starts with a brace.
-    fields = F.when(F.ltrim("value").startswith("{"), F.col("record")).cast("map<string,variant>")
-    entries = _lower_keys(F.map_entries(fields))
-    rows = lo.computed_once(rows, ["value", "source_file", "source_block", "source_row", entries.alias("m")])
+    """Parsed columns of rows that carry one record each as text in ``value``."""
+    text = F.when(
+        F.col("value").rlike(UPPER_KEY) & F.ltrim("value").startswith("{"),
+        _lower_keys(F.try_parse_json("value")),
+    ).otherwise(F.col("value"))
+    rows = rows.select(
+        "value", "source_file", "source_block", F.col("source_row").cast("bigint").alias("source_row"),
+        text.alias("text"),
+    )
+    # All names in one pass over the text. Absent names are null, JSON nulls are not.
+    rows = lo.computed_once(rows, [
+        "value", "source_file", "source_block", "source_row",
+        F.from_json("text", RECORD_DDL, {"allowSingleQuotes": "false"}).alias("record"),
+        (F.col("text").rlike(MORE_AFTER_BRACE) & F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]"))).isNull())
+        .alias("has_more"),
+    ])
+
+    def path(name: str, kind: str) -> Column:
+        return F.try_variant_get(f"record.{name}", "$", kind)
 
     def pick(field: str) -> Column:
         # The first name that is present counts, even if its value is null.
-        result = F.lit(None).cast("variant")
-        for name in reversed(lo.JSON_NAMES[field]):
-            result = F.when(F.map_contains_key("m", F.lit(name)), F.element_at("m", name)).otherwise(result)
-        return result
-
-    def present(field: str) -> Column:
-        return reduce(lambda a, b: a | b, [F.map_contains_key("m", F.lit(n)) for n in lo.JSON_NAMES[field]])
-
-    def text(value: Column) -> Column:
-        return F.try_variant_get(value, "$", "string")
+        return F.coalesce(*[F.col(f"record.{name}") for name in lo.JSON_NAMES[field]])
 
     def truthy(name: str) -> Column:
-        value = text(F.element_at("m", name))
+        value = path(name, "string")
         return F.when(~value.isin("", "0", "false"), value)
 
-    number_types = lo.NUMBER_DEFAULTS.items()
-    found = rows.select(
-        "value", "source_file", "source_block", F.col("source_row").cast("bigint").alias("source_row"),
-        F.col("m").isNotNull().alias("is_record"),
+    picked = rows.select(
+        "value", "source_file", "source_block", "source_row",
+        (F.col("record").isNotNull() & F.col("record._corrupt_record").isNull() & ~F.col("has_more")).alias("is_record"),
         lo.plain_stamp(F.coalesce(*[truthy(name) for name in lo.JSON_NAMES["timestamp"]])).alias("stamp"),
-        *[text(pick(field)).alias(f"f_{field}") for field in lo.TEXT_DEFAULTS],
-        *[F.try_variant_get(pick(field), "$", kind).alias(f"n_{field}") for field, (kind, _) in number_types],
-        *[present(field).alias(f"p_{field}") for field in lo.NUMBER_DEFAULTS],
+        *[F.try_variant_get(pick(field), "$", "string").alias(f"f_{field}") for field in lo.TEXT_DEFAULTS],
+        *[pick(field).alias(f"v_{field}") for field in lo.NUMBER_DEFAULTS],
         F.coalesce(*[truthy(n) for n in lo.JSON_NAMES["status_code"]]).try_cast("int").alias("status_code"),
     )
-    parsed = lo.computed_once(found, ["*", lo.parse_timestamp(F.col("stamp"), default_year).alias("ts")])
-    bad_number = reduce(
-        lambda a, b: a | b, [F.col(f"p_{f}") & F.col(f"n_{f}").isNull() for f in lo.NUMBER_DEFAULTS]
-    )
+    number_types = lo.NUMBER_DEFAULTS.items()
+    parsed = lo.computed_once(picked, [
+        "value", "source_file", "source_block", "source_row", "is_record", "status_code",
+        *[f"f_{field}" for field in lo.TEXT_DEFAULTS],
+        *[f"v_{field}" for field in lo.NUMBER_DEFAULTS],
+        *[F.try_variant_get(f"v_{field}", "$", kind).alias(f"n_{field}") for field, (kind, _) in number_types],
+        lo.parse_timestamp(F.col("stamp"), default_year).alias("ts"),
+    ])
+    bad_number = reduce(lambda a, b: a | b, [
+        F.col(f"v_{field}").isNotNull() & F.col(f"n_{field}").isNull() for field in lo.NUMBER_DEFAULTS
+    ])
     return parsed.select(
         "ts", *lo.text_fields(), *lo.number_fields(), "status_code", F.col("value").alias("raw_log"),
         F.create_map().cast("map<string,string>").alias("metadata"),

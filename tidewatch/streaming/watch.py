@@ -23,7 +23,7 @@ def watch_flows(spark: SparkSession, directory: str, format: str, default_year:
         F.col("_metadata.file_block_start").alias("source_block"), F.lit(None).cast("bigint").alias("source_row"),
     )
     if format == "json":
-        text = text.where(F.trim("value") != "").withColumn("record", F.try_parse_json(F.trim("value")))
+        text = text.where(F.trim("value") != "")
     return accepted(LINE_PARSERS[format](text, default_year)).drop("status")
 
 
