@@ -1,5 +1,7 @@
 """The whole analysis: flows and feeds in, alert, statistics and report tables out."""
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -31,30 +33,33 @@ class Settings:
 
 
 def raw_alerts(flows: DataFrame, feeds: DataFrame | None, settings: Settings = Settings()) -> DataFrame:
-    """All detectors in their fixed order, before deduplication."""
-    parts = []
+    """All detectors in their fixed order, before deduplication.
+
+    Detectors do not depend on each other, so their jobs are submitted side by side and
+    share the cluster, and each writes its few alerts as a table of its own.
+    """
+    steps: list[Callable[[], DataFrame]] = []
     if feeds is not None and settings.threat_intel:
-        parts += [
-            al.malicious_ip_alerts(threat.ip_first_seen(flows, feeds, threat.MALICIOUS_IP)),
-            al.tor_alerts(threat.ip_first_seen(flows, feeds, threat.TOR_NODE)),
-            al.domain_alerts(threat.domain_contacts(flows, feeds)),
+        steps += [
+            lambda: al.malicious_ip_alerts(threat.ip_first_seen(flows, feeds, threat.MALICIOUS_IP)),
+            lambda: al.tor_alerts(threat.ip_first_seen(flows, feeds, threat.TOR_NODE)),
+            lambda: al.domain_alerts(threat.domain_contacts(flows, feeds)),
         ]
-    parts += [
-        al.port_scan_alerts(detectors.port_scan(flows, **settings.port_scan), settings.port_scan["window_s"]),
-        al.brute_force_alerts(detectors.brute_force(flows, **settings.brute_force), settings.brute_force["window_s"]),
-        al.ddos_alerts(detectors.ddos(flows, **settings.ddos)),
-        al.exfiltration_alerts(
-            detectors.exfiltration(flows, **settings.exfiltration), settings.exfiltration["window_s"]),
-        al.beaconing_alerts(detectors.beaconing(flows, **settings.beaconing)),
-        al.after_hours_alerts(
-            detectors.after_hours(flows, **settings.after_hours),
-            settings.after_hours["start_hour"], settings.after_hours["end_hour"]),
+    scan, brute, exfil, night = settings.port_scan, settings.brute_force, settings.exfiltration, settings.after_hours
+    steps += [
+        lambda: al.port_scan_alerts(detectors.port_scan(flows, **scan), scan["window_s"]),
+        lambda: al.brute_force_alerts(detectors.brute_force(flows, **brute), brute["window_s"]),
+        lambda: al.ddos_alerts(detectors.ddos(flows, **settings.ddos)),
+        lambda: al.exfiltration_alerts(detectors.exfiltration(flows, **exfil), exfil["window_s"]),
+        lambda: al.beaconing_alerts(detectors.beaconing(flows, **settings.beaconing)),
+        lambda: al.after_hours_alerts(detectors.after_hours(flows, **night), night["start_hour"], night["end_hour"]),
     ]
     if settings.anomaly is not None:
-        parts.append(al.anomaly_alerts(detectors.anomaly(flows, **settings.anomaly)))
+        steps.append(lambda: al.anomaly_alerts(detectors.anomaly(flows, **settings.anomaly)))
     if settings.rules:
-        parts.append(al.custom_rule_alerts(declared.threshold_rules(flows, settings.rules)))
-    return al.union_alerts(parts)
+        steps.append(lambda: al.custom_rule_alerts(declared.threshold_rules(flows, settings.rules)))
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return al.union_alerts(list(pool.map(lambda step: durable(step(), "found"), steps)))
 
 
 def final_alerts(flows: DataFrame, feeds: DataFrame | None, settings: Settings = Settings()) -> DataFrame:
