@@ -222,11 +222,10 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
     keyed = alerts.withColumn("_key", F.concat_ws(":", "rule_id", "src_ip", "dst_ip")).withColumn(
         "_t", micros(F.col("ts"))
     )
-    # Alerts of one key at one moment: only the first can be kept.
+    # Alerts of one key at one moment: only the first can be kept. Texts stay behind.
     heads = durable(
-        keyed.groupBy("_key", "_t").agg(
-            F.min_by(F.struct(*alerts.columns), F.struct(*DEDUP_TIE_ORDER)).alias("_alert")
-        ),
+        keyed.groupBy("_key", "_t").agg(F.min(F.struct(*DEDUP_TIE_ORDER, "alert_id")).alias("_first")).select(
+            "_key", "_t", F.col("_first.alert_id").alias("alert_id")),
         "alert-heads",
     )
     steps = heads.select(
@@ -254,7 +253,10 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
             links.join(further, ["_key", "next_t"]).select("_key", "_t", F.col("after_t").alias("next_t")),
             "alert-links",
         )
-    return heads.join(reached, ["_key", "_t"], "left_semi").select("_alert.*")
+    kept = heads.join(reached, ["_key", "_t"], "left_semi")
+    # Alerts that agree even in their id are one alert.
+    found = keyed.join(kept, ["_key", "_t", "alert_id"], "left_semi")
+    return found.dropDuplicates(["_key", "_t", "alert_id"]).select(alerts.columns)
 
 
 def at_least(alerts: DataFrame, severity: str) -> DataFrame:

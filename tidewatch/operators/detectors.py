@@ -158,10 +158,11 @@ def after_hours(flows: DataFrame, start_hour: int = 0, end_hour: int = 5, min_ev
 def anomaly(flows: DataFrame, sensitivity: str = "medium", z_score_threshold: float = 3.0) -> DataFrame:
     """Sources whose event count lies far above the mean of all sources."""
     threshold = SENSITIVITY.get(sensitivity, z_score_threshold)
-    counts = flows.groupBy("src_ip").agg(
+    # One row per source, written so that the flows are scanned once.
+    counts = durable(flows.groupBy("src_ip").agg(
         F.count("*").alias("event_count"), F.sum(net.total_bytes()).alias("total_bytes"),
         F.min("ts").alias("_first"),
-    )
+    ), "source-counts")
     overall = counts.agg(F.struct(
         F.avg("event_count").alias("mean"), F.stddev_pop("event_count").alias("std"),
         F.count("*").alias("sources"), F.sum("event_count").alias("events"), F.min("_first").alias("first_ts"),

@@ -18,23 +18,26 @@ CHUNK = "chunk"
 # them is too much for a task.
 ONE_TASK_ROWS = 1_000_000
 
+# The range bounds of more chunks than this would burden the driver; chunks grow instead.
+MOST_CHUNKS = 20_000
+
 
 def chunked_if_large(df: DataFrame, source_rows: int, keys: list[str], order: list[str],
                      chunks: int | None = None) -> DataFrame:
     """``cut_into_chunks`` unless the table ``df`` comes from is small (or ``chunks`` is given)."""
-    if chunks is None and source_rows <= ONE_TASK_ROWS:
-        return df
+    if chunks is None:
+        if source_rows <= ONE_TASK_ROWS:
+            return df
+        chunks = min(-(-source_rows // ONE_TASK_ROWS), MOST_CHUNKS)
     return cut_into_chunks(df, keys, order, chunks)
 
 
-def cut_into_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int | None = None) -> DataFrame:
+def cut_into_chunks(df: DataFrame, keys: list[str], order: list[str], chunks: int) -> DataFrame:
     """Tag each row with the chunk it falls into; chunks are contiguous in (keys, order).
 
-    ``order`` must make rows unique, or equal rows would not be split. Without ``chunks``
-    the number follows spark.sql.shuffle.partitions and is coalesced for small inputs.
+    ``order`` must make rows unique, or equal rows would not be split.
     """
-    columns = [F.col(c) for c in (*keys, *order)]
-    ranged = df.repartitionByRange(chunks, *columns) if chunks else df.repartitionByRange(*columns)
+    ranged = df.repartitionByRange(chunks, *[F.col(c) for c in (*keys, *order)])
     return durable(ranged.withColumn(CHUNK, F.spark_partition_id()), "chunks")
 
 

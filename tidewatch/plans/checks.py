@@ -137,9 +137,9 @@ def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Array files of at most 500 records each."""
+    """Array files of at most 20,000 records each."""
     flows = flows_of(spark, sf_dir)
-    records = _json_rows(flows.withColumn("document", F.expr("event_id div 500")), "document")
+    records = _json_rows(flows.withColumn("document", F.expr("event_id div 20000")), "document")
     names = [c for c in records.columns if c != "document"]
     documents = records.groupBy("document").agg(F.to_json(F.collect_list(F.struct(*names))).alias("value"))
     folder = fresh_path(spark, "json-array")
