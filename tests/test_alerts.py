@@ -118,7 +118,13 @@ def test_pipeline(spark, tmp_path):
     assert summary.summary.startswith("URGENT ACTION REQUIRED: 3 critical security alert(s) detected. "
                                       "Evidence of active threats including c2, ddos, threat_intel. "
                                       "Analysis processed 1,099 network events from 3 log file(s) over a period of 36.0 hours.")
-    assert read("alerts/alerts").count() == alerts.count()
+    written = read("alerts/alerts")
+    assert written.count() == alerts.count()
+    assert set(written.columns) == {*sinks.ALERT_FIELDS, "date"}
+    scan = written.where("rule_id = 'RULE-001'").collect()[0]
+    assert (scan.evidence.unique_ports, scan.timestamp) == (15, "2024-01-01T12:00:00")
+    declared_too = pipeline.raw_alerts(fl, None, pipeline.Settings(declared_rules=True))
+    assert declared_too.where("detector_no = 9").count() == 0
     assert {r.severity: r.alerts for r in read("alerts/metadata").collect()}["LOW"] == 1
 
 

@@ -88,6 +88,8 @@ def test_csv_header_groups(spark, tmp_path):
     ]
     got = {(r.src_ip, r.dst_port) for r in read_csv(spark, paths, YEAR).collect()}
     assert got == {("1.1.1.1", 1), ("3.3.3.3", 2), ("4.4.4.4", 3)}
+    broken = write(tmp_path, "e.csv", 'timestamp,domain\n2024-02-04,"a\nb"\n2024-02-05,c\n')
+    assert [r.domain for r in read_csv(spark, [broken], YEAR, multiline=True).orderBy("ts").collect()] == ["a\nb", "c"]
     known = read_csv(spark, paths[:1], YEAR, header=["timestamp", "src_ip", "dst_port"])
     assert known.count() == 1
 

@@ -29,3 +29,9 @@ def window_micros(seconds: float) -> int:
     if width < 1:
         raise ValueError("the time window must be at least one microsecond")
     return width
+
+
+def iso_text(ts: Column) -> Column:
+    """ISO 8601 text; the fraction is left out if it is zero."""
+    fraction = F.date_format(ts, ".SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction == ".000000", "").otherwise(fraction))

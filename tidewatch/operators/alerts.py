@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.durable import durable
 from tidewatch.functions import network as net
-from tidewatch.functions.clock import micros, window_micros
+from tidewatch.functions.clock import iso_text, micros, window_micros
+from tidewatch.operators.declared import DeclaredRule
 from tidewatch.operators.scan import chunked_if_large, running
 from tidewatch.schema import ALERT_COLUMNS, SEVERITIES, severity_rank
 
@@ -65,7 +66,7 @@ def as_alerts(
 
 
 def _iso(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return iso_text(F.col(column))
 
 
 def malicious_ip_alerts(found: DataFrame) -> DataFrame:
@@ -182,13 +183,14 @@ def anomaly_alerts(found: DataFrame) -> DataFrame:
     )
 
 
-def declared_alerts(found: DataFrame, rule_id: str, rule_name: str, category: str, severity: str,
-                    mitre: str, description: str, advice: str, detector_no: int = 9) -> DataFrame:
+def declared_alerts(found: DataFrame, rule: DeclaredRule) -> DataFrame:
     """Alerts of a declared rule; its evidence is every column that is not an alert column."""
-    evidence = [F.col(c) for c in found.columns if c not in ("ts", "src_ip", "dst_ip", "dst_port", "event_id")]
-    src_ip = None if "src_ip" in found.columns else F.lit("")
-    return as_alerts(found, detector_no, rule_id, F.lit(rule_name), category, F.lit(severity), mitre,
-                     F.lit(description), evidence or [F.lit(rule_id).alias("rule")], F.lit(advice), src_ip)
+    own = {"ts", "src_ip", "dst_ip", "dst_port", "event_id"}
+    return as_alerts(
+        found, 9, rule.rule_id, F.lit(rule.name), rule.category, F.lit(rule.severity), rule.mitre,
+        F.lit(rule.description), [F.col(c) for c in found.columns if c not in own], F.lit(""),
+        None if "src_ip" in found.columns else F.lit(""),
+    )
 
 
 def custom_rule_alerts(found: DataFrame, detector_no: int = 10) -> DataFrame:

@@ -1,5 +1,7 @@
 """Rules that are declared with thresholds only, and rules given as data."""
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -83,6 +85,33 @@ def icmp_flood(flows: DataFrame, packets_per_second: float = 500, window_s: floa
     )
 
 
+@dataclass(frozen=True)
+class DeclaredRule:
+    rule_id: str
+    name: str
+    description: str
+    category: str
+    severity: str
+    mitre: str
+    detect: Callable[[DataFrame], DataFrame]
+
+
+# The declared rules, run with their declared thresholds.
+DECLARED_RULES = [
+    DeclaredRule("RULE-002", "UDP Port Scan", "Detects UDP port scanning activity",
+                 "reconnaissance", "MEDIUM", "T1046", udp_scan),
+    DeclaredRule("RULE-005", "HTTP Login Brute Force", "Multiple failed HTTP login attempts (401/403 responses)",
+                 "brute_force", "MEDIUM", "T1110", http_bruteforce),
+    DeclaredRule("RULE-007", "SYN Flood", "Excessive SYN packets without completing handshake",
+                 "ddos", "CRITICAL", "T1498", syn_flood),
+    DeclaredRule("RULE-009", "DNS Tunneling Suspected", "Unusually long DNS queries suggesting DNS tunneling",
+                 "exfiltration", "HIGH", "T1071.004", dns_tunnel),
+    DeclaredRule("RULE-012", "Unusual Port Usage", "Standard protocol on non-standard port (protocol mismatch)",
+                 "evasion", "MEDIUM", "T1571", proto_mismatch),
+    DeclaredRule("RULE-015", "ICMP Flood", "Excessive ICMP traffic indicating potential ping flood",
+                 "ddos", "HIGH", "T1498", icmp_flood),
+]
+
 # Conditions of a data rule that compare one field with a value or a list of values.
 RULE_FIELDS = [
     "protocol", "flags", "action", "direction", "domain", "src_ip", "dst_ip", "src_port", "dst_port", "status_code",

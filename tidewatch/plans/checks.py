@@ -341,8 +341,13 @@ def alerts_min_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "sink")
     sinks.write_alerts(alert_table(spark, sf_dir), path)
-    back = spark.read.schema("ts TIMESTAMP_NTZ, rule_id STRING, severity STRING, date DATE").json(f"{path}/alerts")
-    return back.groupBy("date", "rule_id", "severity").agg(F.count("*").alias("alerts"), F.min("ts").alias("first_ts"))
+    back = spark.read.schema("timestamp STRING, rule_id STRING, severity STRING, date DATE").json(f"{path}/alerts")
+    return back.groupBy("date", "rule_id", "severity").agg(
+        F.count("*").alias("alerts"), F.min(F.col("timestamp").cast("timestamp_ntz")).alias("first_ts"))
+
+
+def flow_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.flow_records(flows_of(spark, sf_dir))
 
 
 def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +405,7 @@ QUERIES: dict[str, Query] = {
     "alerts_by_category": _on_alerts(al.by_category),
     "alerts_top_sources": _on_alerts(al.top_sources),
     "alerts_timeline": _on_alerts(al.timeline),
-    "sink_alerts": sink_alerts,
+    "sink_alerts": sink_alerts, "flow_records": flow_records,
     "risk_score": _on_alerts(results.risk_score),
     "recommendations": recommendations, "exec_summary": exec_summary,
 }

@@ -301,6 +301,9 @@ ORACLES: dict[str, str] = {
     "alerts_timeline": f"{ALERTS} SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, count(*) AS alerts FROM a GROUP BY 1",
     "sink_alerts": f"""{ALERTS} SELECT CAST(ts AS DATE) AS date, rule_id, severity, count(*) AS alerts, min(ts) AS first_ts
         FROM a GROUP BY ALL""",
+    "flow_records": f"""{FLOWS} SELECT CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+        ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp, {_PLAIN.format(status="status_code")},
+        {BYTES} AS total_bytes FROM f""",
     "risk_score": f"""{ALERTS}, s AS (SELECT {SCORE} AS risk_score FROM a)
         SELECT risk_score, {LEVEL} AS risk_level FROM s""",
     "recommendations": f"""{ALERTS}, rec AS (SELECT * FROM (VALUES {_ADVICE}) v(place, category, recommendation)

@@ -27,6 +27,7 @@ class Settings:
         default_factory=lambda: {"start_hour": 0, "end_hour": 5, "min_events": 20})
     anomaly: dict[str, Any] | None = field(default_factory=lambda: {"sensitivity": "medium"})
     rules: list[dict[str, Any]] = field(default_factory=list)
+    declared_rules: bool = False
     dedup_window_s: float = 300
     min_severity: str = "LOW"
     top_n: int = stats.TOP_N
@@ -56,6 +57,10 @@ def raw_alerts(flows: DataFrame, feeds: DataFrame | None, settings: Settings = S
     ]
     if settings.anomaly is not None:
         steps.append(lambda: al.anomaly_alerts(detectors.anomaly(flows, **settings.anomaly)))
+    if settings.declared_rules:
+        steps += [
+            lambda rule=rule: al.declared_alerts(rule.detect(flows), rule) for rule in declared.DECLARED_RULES
+        ]
     if settings.rules:
         steps.append(lambda: al.custom_rule_alerts(declared.threshold_rules(flows, settings.rules)))
     with ThreadPoolExecutor(len(steps)) as pool:

@@ -13,11 +13,12 @@ CORRUPT = "_corrupt_record"
 
 
 def read_csv(spark: SparkSession, paths: list[str], default_year: int,
-             header: list[str] | None = None) -> DataFrame:
+             header: list[str] | None = None, multiline: bool = False) -> DataFrame:
     """All records of the given files with their status.
 
     Files are grouped by header, and each group is one native scan. Pass ``header`` if
-    all files share a known one; else the first line of each file is looked up.
+    all files share a known one; else the first line of each file is looked up. With
+    ``multiline`` quoted values may contain line breaks, but files are not split.
     """
     if header is not None:
         groups = {tuple(_normal(header)): list(paths)}
@@ -28,7 +29,7 @@ def read_csv(spark: SparkSession, paths: list[str], default_year: int,
     if not groups:
         return _empty(spark)
     return reduce(DataFrame.unionByName, [
-        _read_group(spark, files, list(names), default_year) for names, files in sorted(groups.items())
+        _read_group(spark, files, list(names), default_year, multiline) for names, files in sorted(groups.items())
     ])
 
 
@@ -42,13 +43,14 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], PARSED_DDL)
 
 
-def _read_group(spark: SparkSession, files: list[str], names: list[str], default_year: int) -> DataFrame:
+def _read_group(spark: SparkSession, files: list[str], names: list[str], default_year: int,
+                multiline: bool) -> DataFrame:
     columns = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} STRING" for c in [*columns, CORRUPT])
     raw = spark.read.csv(
         files, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
         escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        emptyValue="", maxCharsPerColumn=-1,
+        emptyValue="", maxCharsPerColumn=-1, multiLine=multiline,
     )
     # With repeated names the last column counts.
     position = {name: i for i, name in enumerate(names)}
