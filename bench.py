@@ -29,6 +29,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        # Many different plans run in one session; the default of 100 makes Spark compile them again and again.
+        .config("spark.sql.codegen.cache.maxEntries", "5000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

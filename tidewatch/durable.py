@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A side with at most this many short rows may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -42,6 +43,11 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark a (stored) table for broadcast if it has few rows; else leave the join to Spark."""
+    return F.broadcast(df) if has_at_most(df, BROADCAST_ROWS) else df
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.durable import durable
+from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.functions import network as net
 from tidewatch.functions.clock import iso_text, micros, window_micros
 from tidewatch.operators.declared import DeclaredRule
@@ -255,9 +255,9 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
             links.join(further, ["_key", "next_t"]).select("_key", "_t", F.col("after_t").alias("next_t")),
             "alert-links",
         )
-    kept = heads.join(reached, ["_key", "_t"], "left_semi")
+    kept = durable(heads.join(reached, ["_key", "_t"], "left_semi"), "alert-kept")
     # Alerts that agree even in their id are one alert.
-    found = keyed.join(kept, ["_key", "_t", "alert_id"], "left_semi")
+    found = keyed.join(broadcast_if_small(kept), ["_key", "_t", "alert_id"], "left_semi")
     return found.dropDuplicates(["_key", "_t", "alert_id"]).select(alerts.columns)
 
 

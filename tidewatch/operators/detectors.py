@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.durable import BROADCAST_ROWS, durable, has_at_most
+from tidewatch.durable import BROADCAST_ROWS, broadcast_if_small, durable, has_at_most
 from tidewatch.functions import network as net
 from tidewatch.functions.clock import MICROS, from_micros, micros
 from tidewatch.operators.sliding import first_hits, rows_in_window
@@ -128,8 +128,7 @@ def beaconing(flows: DataFrame, min_connections: int = 10, tolerance_percent: fl
         # Too many pairs to broadcast: drop the busy ones first (there are at most total
         # rows / BUSY of them), then join by key.
         busy = pairs.where(~is_slow & (F.col("n") > BUSY)).select(*pair)
-        busy = F.broadcast(busy) if has_at_most(busy, BROADCAST_ROWS) else busy
-        points = points.join(busy, pair, "left_anti").join(slow, pair)
+        points = points.join(broadcast_if_small(busy), pair, "left_anti").join(slow, pair)
     line = Window.partitionBy(*pair).orderBy("t")
     gaps = points.withColumn("gap", (F.col("t") - F.lag("t").over(line)) / MICROS)
     stats = gaps.groupBy(*pair).agg(

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.durable import durable
+from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.functions.clock import cell_of, micros, window_micros
 from tidewatch.operators.scan import chunked_if_large, running
 
@@ -134,9 +134,11 @@ def first_hits(
     """
     window_us = window_micros(window_s)
     points = prepare(rows, keys, window_us, value, distinct, extra)
-    needed = cells_to_read(points, keys, distinct is not None, possible, certain)
+    # Stored before the join: if it were part of it, the whole input would be shuffled by key
+    # before Spark could see how small this side is.
+    needed = durable(cells_to_read(points, keys, distinct is not None, possible, certain), "cells")
     # Written once: the input is scanned twice in all, whatever happens below.
-    picked = durable(points.join(needed, [*keys, "cell"]), "picked")
+    picked = durable(points.join(broadcast_if_small(needed), [*keys, "cell"]), "picked")
     if distinct is not None:
         steps = _distinct_steps(picked, keys, window_us)
         if count_rows:

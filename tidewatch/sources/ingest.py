@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.durable import BROADCAST_ROWS, durable, has_at_most
+from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.schema import FLOWS_DDL
 from tidewatch.sources import layout as lo
 from tidewatch.sources.csv_logs import read_csv
@@ -71,9 +71,7 @@ def to_flows(parsed: DataFrame) -> DataFrame:
     before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     length = F.col("_last") - F.col("_first") + 1
     bases = spans.select(*block, (F.coalesce(F.sum(length).over(before), F.lit(0)) - F.col("_first")).alias("_base"))
-    if has_at_most(bases, BROADCAST_ROWS):
-        bases = F.broadcast(bases)
-    return table.join(bases, block).select(
+    return table.join(broadcast_if_small(bases), block).select(
         (F.col("_base") + F.col("source_row")).alias("event_id"),
         *[c for c in parsed.columns if c not in ("status", *SOURCE_ORDER)],
     )
