@@ -97,8 +97,8 @@ def test_beaconing(spark, monkeypatch):
         *beats("jitter", [0, 290, 600, 905, 1200, 1490, 1800, 2110, 2400, 2700]),
         *beats("wild", [0, 10, 600, 905, 1000, 1490, 1500, 2110, 2120, 2700]), *beats("same", [5] * 12),
     ])
-    for limit in (200_000, 0):  # with and without a broadcast of the candidate pairs
-        monkeypatch.setattr(detectors, "BROADCAST_ROWS", limit)
+    for limit in (8 << 20, 0):  # with and without a broadcast of the candidate pairs
+        monkeypatch.setattr(detectors, "BROADCAST_BYTES", limit)
         monkeypatch.setattr(detectors, "BUSY", 11)
         got = by(detectors.beaconing(fl), "src_ip")
         assert set(got) == {"regular", "jitter"}
@@ -146,8 +146,8 @@ def test_threat_feeds(spark, monkeypatch):
         row(0, dst_ip="6.6.6.6", dst_port=1), row(5, src_ip="6.6.6.6"), row(3, src_ip="FE80::A", dst_ip="fe80::a"),
         row(1, domain="EVIL.com"), row(2, domain="a.evil.com"), row(2, domain="evil.com"), row(9),
     ])
-    for limit in (200_000, 0):
-        monkeypatch.setattr(threat, "BROADCAST_ROWS", limit)
+    for limit in (8 << 20, 0):
+        monkeypatch.setattr(threat, "BROADCAST_BYTES", limit)
         bad = by(threat.ip_first_seen(fl, feed, threat.MALICIOUS_IP), "ip")
         # Spelling decides what has been seen already, not what is listed.
         assert {ip: (r["ts"], r["direction"]) for ip, r in bad.items()} == {

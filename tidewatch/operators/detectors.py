@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.durable import BROADCAST_ROWS, broadcast_if_small, durable, has_at_most
+from tidewatch.durable import BROADCAST_BYTES, broadcast_if_small, bytes_of, durable
 from tidewatch.functions import network as net
 from tidewatch.functions.clock import MICROS, from_micros, micros
 from tidewatch.operators.sliding import first_hits, rows_in_window
@@ -122,7 +122,7 @@ def beaconing(flows: DataFrame, min_connections: int = 10, tolerance_percent: fl
     # gathered below can hold a large share of all rows.
     is_slow = F.col("last_t") - F.col("first_t") > (F.col("n") - 1) * MICROS
     slow = pairs.where(is_slow).select(*pair)
-    if has_at_most(slow, BROADCAST_ROWS):
+    if bytes_of(slow) <= BROADCAST_BYTES:
         points = points.join(F.broadcast(slow), pair)
     else:
         # Too many pairs to broadcast: drop the busy ones first (there are at most total

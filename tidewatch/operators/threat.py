@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.durable import BROADCAST_ROWS, has_at_most
+from tidewatch.durable import BROADCAST_BYTES, bytes_of
 
 MALICIOUS_IP, TOR_NODE, MALICIOUS_DOMAIN = "malicious_ip", "tor_exit_node", "malicious_domain"
 
@@ -25,7 +25,7 @@ def ip_first_seen(flows: DataFrame, feeds: DataFrame, kind: str) -> DataFrame:
     ).select("ts", "event_id", "src_ip", "dst_ip", "dst_port", "_end.*")
     sighting = F.min(F.struct("ts", "event_id", "role_no", "src_ip", "dst_ip", "dst_port")).alias("_f")
     is_listed = F.lower("ip") == F.col("indicator")
-    if has_at_most(listed, BROADCAST_ROWS):
+    if bytes_of(listed) <= BROADCAST_BYTES:
         first = ends.join(F.broadcast(listed), is_listed, "left_semi").groupBy("ip").agg(sighting)
     else:
         # A large feed meets one row per address, so no busy address is shuffled row by row.
@@ -39,7 +39,7 @@ def ip_first_seen(flows: DataFrame, feeds: DataFrame, kind: str) -> DataFrame:
 def domain_contacts(flows: DataFrame, feeds: DataFrame) -> DataFrame:
     """Every flow whose domain is listed (exact match, ignoring case)."""
     listed = _listed(feeds, MALICIOUS_DOMAIN)
-    if has_at_most(listed, BROADCAST_ROWS):
+    if bytes_of(listed) <= BROADCAST_BYTES:
         listed = F.broadcast(listed)
     # For a large feed the busy domains are split by the adaptive skew join.
     named = flows.where(F.col("domain") != "")
