@@ -8,6 +8,8 @@ groups and pages are small and have page indexes, so that a few documents or the
 be read without the rest.
 """
 
+import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import steps
 
-# Words that a task's cache may hold before it is emptied.
+# Words of a generation of a process's cache.
 CACHE_WORDS = 400_000
 
 # Two neighbouring white-space characters (of any kind that Python or the tokenizer knows).
@@ -34,41 +36,72 @@ class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer that starts a new piece at each space.
 
     Where no two white-space characters touch, the tokenizer's own splitting always cuts in front of
-    a space, so a text is the sequence of its space-led words and each distinct word has to be
-    encoded once only. Other texts, and texts that hold the string of a special token, are given to
+    a space, so a text is the sequence of its space-led words and a word that was met before need not
+    be encoded again. Other texts, and texts that hold the string of a special token, are given to
     the tokenizer whole. Results equal the tokenizer's own in every case.
     """
 
     def __init__(self, path: str) -> None:
+        # Spark runs a process per core; more threads would only take each other's time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        # Words met lately, and those met before them; words that come again stay.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        """Adds the ids of space-led words, those not known by one call of the tokenizer."""
+        new = []
+        for word in words:
+            if word in self.old:
+                self.young[word] = self.old[word]
+            elif word:
+                new.append(word)
+            else:
+                self.young[word] = self._plain(" ").tobytes()
+        if new:
+            ids = self._plain(" " + " ".join(new))
+            begins = [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)]
+            if len(begins) != len(new) + 1:
+                raise ValueError("the tokenizer does not start a piece at each space")
+            data = ids.tobytes()
+            self.young.update((w, data[4 * i : 4 * j]) for w, i, j in zip(new, begins[:-1], begins[1:], strict=True))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if TOUCHING.search(text) or any(s in text for s in self.special):
-            return self._plain([text])[0]
+            return self._plain(text).tobytes()
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
         head, *words = text.split(" ")
-        found = list(map(self.cache.get, words))
+        found = list(map(self.young.get, words))
         if None in found:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            new = list({w for w in words if w not in self.cache})
-            self.cache.update(zip(new, self._plain([" " + w for w in new]), strict=True))
-            found = list(map(self.cache.__getitem__, words))
-        return b"".join(self._plain([head]) + found)
+            self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = list(map(self.young.__getitem__, words))
+        return b"".join([self._plain(head).tobytes(), *found])
+
+
+@functools.cache
+def encoder(path: str) -> PieceEncoder:
+    """One for each Python process, so that its words outlive a task."""
+    return PieceEncoder(path)
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, start, part = PieceEncoder(path), 0, TaskContext.get().partitionId()
+    start, part = 0, TaskContext.get().partitionId()
+    encode = encoder(path).encode
     end = np.array([end_id], "<u4").tobytes()
     for rows, texts in steps(batches):
-        ids = [encoder.encode(t.decode("utf-8") if t else "") + end for t in texts]
+        ids = [encode(t.decode("utf-8") if t else "") + end for t in texts]
         lengths = np.array([len(x) // 4 for x in ids], np.int64)
         starts = start + np.concatenate(([0], np.cumsum(lengths)[:-1]))
         start += int(lengths.sum())
