@@ -4,18 +4,15 @@ Each source gets a share of the mix; whole copies that its share holds for certa
 all of its documents, and the rest is a sample in which a document has inclusion probability p
 (its source's remaining share). Documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u drawn
 from a digest of the document's key, and taken in that order until the words are used up. The
-running sums are cut into buckets of the rank, so that no source has to fit into one task.
+running sums are cut into as many buckets of the rank as a bucket has documents, so that no source
+has to fit into one task.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.durable import broadcast_if_small, durable
-from tidewatch.llm.common import WORD, keyed
-
-# Documents of a bucket, about; a source with more is cut into more buckets.
-BUCKET_DOCS = 20_000
-
+from tidewatch.llm.common import WORD, keyed, packed, unpacked
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Adds ``target`` to (source, source_size): ``share`` of all sizes by weight, none above ``most`` times its size.
@@ -42,15 +39,15 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted), and ``row``, ``source`` and ``copies``.
+def planned(texts: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """row, doc_id, source, size, source_size, target, copies and taken (words, repeats counted) of keyed texts with their source.
 
     ``size`` counts words (null text: 0). A document is taken 0 to ``most`` times, whole. The
     document that closes the rest is the one, among those not yet taken, that brings the sum
     nearest to the target, earlier rank first. Reruns agree; a null source is a source;
     documents without words take part with nothing; repeated rows count each.
     """
-    counted = keyed(docs, F.col("source").cast("string").alias("source")).select("row", "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    counted = texts.select("row", "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     sized = durable(counted, "sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -62,7 +59,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rank = F.when(F.col("p") > 0, (u / (1 - u)) / odds)
     # Within a source the rank times the odds of its share is spread evenly once it is put into (0, 1).
     spread = F.col("rank") * odds
-    bucket = F.floor(spread / (1 + spread) * F.ceil(F.col("n_docs") / BUCKET_DOCS)).cast("int")
+    bucket = F.floor(spread / (1 + spread) * F.ceil(F.sqrt("n_docs"))).cast("int")
     same = F.col("source").eqNullSafe(F.col("s"))
     known = broadcast_if_small(plan.withColumnRenamed("source", "s"))
     ranked = sized.join(known, same).drop("s").withColumn("rank", rank).withColumn("bucket", F.coalesce(bucket, F.lit(0)))
@@ -87,4 +84,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     closing = sampled.where("NOT fits AND size > 0").join(named, same).groupBy(F.col("source").alias("s"), "gap").agg(F.min(nearest).alias("best")).where("best.off < gap").select("s", F.col("best.row").alias("closing"))
     final = sampled.join(broadcast_if_small(durable(closing, "closing")), same, "left")
     copies = F.col("whole") + (F.col("fits") | F.coalesce(F.col("row") == F.col("closing"), F.lit(False))).cast("long")
-    return final.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "row", "source", copies.alias("copies"))
+    return final.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of each row of ``docs`` (see ``planned``)."""
+    return planned(keyed(docs, "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns."""
+    texts = packed(docs)
+    copies = durable(planned(texts.withColumn("source", F.col("rest.source"))).where("copies > 0").select("row", "copies"), "copies")
+    taken = texts.join(broadcast_if_small(copies), "row")
+    return unpacked(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))), docs)

@@ -33,4 +33,61 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
-ORACLES = {"op3_warc_transactions": WARC, "op6_pareto_mix": MIX}
+TOPK = r"""
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
+NEAR = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT doc_id, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s,
+             count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS c, i, count(*) OVER (PARTITION BY doc_id) AS n FROM t),
+sh AS (SELECT DISTINCT doc_id, s FROM g WHERE c = 3 OR (i = 1 AND n < 3)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+twoway AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT reach.x, twoway.y FROM reach JOIN twoway ON twoway.x = reach.y),
+parts AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept
+FROM w JOIN parts USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+REPEATS = r"""
+WITH n AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM n),
+h AS (SELECT doc_id, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s,
+             count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS c FROM t),
+o AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM h WHERE c = 20),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM o WHERE k > 1),
+k AS (SELECT t.doc_id, count(g.i) AS n_removed, string_agg(t.word, ' ' ORDER BY t.i) FILTER (g.i IS NULL) AS kept
+      FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY 1)
+SELECT n.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM n LEFT JOIN k ON k.doc_id = n.doc_id
+"""
+
+LEAKS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark),
+dt AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+bt AS (SELECT item_id, len(words) AS n_tokens, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM b),
+e AS (SELECT doc_id, item_id, n_tokens, i - j AS doc_start, j FROM dt JOIN bt USING (word)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, doc_start ORDER BY j RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS near,
+                count(*) OVER (PARTITION BY doc_id, item_id, doc_start) AS n_equal FROM e)
+SELECT doc_id, item_id, doc_start::INTEGER AS doc_start, any_value(n_tokens)::INTEGER AS n_tokens, any_value(n_equal)::INTEGER AS n_equal
+FROM c GROUP BY doc_id, item_id, doc_start HAVING max(near) >= 10 AND any_value(n_tokens) >= 12 OR any_value(n_tokens) BETWEEN 6 AND 11 AND any_value(n_equal) = any_value(n_tokens)
+"""
+
+ORACLES = {
+    "op3_warc_transactions": WARC,
+    "op5_maxscore_topk": TOPK,
+    "op6_pareto_mix": MIX,
+    "op8_circulant_minhash": NEAR,
+    "op9_automaton_repeats": REPEATS,
+    "op10_seeded_overlaps": LEAKS,
+}

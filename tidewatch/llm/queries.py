@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.durable import fresh_path
-from tidewatch.llm import mixing, tokens, warc
-from tidewatch.llm.common import table
+from tidewatch.llm import decontam, langid, mixing, neardup, quality, substring, tokens, topk, toxicity, warc
+from tidewatch.llm.common import in_fold, table
 
 # Parameters of the production runs.
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,12 +31,51 @@ def token_lists(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.digests(tokens.read(spark, path))
 
 
+def crf_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), in_fold(F.col("doc_id"), 4, 2)
+    return langid.predicted(docs, langid.trained(docs, ~held_out)).withColumn("held_out", held_out)
+
+
+def compression_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), in_fold(F.col("doc_id"), 3, 1)
+    scored = quality.score(docs, quality.trained(docs, table(spark, folder, "labels"), ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def maxscore_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"))
+
+
 def pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held_out = table(spark, folder, "documents"), in_fold(F.col("doc_id"), 3, 1)
+    return toxicity.graded(docs, toxicity.trained(docs, table(spark, folder, "labels"), ~held_out)).withColumn("held_out", held_out)
+
+
+def circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), neardup.Spec(width=3, percent=85, bands=25, rows=5))
+
+
+def automaton_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def seeded_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_language": crf_language,
+    "op2_compression_quality": compression_quality,
     "op3_warc_transactions": warc_transactions,
     "op4_token_lists": token_lists,
+    "op5_maxscore_topk": maxscore_topk,
     "op6_pareto_mix": pareto_mix,
+    "op7_ordinal_toxicity": ordinal_toxicity,
+    "op8_circulant_minhash": circulant_minhash,
+    "op9_automaton_repeats": automaton_repeats,
+    "op10_seeded_overlaps": seeded_overlaps,
 }

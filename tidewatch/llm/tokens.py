@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import steps
 
 # Words of a generation of a process's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 # Two neighbouring white-space characters (of any kind that Python or the tokenizer knows).
 TOUCHING = re.compile(r"\s\s")
