@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.durable import durable, fresh_path
 from tidewatch.llm import decontam, mixing, neardup, quality, tokens
-from tidewatch.llm.common import in_fold, table
+from tidewatch.llm.common import in_fold, ship, table
 from tidewatch.llm.queries import tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more by a model from the labels (those held out by op2 stay unused here too)."""
+    ship(spark)
     model = quality.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~in_fold(F.col("doc_id"), 3, 1))
     names = tuple(docs.columns)
     return quality.score(docs, model, names, "_quality").where("_quality >= 0.5").select(*names)
@@ -24,6 +25,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 80 % of their five-word shingles."""
+    ship(spark)
     return neardup.deduplicated(docs, neardup.Spec())
 
 
@@ -39,6 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and tokens, read back from the files written."""
+    ship(spark)
     path = fresh_path(spark, "tokens")
     tokens.write(docs, path, tokenizer_path())
     return tokens.read(spark, path)

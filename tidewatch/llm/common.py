@@ -3,13 +3,16 @@
 Intermediate tables are written below ``spark.checkpoint.dir`` (see ``tidewatch.durable``).
 """
 
+import io
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.durable import durable
+from tidewatch.durable import durable, fresh_path
 
 # Bytes of text that one step of a vectorised function works on (a longer text is a step of its own).
 STEP_BYTES = 2 << 20
@@ -23,6 +26,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python, once an application, so that they need not have it installed."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    top = Path(__file__).resolve().parents[1]
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(top.rglob("*.py")):
+            archive.write(file, file.relative_to(top.parent))
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{fresh_path(spark, 'code')}/{top.name}.zip")
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    stream.write(data.getvalue())
+    stream.close()
+    spark.sparkContext.addPyFile(path.toString())
+
+
 def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """True if crc32 of the id as text leaves ``fold``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -3,9 +3,10 @@
 An overlap is a window of 12 tokens of a benchmark item that a document repeats with at most two
 substitutions. Cut such a window into four blocks of three: two of them are untouched, and they lie
 next to each other, one block apart, or two. Three fixed masks (below) therefore find every
-overlap: each looks at two blocks and ignores what lies between. The hashes of all masked windows
-of all documents are joined with those of the benchmark; hits that put an item at the same place
-of a document are one candidate, and its tokens are compared one by one.
+overlap: each looks at two blocks and ignores what lies between. Positions whose block the
+benchmark does not have are dropped first; the hashes of the masked windows of the rest are joined
+with those of the benchmark. Hits that put an item at the same place of a document are one
+candidate, and its tokens are compared one by one.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -27,22 +28,18 @@ def tokens_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(table: DataFrame, *columns: str) -> DataFrame:
-    """(columns, at, key): the hash of every mask at every position of ``tokens``.
-
-    Masks that reach over the end see one block only, which no whole mask's hash equals. The block
-    hashes are columns of their own, so that they are computed once a position.
-    """
+def _blocks(table: DataFrame, *columns: str) -> DataFrame:
+    """(columns, at, block): the hash of the three tokens at each position of ``tokens``."""
     hashed = table.select(*columns, F.transform("tokens", lambda w: F.xxhash64(w)).alias("h"))
     places = F.when(F.size("h") >= 2 * BLOCK, F.sequence(F.lit(0), F.size("h") - BLOCK)).otherwise(F.array().cast("array<int>"))
-    blocks = hashed.select(*columns, F.transform(places, lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2))).alias("b"))
+    return hashed.select(*columns, F.posexplode(F.transform(places, lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)))).alias("at", "block"))
 
-    def masked(mask: int, second: int) -> Column:
-        return F.transform("b", lambda x, i: F.xxhash64(F.lit(mask), x, F.get("b", i + second)))
 
-    masks = [masked(m, second) for m, second in enumerate(_SECOND)]
-    exploded = blocks.select(*columns, F.size("b").alias("n"), F.posexplode(F.concat(*masks)).alias("place", "key"))
-    return exploded.select(*columns, (F.col("place") % F.col("n")).alias("at"), "key")
+def _seeds(blocks: DataFrame, owner: str) -> DataFrame:
+    """(owner, at, key): the hash of every mask at every position where both of its blocks are among ``blocks``."""
+    ends = F.explode(F.array(*(F.struct(F.lit(m).alias("mask"), F.lit(second).alias("second")) for m, second in enumerate(_SECOND)))).alias("m")
+    second = blocks.select(owner, "at", F.col("block").alias("other"), ends).select(owner, "m.mask", (F.col("at") - F.col("m.second")).alias("at"), "other")
+    return blocks.join(second, [owner, "at"]).select(owner, "at", F.xxhash64("mask", "block", "other").alias("key"))
 
 
 def aligned(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -55,8 +52,12 @@ def aligned(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens_of(F.col("text")).alias("tokens")).distinct()
     items = durable(items.withColumn("item", F.xxhash64("item_id", F.array_join("tokens", " "))).dropDuplicates(["item"]), "items")
-    known = durable(_seeds(items, "item").withColumnRenamed("at", "item_at").distinct(), "item_seeds")
-    hits = _seeds(texts.select("row", tokens_of(F.col("text")).alias("tokens")), "row").join(broadcast_if_small(known), "key")
+    item_blocks = durable(_blocks(items, "item"), "item_blocks")
+    known = durable(_seeds(item_blocks, "item").withColumnRenamed("at", "item_at"), "item_seeds")
+    # A mask can only hit where both of its blocks are the benchmark's, so other positions go first.
+    wanted = durable(item_blocks.select("block").distinct(), "item_block_hashes")
+    met = _blocks(texts.select("row", tokens_of(F.col("text")).alias("tokens")), "row").join(broadcast_if_small(wanted), "block", "left_semi")
+    hits = _seeds(durable(met, "met_blocks"), "row").join(broadcast_if_small(known), "key")
     placed = hits.groupBy("row", "item", (F.col("at") - F.col("item_at")).alias("doc_start")).agg(F.count("*").alias("hits"))
     placed = durable(placed, "alignments")
 

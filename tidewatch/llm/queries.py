@@ -1,5 +1,6 @@
 """The registered queries of the corpus operators, each over its whole table."""
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.durable import fresh_path
 from tidewatch.llm import decontam, langid, mixing, neardup, quality, substring, tokens, topk, toxicity, warc
-from tidewatch.llm.common import in_fold, table
+from tidewatch.llm.common import in_fold, ship, table
 
 # Parameters of the production runs.
 TOKENIZER = "byte_bpe_50k.json"
@@ -67,7 +68,19 @@ def seeded_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipping(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     "op1_crf_language": crf_language,
     "op2_compression_quality": compression_quality,
     "op3_warc_transactions": warc_transactions,
@@ -79,3 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_automaton_repeats": automaton_repeats,
     "op10_seeded_overlaps": seeded_overlaps,
 }
+QUERIES = {name: _shipping(query) for name, query in _QUERIES.items()}
