@@ -9,7 +9,9 @@ start, and only classes are compared.
 Within a band's bucket, classes are first compared with the bucket's smallest. What that leaves in
 different components is compared further: all pairs in small buckets, growing samples against the
 rest in large ones, until each bucket is one component or fully compared. A large group of copies
-thus costs one comparison a member, and no link is lost.
+thus costs one comparison a member, and no link is lost. For the further pairs, some thousand more
+coordinates are drawn, of which one bit each is kept; a pair that agrees in far fewer bits than a
+pair at the threshold does needs no comparison of sets.
 """
 
 import hashlib
@@ -27,7 +29,9 @@ from tidewatch.llm.graph import components
 from tidewatch.llm.textwords import U, mixed, run_hashes, signed, word_hashes
 
 # Buckets with at most so many classes to compare are compared in one go.
-SMALL_BUCKET = 48
+SMALL_BUCKET = 512
+# Coordinates of which one bit is kept, and how many standard deviations a pair may agree in fewer.
+BITS, DEVIATIONS = 4_096, 7.0
 
 
 @dataclass(frozen=True)
@@ -43,6 +47,12 @@ class Spec:
     bands: int = 30
     rows: int = 4
 
+    @property
+    def most_different(self) -> int:
+        """Bits in which a pair at the threshold differs at most, but for a chance of about 1e-11."""
+        p = (1 - self.percent / 100) / 2
+        return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5) + 1
+
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; a text of fewer words is one shingle, an empty text none."""
@@ -103,6 +113,21 @@ def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(sets))))], names=["row", "shingles"])
 
 
+def _bits(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
+    """A bit of each further coordinate, packed into longs; texts without shingles left out."""
+    for rows, texts in steps(batches):
+        sets = shingle_sets(texts, spec.width)
+        full = [i for i, s in enumerate(sets) if len(s)]
+        places = np.concatenate([sets[i] for i in full]).astype(np.uint32) if full else np.zeros(0, np.uint32)
+        begins = np.concatenate(([0], np.cumsum([len(sets[i]) for i in full])[:-1])).astype(np.int64)
+        packed = np.zeros((len(full), BITS // 64), U)
+        for k in range(BITS if full else 0):
+            least = np.minimum.reduceat(_second(places - np.uint32(spec.bands * spec.rows + k)), begins)
+            packed[:, k // 64] |= (least & np.uint32(1)).astype(U) << U(k % 64)
+        offsets = (np.arange(len(full) + 1) * (BITS // 64)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(full, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(packed.reshape(-1))))], names=["row", "bits"])
+
+
 def similar(pairs: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     """Those of ``pairs`` (a, b: rows) whose full shingle sets are similar enough."""
     pairs = durable(pairs, "pairs")
@@ -128,22 +153,33 @@ def linked(classes: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     active = durable(inside, "buckets")
     first = active.where(_sizes_allow("n", "m", spec)).select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct()
     links = durable(similar(first, texts, spec), "links")
-    active, sample = active.select("bucket", "row", "n"), SMALL_BUCKET // 4
+    labels = components(links)
+    active, sample, bits = active.select("bucket", "row", "n"), SMALL_BUCKET // 4, None
     while True:
-        labels = components(links)
         known = active.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
         known = durable(known, "known")
         open_ones = known.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"), F.min("row").alias("one")).where("least < most").drop("least", "most")
         active = durable(known.join(open_ones, "bucket"), "active")
         if active.isEmpty():
             return labels
+        if bits is None:
+            ids = durable(active.select("row").distinct(), "active_rows")
+            chosen = texts.select("row", "text").join(broadcast_if_small(ids), "row", "left_semi")
+            bits = durable(chosen.mapInArrow(lambda batches: _bits(batches, spec), "row bigint, bits array<bigint>"), "bits")
         share = F.ceil(F.col("size") / sample)
         chosen = (F.col("size") <= SMALL_BUCKET) | (F.col("row") == F.col("one")) | (F.pmod(F.xxhash64("row", "bucket"), share) == 0)
-        left = active.where(chosen).select("bucket", F.col("row").alias("x"), F.col("n").alias("m"), F.col("component").alias("other"))
-        met = active.join(left, "bucket").where((F.col("component") != F.col("other")) & _sizes_allow("n", "m", spec))
+        marked = active.join(bits, "row")
+        left = marked.where(chosen).select("bucket", F.col("row").alias("x"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("bits").alias("b"))
+        differ = F.aggregate(F.zip_with("bits", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        met = marked.join(left, "bucket").where((F.col("component") != F.col("other")) & _sizes_allow("n", "m", spec)).where(differ <= spec.most_different)
         pairs = met.select(F.least("row", "x").alias("a"), F.greatest("row", "x").alias("b")).distinct()
-        links = durable(links.unionByName(similar(pairs, texts, spec)), "links")
+        found = durable(similar(pairs, texts, spec), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
         active, sample = active.where(~chosen).select("bucket", "row", "n"), sample * 4
+        if active.isEmpty():
+            return labels
 
 
 def grouped(texts: DataFrame, spec: Spec) -> DataFrame:
