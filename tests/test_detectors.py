@@ -88,7 +88,7 @@ def test_exfiltration(spark, chunks):
     assert (got["slides"]["ts"], got["slides"]["last_ts"]) == (at(0), at(3000))
 
 
-def test_beaconing(spark, monkeypatch):
+def test_beaconing(spark):
     def beats(src, times):
         return [row(t, src_ip=src) for t in times]
 
@@ -97,10 +97,8 @@ def test_beaconing(spark, monkeypatch):
         *beats("jitter", [0, 290, 600, 905, 1200, 1490, 1800, 2110, 2400, 2700]),
         *beats("wild", [0, 10, 600, 905, 1000, 1490, 1500, 2110, 2120, 2700]), *beats("same", [5] * 12),
     ])
-    for limit in (8 << 20, 0):  # with and without a broadcast of the candidate pairs
-        monkeypatch.setattr(detectors, "BROADCAST_BYTES", limit)
-        monkeypatch.setattr(detectors, "BUSY", 11)
-        got = by(detectors.beaconing(fl), "src_ip")
+    for chunks in (None, 1, 7):
+        got = by(detectors.beaconing(fl, chunks=chunks), "src_ip")
         assert set(got) == {"regular", "jitter"}
         regular = got["regular"]
         assert (regular["connection_count"], regular["mean_interval"], regular["cv_percent"]) == (10, 300.0, 0.0)

@@ -2,8 +2,11 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from tests.flowrows import flows, row
-from tidewatch.operators import detectors, stats, threat
+from tidewatch.durable import durable
+from tidewatch.operators import declared, detectors, sliding, stats, threat
 from tidewatch.plans.checks import QUERIES
 from tidewatch.plans.oracles import ORACLES
 
@@ -51,3 +54,22 @@ def test_no_python_workers_and_no_cross_joins(spark, tmp_path):
 
 def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_distinct_windows_move_counts_first(spark, tmp_path):
+    fl = stored(spark, tmp_path)
+    points = sliding.prepare(fl, ["src_ip"], 60_000_000, distinct="dst_port")
+    text = plan(sliding.possible_cells(points, ["src_ip"], lambda: F.col("d") >= 3))
+    # One exchange, of partial counts by key and cell; the values stay where they are.
+    first = text[text.rindex("Exchange"):]
+    assert "partial_count" in first and "keys=[src_ip" in first and "dst_port" not in first
+
+
+def test_rules_share_one_scan(spark, tmp_path, monkeypatch):
+    fl = stored(spark, tmp_path)
+    written = []
+    monkeypatch.setattr(declared, "durable", lambda df, name: written.append(plan(df)) or durable(df, name))
+    single = [{"id": f"R{i}", "name": "n", "conditions": {"dst_port": i}} for i in range(40)]
+    counted = [{"id": f"C{i}", "name": "n", "conditions": {"dst_port": i, "count_min": 1, "time_window_seconds": 60}} for i in range(5)]
+    assert declared.threshold_rules(fl, single + counted).count() == 45
+    assert len(written) == 1 and written[0].count("FileScan") == 1

@@ -109,3 +109,27 @@ def test_dedup_matches_a_loop(spark, chunks):
     assert got == kept_times(times, 300)
     assert [t for k, t in got if k == "fold"] == [at(0), at(400)]
     assert [t for k, t in got if k == "strict"] == [at(0), at(601)]
+
+
+@pytest.mark.parametrize("chunks", [None, 6])
+def test_beaconing_matches_loops(spark, chunks):
+    rng = random.Random(11)
+    rows = []
+    for i in range(12):
+        t = 0.0
+        for _ in range(rng.randrange(2, 60)):
+            t += rng.choice([5, 5, 5.5, 6, 5 + i])
+            rows.append(row(t, src_ip="hot" if i < 4 else f"s{i}", dst_ip=f"d{i % 3}"))
+    want = {}
+    for r in rows:
+        want.setdefault((r["src_ip"], r["dst_ip"]), []).append(r["ts"])
+    found = {}
+    for pair, times in want.items():
+        times.sort()
+        gaps = [(b - a).total_seconds() for a, b in zip(times, times[1:])]
+        mean = sum(gaps) / len(gaps) if gaps else 0
+        std = (sum((g - mean) ** 2 for g in gaps) / len(gaps)) ** 0.5 if gaps else 0
+        if len(times) >= 5 and mean > 1 and std / mean * 100 <= 60:
+            found[pair] = (len(times), round(mean, 6), round(std, 6))
+    got = by(detectors.beaconing(flows(spark, rows), 5, 60, chunks), "src_ip", "dst_ip")
+    assert {k: (r["connection_count"], round(r["mean_interval"], 6), round(r["std_interval"], 6)) for k, r in got.items()} == found

@@ -21,7 +21,7 @@ def test_syslog_totals_over_batches(spark, tmp_path):
 
     def run():
         flows = watch.watch_flows(spark, str(folder), "syslog", YEAR, max_files=1)
-        watch.run_available(watch.tumbling_totals(flows), output, "update", state)
+        watch.run_totals(flows, output, checkpoint=state)
         return {r.protocol: (r.events, r.bytes) for r in watch.latest_totals(spark, output).collect()}
 
     assert run() == {"TCP": (3, 30), "UDP": (1, 10)}
@@ -37,3 +37,34 @@ def test_json_matches(spark, tmp_path):
     flows = watch.watch_flows(spark, str(folder), "json", YEAR).withColumn("event_id", F.lit(None).cast("bigint"))
     watch.run_available(threat.domain_contacts(flows, feed), str(tmp_path / "out"))
     assert [r.domain for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["Evil.com"]
+
+
+def test_rows_of_any_age_count_in_any_zone(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for name, hour in (("a", 20), ("b", 10), ("c", 5)):
+        (folder / f"{name}.json").write_text("".join(f'{{"time": "2024-02-04 {hour:02d}:15:{i:02d}"}}\n' for i in range(10)))
+    (folder / "other.txt").write_text('{"time": "2024-02-04 01:00:00"}\n')
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for number, (own, width) in enumerate((("Asia/Kolkata", 3600), ("America/New_York", 86_400))):
+        spark.conf.set("spark.sql.session.timeZone", own)
+        try:
+            output = str(tmp_path / f"out{number}")
+            watch.run_totals(watch.watch_flows(spark, str(folder), "json", YEAR, max_files=1), output, width)
+            got = {str(r.window_start): r.events for r in watch.latest_totals(spark, output).collect()}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        hours = {f"2024-02-04 {h:02d}:00:00": 10 for h in (5, 10, 20)}
+        assert got == (hours if width == 3600 else {"2024-02-04 00:00:00": 30})
+
+
+def test_csv_stream(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Time,src,dst,proto,in_bytes\n2024-02-04 10:00:00,1.1.1.1,2.2.2.2,tcp,5\nsoon,1.1.1.1,2.2.2.2,tcp,5\n")
+    (folder / "b.csv").write_text("Time,src,dst,proto,in_bytes\n2024-02-04T11:00:00,1.1.1.3,2.2.2.2,udp,\t7 \n")
+    (folder / "c.log").write_text("Time,src\n")
+    flows = watch.watch_flows(spark, str(folder), "csv", YEAR, max_files=1, header=["Time", "src", "dst", "proto", "in_bytes"])
+    watch.run_available(flows, str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.src_ip, r.protocol, r.bytes_received) for r in got) == [("1.1.1.1", "TCP", 5), ("1.1.1.3", "UDP", 7)]

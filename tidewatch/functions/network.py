@@ -72,12 +72,12 @@ def is_internal(ip: Column) -> Column:
 
 
 def human_bytes(amount: Column) -> Column:
-    """1024-step size text with one decimal, from B to PB."""
+    """1024-step size text with one decimal (ties to even), from B to PB."""
     size = amount.cast("double")
-    text = F.format_string("%.1f PB", size / 1024.0**5)
+    text = F.format_string("%.1f PB", F.bround(size / 1024.0**5, 1))
     for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
         scaled = size / 1024.0**power
-        text = F.when(F.abs(scaled) < 1024.0, F.format_string(f"%.1f {unit}", scaled)).otherwise(text)
+        text = F.when(F.abs(scaled) < 1024.0, F.format_string(f"%.1f {unit}", F.bround(scaled, 1))).otherwise(text)
     return text
 
 

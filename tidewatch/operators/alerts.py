@@ -125,9 +125,9 @@ def ddos_alerts(found: DataFrame) -> DataFrame:
     return as_alerts(
         found, 4, "RULE-006", F.lit("DDoS Attack Detected"), "ddos", F.lit("CRITICAL"), "T1498",
         F.format_string("Potential DDoS attack against %s: %.0f requests/sec from %d unique sources. "
-                        "Total volume: %.1f MB.", "dst_ip", "requests_per_second", "unique_sources", mb),
-        [F.round("requests_per_second", 1).alias("requests_per_second"), F.col("unique_sources"),
-         F.col("total_events"), F.round(mb, 2).alias("total_bytes_mb"), F.col("duration_seconds"),
+                        "Total volume: %.1f MB.", "dst_ip", F.bround("requests_per_second", 0), "unique_sources", F.bround(mb, 1)),
+        [F.bround("requests_per_second", 1).alias("requests_per_second"), F.col("unique_sources"),
+         F.col("total_events"), F.bround(mb, 2).alias("total_bytes_mb"), F.col("duration_seconds"),
          F.col("top_sources")],
         F.lit(ADVICE["ddos"]),
         src_ip=F.concat(F.col("unique_sources").cast("string"), F.lit(" sources")),
@@ -139,8 +139,8 @@ def exfiltration_alerts(found: DataFrame, window_s: float) -> DataFrame:
     return as_alerts(
         found, 5, "RULE-010", F.lit("Potential Data Exfiltration"), "exfiltration", F.lit("HIGH"), "T1048",
         F.format_string("Large outbound data transfer detected from %s: %.1f MB transferred within "
-                        f"{int(window_s // 3600)} hour(s).", "src_ip", mb),
-        [F.col("total_bytes"), F.round(mb, 2).alias("total_mb"), F.col("transfer_count"),
+                        f"{int(window_s // 3600)} hour(s).", "src_ip", F.bround(mb, 1)),
+        [F.col("total_bytes"), F.bround(mb, 2).alias("total_mb"), F.col("transfer_count"),
          F.lit(window_s / 3600).alias("time_window_hours")],
         F.lit(ADVICE["exfiltration"]),
     )
@@ -152,8 +152,8 @@ def beaconing_alerts(found: DataFrame) -> DataFrame:
         found, 6, "RULE-011", F.lit("C2 Beaconing Pattern Detected"), "c2", F.lit("CRITICAL"), "T1071",
         F.format_string("Regular beaconing pattern detected: %s -> %s. %d connections at ~%.1fs intervals "
                         "(regularity: %.1f%%).", "src_ip", "dst_ip", "connection_count", "mean_interval", regularity),
-        [F.col("connection_count"), F.round("mean_interval", 2).alias("mean_interval_seconds"),
-         F.round("std_interval", 2).alias("std_deviation"), F.round(regularity, 1).alias("regularity_percent"),
+        [F.col("connection_count"), F.bround("mean_interval", 2).alias("mean_interval_seconds"),
+         F.bround("std_interval", 2).alias("std_deviation"), F.bround(regularity, 1).alias("regularity_percent"),
          _iso("ts").alias("first_seen"), _iso("last_ts").alias("last_seen")],
         F.lit(ADVICE["beaconing"]),
     )
@@ -177,8 +177,8 @@ def anomaly_alerts(found: DataFrame) -> DataFrame:
         F.format_string("Anomalous traffic volume from %s: %d events (z-score: %.2f, mean: %.0f). "
                         "This is %.1f standard deviations above normal.",
                         "src_ip", "event_count", "z_score", "mean_events", "z_score"),
-        [F.col("event_count"), F.round("z_score", 2).alias("z_score"), F.round("mean_events", 1).alias("mean_events"),
-         F.round("std_events", 1).alias("std_deviation"), F.col("total_bytes")],
+        [F.col("event_count"), F.bround("z_score", 2).alias("z_score"), F.bround("mean_events", 1).alias("mean_events"),
+         F.bround("std_events", 1).alias("std_deviation"), F.col("total_bytes")],
         F.lit(ADVICE["anomaly"]),
     )
 
@@ -226,8 +226,8 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
     )
     # Alerts of one key at one moment: only the first can be kept. Texts stay behind.
     heads = durable(
-        keyed.groupBy("_key", "_t").agg(F.min(F.struct(*DEDUP_TIE_ORDER, "alert_id")).alias("_first")).select(
-            "_key", "_t", F.col("_first.alert_id").alias("alert_id")),
+        keyed.groupBy("_key", "_t").agg(F.min(F.struct(*DEDUP_TIE_ORDER, "alert_id")).alias("_first"), F.count("*").alias("_n")).select(
+            "_key", "_t", F.col("_first.alert_id").alias("alert_id"), "_n"),
         "alert-heads",
     )
     steps = heads.select(
@@ -256,9 +256,10 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
             "alert-links",
         )
     kept = durable(heads.join(reached, ["_key", "_t"], "left_semi"), "alert-kept")
-    # Alerts that agree even in their id are one alert.
-    found = keyed.join(broadcast_if_small(kept), ["_key", "_t", "alert_id"], "left_semi")
-    return found.dropDuplicates(["_key", "_t", "alert_id"]).select(alerts.columns)
+    found = keyed.join(broadcast_if_small(kept), ["_key", "_t", "alert_id"])
+    # Alerts that agree even in their id are one alert; only those with company are moved to see.
+    doubtful = found.where("_n > 1").dropDuplicates(["_key", "_t", "alert_id"])
+    return found.where("_n = 1").unionByName(doubtful).select(alerts.columns)
 
 
 def at_least(alerts: DataFrame, severity: str) -> DataFrame:

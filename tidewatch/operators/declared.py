@@ -5,9 +5,10 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.durable import durable
 from tidewatch.functions import network as net
 from tidewatch.functions.clock import from_micros
 from tidewatch.operators.detectors import port_scan, repeated_attempts
@@ -119,40 +120,52 @@ RULE_FIELDS = [
 RULE_OTHERS = ["count_min", "bytes_sent_min", "time_window_seconds"]
 
 
+def _meets(conditions: dict[str, Any]) -> Column:
+    tests = [F.lit(True)]
+    for field in RULE_FIELDS:
+        if field in conditions:
+            wanted = conditions[field]
+            tests.append(F.col(field).isin(wanted if isinstance(wanted, list) else [wanted]))
+    if "bytes_sent_min" in conditions:
+        tests.append(F.col("bytes_sent") >= conditions["bytes_sent_min"])
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+
 def threshold_rules(flows: DataFrame, rules: list[dict[str, Any]], chunks: int | None = None) -> DataFrame:
     """Rules given as dicts with id, name, category, severity, enabled and conditions.
 
     With ``count_min`` and ``time_window_seconds`` a rule fires once per (source, target,
-    port); otherwise on every flow that meets its conditions.
+    port); otherwise on every flow that meets its conditions. One scan tags each flow with the
+    rules it meets, and what is tagged is written; rules that count over equal windows are
+    followed together, with the rule as part of the key.
     """
-    parts = []
-    for rule in rules:
-        if not rule.get("enabled", True):
-            continue
-        conditions = rule.get("conditions", {})
-        unknown = set(conditions) - set(RULE_FIELDS) - set(RULE_OTHERS)
+    active = [rule for rule in rules if rule.get("enabled", True)]
+    if not active:
+        raise ValueError("no enabled rule")
+    for rule in active:
+        unknown = set(rule.get("conditions", {})) - set(RULE_FIELDS) - set(RULE_OTHERS)
         if unknown:
             raise ValueError(f"rule {rule['id']}: unknown conditions {sorted(unknown)}")
-        rows = flows
-        for field in RULE_FIELDS:
-            if field in conditions:
-                wanted = conditions[field]
-                rows = rows.where(F.col(field).isin(wanted if isinstance(wanted, list) else [wanted]))
-        if "bytes_sent_min" in conditions:
-            rows = rows.where(F.col("bytes_sent") >= conditions["bytes_sent_min"])
-        if "count_min" in conditions:
-            hits = repeated_attempts(
-                rows, ["src_ip", "dst_ip", "dst_port"], conditions["count_min"],
-                conditions["time_window_seconds"], chunks,
-            ).withColumnRenamed("attempts", "events").withColumn("bytes_sent", F.lit(None).cast("bigint"))
-        else:
-            hits = rows.withColumn("events", F.lit(1).cast("bigint"))
-        parts.append(hits.select(
-            F.lit(rule["id"]).alias("rule_id"), F.lit(rule["name"]).alias("rule_name"),
-            F.lit(rule.get("category", "unknown")).alias("category"),
-            F.lit(rule.get("severity", "LOW")).alias("severity"), F.lit(rule.get("description", "")).alias("about"),
-            "ts", "src_ip", "dst_ip", "dst_port", "events", "bytes_sent", "event_id",
-        ))
-    if not parts:
-        raise ValueError("no enabled rule")
-    return reduce(DataFrame.unionByName, parts)
+    met = F.array_compact(F.array(*[F.when(_meets(rule.get("conditions", {})), i) for i, rule in enumerate(active)]))
+    columns = ["ts", "src_ip", "dst_ip", "dst_port", "bytes_sent", "event_id"]
+    tagged = durable(flows.select(*columns, F.explode(met).alias("rule_no")), "rule-matches")
+
+    windows: dict[float, list[int]] = {}
+    for i, rule in enumerate(active):
+        if "count_min" in rule.get("conditions", {}):
+            windows.setdefault(rule["conditions"]["time_window_seconds"], []).append(i)
+    counting = [i for numbers in windows.values() for i in numbers]
+    parts = [tagged.where(~F.col("rule_no").isin(counting)).withColumn("events", F.lit(1).cast("bigint"))]
+    for window_s, numbers in windows.items():
+        least = F.element_at(F.create_map(*[F.lit(x) for i in numbers for x in (i, active[i]["conditions"]["count_min"])]), F.col("rule_no"))
+        hits = repeated_attempts(tagged.where(F.col("rule_no").isin(numbers)), ["rule_no", "src_ip", "dst_ip", "dst_port"], least, window_s, chunks)
+        parts.append(hits.withColumnRenamed("attempts", "events").withColumn("bytes_sent", F.lit(None).cast("bigint")).select(*columns, "rule_no", "events"))
+
+    def of_rule(name: str, default: str) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for i, rule in enumerate(active) for x in (i, rule.get(name, default))]), F.col("rule_no"))
+
+    return reduce(DataFrame.unionByName, parts).select(
+        of_rule("id", "").alias("rule_id"), of_rule("name", "").alias("rule_name"), of_rule("category", "unknown").alias("category"),
+        of_rule("severity", "LOW").alias("severity"), of_rule("description", "").alias("about"),
+        "ts", "src_ip", "dst_ip", "dst_port", "events", "bytes_sent", "event_id",
+    )

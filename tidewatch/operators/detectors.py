@@ -3,17 +3,15 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.durable import BROADCAST_BYTES, broadcast_if_small, bytes_of, durable
+from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.functions import network as net
 from tidewatch.functions.clock import MICROS, from_micros, micros
+from tidewatch.operators.scan import CHUNK, chunked_if_large
 from tidewatch.operators.sliding import first_hits, rows_in_window
 
 # Z-score thresholds per sensitivity.
 SENSITIVITY = {"low": 3.5, "medium": 3.0, "high": 2.0}
 
-# A pair with more rows than this counts as busy.
-BUSY = 1_000_000
-
 
 def port_scan(flows: DataFrame, unique_ports: int = 15, window_s: float = 60,
               where: Column | None = None, chunks: int | None = None) -> DataFrame:
@@ -42,9 +40,12 @@ def port_scan(flows: DataFrame, unique_ports: int = 15, window_s: float = 60,
     )
 
 
-def repeated_attempts(rows: DataFrame, keys: list[str], count_min: int, window_s: float,
+def repeated_attempts(rows: DataFrame, keys: list[str], count_min: int | Column, window_s: float,
                       chunks: int | None = None) -> DataFrame:
-    """First time ``count_min`` rows of one key fall into the window: keys, ts, last_ts, attempts."""
+    """First time ``count_min`` rows of one key fall into the window: keys, ts, last_ts, attempts.
+
+    ``count_min`` may depend on the keys.
+    """
     enough = lambda: F.col("n") >= count_min
     hits, _ = first_hits(rows, keys, window_s, enough, enough, enough, chunks=chunks)
     return hits.select(
@@ -109,38 +110,47 @@ def exfiltration(flows: DataFrame, outbound_bytes: int = 104_857_600, window_s:
     )
 
 
-def beaconing(flows: DataFrame, min_connections: int = 10, tolerance_percent: float = 15) -> DataFrame:
-    """(source, target) pairs with regular gaps over the whole history."""
+def beaconing(flows: DataFrame, min_connections: int = 10, tolerance_percent: float = 15,
+              chunks: int | None = None) -> DataFrame:
+    """(source, target) pairs with regular gaps over the whole history.
+
+    The mean gap is (last - first) / (n - 1), known without any ordering, so the squared
+    deviations of the gaps add up: within each chunk of a pair's history, and over the borders of
+    its chunks. No pair has to fit into one task.
+    """
     pair = ["src_ip", "dst_ip"]
-    points = flows.select(*pair, micros(F.col("ts")).alias("t"))
+    points = flows.select(*pair, micros(F.col("ts")).alias("t"), F.col("event_id").alias("eid"))
     pairs = points.groupBy(*pair).agg(
         F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t")
     )
-    pairs = durable(pairs.where(F.col("n") >= max(min_connections, 2)), "pairs")
-    # The mean gap is (last - first) / (n - 1), known without any ordering. Requiring it to
-    # exceed one second bounds a pair by one row per second of history, so no pair that is
-    # gathered below can hold a large share of all rows.
-    is_slow = F.col("last_t") - F.col("first_t") > (F.col("n") - 1) * MICROS
-    slow = pairs.where(is_slow).select(*pair)
-    if bytes_of(slow) <= BROADCAST_BYTES:
-        points = points.join(F.broadcast(slow), pair)
-    else:
-        # Too many pairs to broadcast: drop the busy ones first (there are at most total
-        # rows / BUSY of them), then join by key.
-        busy = pairs.where(~is_slow & (F.col("n") > BUSY)).select(*pair)
-        points = points.join(broadcast_if_small(busy), pair, "left_anti").join(slow, pair)
-    line = Window.partitionBy(*pair).orderBy("t")
-    gaps = points.withColumn("gap", (F.col("t") - F.lag("t").over(line)) / MICROS)
-    stats = gaps.groupBy(*pair).agg(
-        F.count("*").alias("connection_count"), F.avg("gap").alias("mean_interval"),
-        F.stddev_pop("gap").alias("std_interval"), F.min("t").alias("first_t"), F.max("t").alias("last_t"),
-    )
-    cv = F.col("std_interval") / F.col("mean_interval") * 100
-    return stats.where(F.col("mean_interval") > 1).withColumn("cv_percent", cv).where(
+    mean = F.try_divide(F.col("last_t") - F.col("first_t"), (F.col("n") - 1) * MICROS)
+    slow = durable(
+        pairs.where(F.col("n") >= max(min_connections, 2)).withColumn("mean", mean).where(F.col("mean") > 1), "pairs"
+    )
+    rows = slow.agg(F.sum("n")).first()[0] or 0
+    chosen = points.join(broadcast_if_small(slow.select(*pair, "mean")), pair)
+    chunked = chunked_if_large(chosen, rows, pair, ["t", "eid"], chunks)
+    part = [*pair, CHUNK] if CHUNK in chunked.columns else pair
+    line = Window.partitionBy(*part).orderBy("t")
+
+    def square(gap_us: Column) -> Column:
+        return F.pow(gap_us / MICROS - F.col("mean"), 2)
+
+    parts = chunked.withColumn("off", square(F.col("t") - F.lag("t").over(line))).groupBy(*part, "mean").agg(
+        F.coalesce(F.sum("off"), F.lit(0.0)).alias("off"), F.min("t").alias("start"), F.max("t").alias("end")
+    )
+    if part != pair:
+        # One row per pair and chunk.
+        chain = Window.partitionBy(*pair).orderBy(CHUNK)
+        border = F.coalesce(square(F.col("start") - F.lag("end").over(chain)), F.lit(0.0))
+        parts = parts.withColumn("off", F.col("off") + border)
+    off = parts.groupBy(*pair).agg(F.sum("off").alias("off"))
+    stats = slow.join(off, pair).withColumn("std_interval", F.sqrt(F.col("off") / (F.col("n") - 1)))
+    return stats.withColumn("cv_percent", F.col("std_interval") / F.col("mean") * 100).where(
         F.col("cv_percent") <= tolerance_percent
     ).select(
-        from_micros("first_t").alias("ts"), *pair, "connection_count", "mean_interval", "std_interval",
-        "cv_percent", from_micros("last_t").alias("last_ts"),
+        from_micros("first_t").alias("ts"), *pair, F.col("n").alias("connection_count"), F.col("mean").alias("mean_interval"),
+        "std_interval", "cv_percent", from_micros("last_t").alias("last_ts"),
     )
 
 

@@ -25,6 +25,18 @@ CATEGORY_ADVICE = [
     ("anomaly", "MEDIUM: Investigate traffic anomalies. Establish network baselines and "
      "tune detection thresholds to reduce false positives."),
 ]
+# The parts of the summary sentence.
+URGENT = (
+    "URGENT ACTION REQUIRED: %d critical security alert(s) detected. "
+    "Evidence of active threats including %s. "
+)
+ELEVATED = "Elevated threat level: %d high-severity alert(s) require investigation. "
+STABLE = "Network security posture appears stable. "
+TOTALS = (
+    "Analysis processed %s network events from %d log file(s) over a period of %.1f hours. "
+    "Total of %d security alerts generated across %d attack categories. "
+    "Overall risk score: %.0f/100 (%s)."
+)
 NO_ADVICE = (
     "No significant threats detected. Continue regular monitoring and keep "
     "detection signatures updated."
@@ -79,17 +91,10 @@ def exec_summary(flows: DataFrame, alerts: DataFrame, files: int = 1) -> DataFra
         "hours", (micros(F.col("last_ts")) - micros(F.col("first_ts"))) / (3600 * MICROS)
     )
     urgency = (
-        F.when(F.col("critical") > 0, F.format_string(
-            "URGENT ACTION REQUIRED: %d critical security alert(s) detected. "
-            "Evidence of active threats including %s. ", "critical", "critical_names"))
-        .when(F.col("high") > 0, F.format_string(
-            "Elevated threat level: %d high-severity alert(s) require investigation. ", "high"))
-        .otherwise("Network security posture appears stable. ")
+        F.when(F.col("critical") > 0, F.format_string(URGENT, "critical", "critical_names"))
+        .when(F.col("high") > 0, F.format_string(ELEVATED, "high")).otherwise(STABLE)
     )
     text = F.concat(urgency, F.format_string(
-        "Analysis processed %s network events from %d log file(s) over a period of %.1f hours. "
-        "Total of %d security alerts generated across %d attack categories. "
-        "Overall risk score: %.0f/100 (%s).",
-        F.format_number("total_events", 0), F.lit(files), "hours", "alerts", "categories", "risk_score", "risk_level",
+        TOTALS, F.format_number("total_events", 0), F.lit(files), F.bround("hours", 1), "alerts", "categories", "risk_score", "risk_level",
     ))
     return row.withColumn("summary", text)

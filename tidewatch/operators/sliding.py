@@ -4,7 +4,7 @@ The window of a row reaches back ``window_s`` seconds, both ends included, and h
 only rows up to that row in (ts, event_id) order. Three steps:
 
 1. A cheap pre-aggregate per (key, time cell as wide as the window) is combined before
-   the shuffle. A window lies within two neighbouring cells, so their totals bound it
+   the shuffle (distinct values only after row counts have ruled most cells out). A window lies within two neighbouring cells, so their totals bound it
    from above; a cell that is full on its own must fire by its last row, so no later
    cell of that key matters. Everything else is dropped before rows are moved.
 2. Each remaining row adds its value at ts and takes it away again after ts + window.
@@ -74,6 +74,22 @@ def cells_to_read(points: DataFrame, keys: list[str], distinct: bool, possible:
     return needed.where("fire OR _before").drop("_before")
 
 
+def possible_cells(points: DataFrame, keys: list[str], possible: Condition) -> DataFrame:
+    """(keys, cell) of the cells that may matter if each row brought a new value.
+
+    Only counts per key and cell are moved, combined before the shuffle; with as many values as
+    rows they bound the distinct count from above.
+    """
+    group = [*keys, "cell"]
+    cells = points.groupBy(*group).agg(F.count("*").alias("n"), F.sum("v").alias("s")).withColumn("d", F.col("n"))
+    line = Window.partitionBy(*keys).orderBy("cell")
+    adjacent = F.lag("cell").over(line) == F.col("cell") - 1
+    marked = cells.select(*group, *[(F.col(m) + F.when(adjacent, F.lag(m).over(line)).otherwise(0)).alias(m) for m in MEASURES])
+    firing = marked.select(*group, possible().alias("fire"))
+    before = (F.lead("cell").over(line) == F.col("cell") + 1) & F.lead("fire").over(line)
+    return firing.withColumn("_before", F.coalesce(before, F.lit(False))).where("fire OR _before").select(*group)
+
+
 def _row_steps(picked: DataFrame, keys: list[str], window_us: int) -> DataFrame:
     step = "struct({t} AS t, {phase} AS phase, {fire} AS fire, {dn}L AS dn, {ds} AS ds)"
     add = step.format(t="t", phase=0, fire="fire", dn=1, ds="v")
@@ -134,10 +150,15 @@ def first_hits(
     """
     window_us = window_micros(window_s)
     points = prepare(rows, keys, window_us, value, distinct, extra)
+    if distinct is not None:
+        # Distinct values are counted only where there are enough rows for them.
+        rough = durable(possible_cells(points, keys, possible), "rough-cells")
+        points = points.join(broadcast_if_small(rough), [*keys, "cell"], "left_semi")
     # Stored before the join: if it were part of it, the whole input would be shuffled by key
     # before Spark could see how small this side is.
     needed = durable(cells_to_read(points, keys, distinct is not None, possible, certain), "cells")
-    # Written once: the input is scanned twice in all, whatever happens below.
+    # Written once: the input is scanned twice in all (three times with distinct values), whatever
+    # happens below.
     picked = durable(points.join(broadcast_if_small(needed), [*keys, "cell"]), "picked")
     if distinct is not None:
         steps = _distinct_steps(picked, keys, window_us)

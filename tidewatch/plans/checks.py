@@ -1,6 +1,7 @@
 """Every operator as a query over the test tables (thresholds scaled to that sparse traffic)."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tidewatch.durable import fresh_path
 from tidewatch.functions import network as net
 from tidewatch.operators import alerts as al
 from tidewatch.operators import declared, detectors, results, stats, threat
-from tidewatch.plans.pipeline import Settings, final_alerts
+from tidewatch.plans.pipeline import Settings, final_alerts, raw_alerts
 from tidewatch.plans.testflows import flows_of
 from tidewatch.sources import ingest, layout
 from tidewatch.sources.feeds import read_feeds
@@ -39,12 +40,19 @@ RULES = [
     {"id": "RULE-CUSTOM-002", "name": "Repeated web failures", "category": "brute_force", "severity": "LOW",
      "conditions": {"dst_port": [443, 8080], "action": "failed", "count_min": 3, "time_window_seconds": 7 * DAY}},
     {"id": "RULE-CUSTOM-003", "name": "Switched off", "enabled": False, "conditions": {}},
+    {"id": "RULE-CUSTOM-004", "name": "Repeated sign-ups refused", "severity": "MEDIUM",
+     "conditions": {"protocol": "HTTP", "action": ["deny", "drop"], "count_min": 2, "time_window_seconds": 7 * DAY}},
+    {"id": "RULE-CUSTOM-005", "name": "Probes", "category": "reconnaissance", "severity": "LOW",
+     "conditions": {"flags": ["SYN"], "direction": "internal", "count_min": 2, "time_window_seconds": 2 * DAY}},
+    {"id": "RULE-CUSTOM-006", "name": "Odd port", "category": "evasion", "conditions": {"dst_port": [8081, 0]}},
+    {"id": "RULE-CUSTOM-007", "name": "Answer 500", "conditions": {"status_code": [500], "src_port": list(range(40000, 40050))}},
 ]
 
 FLOW_COLUMNS = [
     "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "bytes_sent", "bytes_received", "packets",
     "duration", "flags", "action", "status_code", "direction", "domain",
 ]
+ALERT_TEXTS = ["recommendation", "false_positive_likelihood", "mitre_attack_id"]
 ALERT_KEYS = ["ts", "rule_id", "rule_name", "category", "severity", "src_ip", "dst_ip", "dst_port"]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,10 +144,18 @@ def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(spark, _write_logs(spark, "json", json=_json_rows(flows_of(spark, sf_dir))))
 
 
+def ingest_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domains with line breaks and quotes inside; the files that have them are found by the reader."""
+    broken = F.when(F.col("domain") != "", F.concat(F.lit('a "b"\n'), "domain")).otherwise("")
+    csv = _csv_rows(flows_of(spark, sf_dir).withColumn("domain", broken))
+    folder = fresh_path(spark, "csv-lines")
+    csv.write.csv(folder, header=True, emptyValue="", ignoreLeadingWhiteSpace=False, escape='"')
+    return _read_back(spark, folder)
+
+
 def ingest_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Array files of at most 20,000 records each."""
-    flows = flows_of(spark, sf_dir)
-    records = _json_rows(flows.withColumn("document", F.expr("event_id div 20000")), "document")
+    """One array file for each input partition, however long."""
+    records = _json_rows(flows_of(spark, sf_dir).withColumn("document", F.spark_partition_id()), "document")
     names = [c for c in records.columns if c != "document"]
     documents = records.groupBy("document").agg(F.to_json(F.collect_list(F.struct(*names))).alias("value"))
     folder = fresh_path(spark, "json-array")
@@ -173,12 +189,11 @@ def ingest_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flows table proper, with event ids in file and line order."""
-    folder = _write_logs(spark, "numbered", json=_json_rows(flows_of(spark, sf_dir)))
+    """The flows table proper: lines are written in order of the events' own numbers, so the ids must follow them."""
+    ordered = flows_of(spark, sf_dir).repartitionByRange(5, "event_id").sortWithinPartitions("event_id")
+    folder = _write_logs(spark, "numbered", json=_json_rows(ordered))
     flows = ingest.to_flows(ingest.read_directory(spark, folder, YEAR))
-    return flows.agg(
-        F.count("*").alias("flows"), F.count_distinct("event_id").alias("ids"), F.sum("bytes_sent").alias("bytes_sent"),
-    )
+    return flows.select("event_id", "ts", "src_ip", "dst_ip", "src_port", "bytes_sent")
 
 
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,9 +223,20 @@ def parse_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "layout", layout.parse_timestamp(layout.plain_stamp(F.col("text")), YEAR).alias("ts"))
 
 
+def parse_ts_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nanoseconds, short offsets and the basic form."""
+    form = lambda pattern, tail="": F.concat(F.date_format("ts", pattern), F.lit(tail))
+    texts = F.array(*[F.struct(F.lit(i).alias("layout"), text.alias("text")) for i, text in enumerate([
+        form("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "789"), form("yyyy-MM-dd HH:mm:ss.SSSSSS", "+0000"), form("yyyy-MM-dd'T'HH:mm:ss", "+02"),
+        form("yyyy-MM-dd'T'HH:mm:ss.SSS", "-0130"), form("yyyyMMdd'T'HHmmss"), form("yyyyMMdd HHmmss.SSSSSS", "Z"),
+    ])])
+    rows = flows_of(spark, sf_dir).select("event_id", F.explode(texts).alias("entry")).select("event_id", "entry.*")
+    return rows.select("event_id", "layout", layout.parse_timestamp(layout.plain_stamp(F.col("text")), YEAR).alias("ts"))
+
+
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = flows_of(spark, sf_dir).where("domain <> ''").select(F.explode(F.array(
-        F.concat(F.lit(" "), F.col("domain"), F.lit("  ")), F.concat(F.lit("# "), F.col("domain")), F.lit(""),
+        F.concat(F.lit(" \t"), F.col("domain"), F.lit("\t ")), F.concat(F.lit("# "), F.col("domain")), F.lit(""), F.lit("\t"),
     )).alias("value"))
     path = fresh_path(spark, "feed")
     lines.write.text(path)
@@ -220,12 +246,21 @@ def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams ---------------------------------------------------------------------------
 
 def watch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _write_logs(spark, "watched", json=_json_rows(flows_of(spark, sf_dir)))
+    """One file a batch; the files hold rows of all times, so most are late."""
+    folder = _write_logs(spark, "watched", json=_json_rows(flows_of(spark, sf_dir).repartition(4)))
     output = fresh_path(spark, "watch-totals")
-    watch.run_available(watch.tumbling_totals(watch.watch_flows(spark, folder, "json", YEAR)), output, "update")
+    watch.run_totals(watch.watch_flows(spark, folder, "json", YEAR, max_files=1), output)
     return watch.latest_totals(spark, output)
 
 
+def watch_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _csv_rows(flows_of(spark, sf_dir))
+    folder = _write_logs(spark, "watched", csv=rows)
+    output = fresh_path(spark, "watch-csv")
+    watch.run_available(watch.watch_flows(spark, folder, "csv", YEAR, header=rows.columns), output)
+    return spark.read.parquet(output).select(FLOW_COLUMNS)
+
+
 def watch_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _write_logs(spark, "watched", json=_json_rows(flows_of(spark, sf_dir)))
     output = fresh_path(spark, "watch-domains")
@@ -331,7 +366,35 @@ def alert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return al.ranked(alert_table(spark, sf_dir)).select(ALERT_KEYS)
+    return al.ranked(alert_table(spark, sf_dir)).select(*ALERT_KEYS, *ALERT_TEXTS)
+
+
+def raw_alerts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detectors found, before deduplication."""
+    return raw_alerts(flows_of(spark, sf_dir), feed_table(spark), SETTINGS).select(ALERT_KEYS)
+
+
+def domain_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, texts and evidence of one kind of alert."""
+    found = al.domain_alerts(threat.domain_contacts(flows_of(spark, sf_dir), feed_table(spark)))
+    return found.select("alert_id", "ts", "src_ip", "dst_ip", "dst_port", "description", "evidence", *ALERT_TEXTS)
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's tables, written and read again: one row per line of the short ones, a count of the alerts."""
+    flows, alerts, path = flows_of(spark, sf_dir), alert_table(spark, sf_dir), fresh_path(spark, "report")
+    sinks.write_report({
+        "alerts": alerts, "top_talkers": stats.top_talkers(flows), "protocols": stats.protocol_dist(flows),
+        "severities": al.by_severity(alerts),
+    }, path)
+    read = lambda name, schema: spark.read.schema(schema).json(f"{path}/{name}")
+    parts = [
+        read("alerts", "severity STRING").groupBy(F.col("severity").alias("name")).agg(F.count("*").alias("amount")).withColumn("part", F.lit("alerts")),
+        read("top_talkers", "ip STRING, bytes BIGINT").select(F.col("ip").alias("name"), F.col("bytes").alias("amount"), F.lit("talkers").alias("part")),
+        read("protocols", "protocol STRING, events BIGINT").select(F.col("protocol").alias("name"), F.col("events").alias("amount"), F.lit("protocols").alias("part")),
+        read("severities", "severity STRING, alerts BIGINT").select(F.col("severity").alias("name"), F.col("alerts").alias("amount"), F.lit("severities").alias("part")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def alerts_min_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +419,7 @@ def recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exec_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = results.exec_summary(flows_of(spark, sf_dir), alert_table(spark, sf_dir))
-    return row.withColumn("hours", F.round("hours", 6)).drop("summary")
+    return row.withColumn("hours", F.round("hours", 6))
 
 
 def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +445,7 @@ def _on_alerts(function: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "ingest_csv": ingest_csv, "ingest_json": ingest_json, "ingest_json_array": ingest_json_array,
     "ingest_syslog": ingest_syslog, "ingest_union": ingest_union, "ingest_auto": ingest_auto,
+    "ingest_csv_multiline": ingest_csv_multiline, "parse_ts_iso": parse_ts_iso, "watch_csv": watch_csv,
     "ingest_numbered": ingest_numbered, "ingest_stats": ingest_stats, "parse_ts": parse_ts, "feeds": feeds,
     "watch_totals": watch_totals, "watch_domains": watch_domains,
     "traffic_stats": traffic_stats,
@@ -405,6 +469,7 @@ QUERIES: dict[str, Query] = {
     "alerts_by_category": _on_alerts(al.by_category),
     "alerts_top_sources": _on_alerts(al.top_sources),
     "alerts_timeline": _on_alerts(al.timeline),
+    "raw_alerts": raw_alerts_query, "domain_alerts": domain_alerts, "report": report,
     "sink_alerts": sink_alerts, "flow_records": flow_records,
     "risk_score": _on_alerts(results.risk_score),
     "recommendations": recommendations, "exec_summary": exec_summary,

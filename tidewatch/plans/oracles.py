@@ -1,11 +1,44 @@
 """For each query of ``checks`` the same result in plain SQL for DuckDB."""
 
-from tidewatch.operators.alerts import DEDUP_TIE_ORDER
-from tidewatch.operators.results import CATEGORY_ADVICE, NO_ADVICE
-from tidewatch.functions.network import AUTH_PORTS, EXPECTED_PORTS, LOGIN_SERVICES, PORT_SERVICES
 from tidewatch.plans.checks import DOMAINS, MALICIOUS, TOR
 from tidewatch.plans.testflows import FLOWS_SQL
 
+# Fixed values, written here once more, so that a wrong table of the operators shows.
+AUTH_PORTS = [21, 22, 23, 25, 80, 110, 143, 443, 3389, 8080, 8443]
+EXPECTED_PORTS = {
+    "HTTP": [80, 8080], "HTTPS": [443, 8443], "DNS": [53], "SSH": [22], "FTP": [20, 21], "SMTP": [25],
+}
+LOGIN_SERVICES = {21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 80: "HTTP", 443: "HTTPS", 3389: "RDP"}
+PORT_SERVICES = {
+    20: "FTP-Data", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 80: "HTTP", 110: "POP3", 143: "IMAP",
+    443: "HTTPS", 445: "SMB", 993: "IMAPS", 995: "POP3S", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL", 5900: "VNC",
+    6379: "Redis", 8080: "HTTP-Proxy", 8443: "HTTPS-Alt", 27017: "MongoDB",
+}
+TIE_ORDER = "detector_no, event_id, role_no, dst_port"
+CATEGORY_ADVICE = [
+    ("threat_intel", "CRITICAL: Block all communication with known malicious IPs immediately. Isolate affected hosts and conduct forensic investigation."),
+    ("c2", "CRITICAL: C2 beaconing detected - isolate the affected host from the network. Run full malware scan and check for lateral movement."),
+    ("brute_force", "HIGH: Implement account lockout policies and multi-factor authentication. Block attacking IPs at the perimeter firewall."),
+    ("reconnaissance", "HIGH: Port scanning detected - review firewall rules and minimize exposed services. Ensure all exposed services are patched and hardened."),
+    ("ddos", "HIGH: Deploy DDoS mitigation (rate limiting, traffic scrubbing). Consider CDN/WAF services for critical applications."),
+    ("exfiltration", "HIGH: Investigate large outbound data transfers. Implement Data Loss Prevention (DLP) policies and monitor for unauthorized data movement."),
+    ("insider_threat", "MEDIUM: Review after-hours network activity. Verify if scheduled tasks or legitimate maintenance was occurring. Enhance monitoring."),
+    ("anomaly", "MEDIUM: Investigate traffic anomalies. Establish network baselines and tune detection thresholds to reduce false positives."),
+]
+NO_ADVICE = "No significant threats detected. Continue regular monitoring and keep detection signatures updated."
+# By rule: advice and technique; a service stands in the brute-force advice twice.
+RULE_TEXTS = """CASE rule_name
+ WHEN 'Known Malicious IP Contact' THEN 'T1071|Immediately investigate the host communicating with this IP. Block the IP at the firewall and check for compromise indicators.'
+ WHEN 'TOR Exit Node Communication' THEN 'T1090.003|Investigate why TOR is being used. May indicate data exfiltration or access to dark web services.'
+ WHEN 'Known Malicious Domain Contact' THEN 'T1071.001|Block the domain immediately. Investigate the source host for malware.'
+ WHEN 'DDoS Attack Detected' THEN 'T1498|Activate DDoS mitigation. Enable rate limiting and geo-blocking. Contact upstream ISP for traffic scrubbing if needed. Consider CDN/WAF deployment.'
+ WHEN 'Potential Data Exfiltration' THEN 'T1048|Investigate the source host for malware. Check what data was transferred and to which destinations. Review DLP policies.'
+ WHEN 'C2 Beaconing Pattern Detected' THEN 'T1071|PRIORITY: Investigate the destination IP immediately for C2 infrastructure. Isolate the source host. Capture network traffic for forensic analysis. Check for malware on the infected host.'
+ WHEN 'After-Hours Network Activity' THEN 'T1078|Verify if this activity is expected (e.g., scheduled jobs, maintenance). If not, investigate for potential insider threat or compromised account.'
+ WHEN 'Statistical Traffic Anomaly' THEN '|Investigate the source for automated scanning, malware activity, or misconfigured applications generating excessive traffic.'
+ ELSE CASE WHEN rule_id = 'RULE-001' THEN 'T1046|Block the scanning IP at the firewall. Review if any scanned ports have known vulnerabilities. Monitor for follow-up exploitation.'
+ WHEN rule_id = 'RULE-003' THEN concat('T1110|Block ', src_ip, ' immediately. Enable account lockout policies. Consider implementing MFA for ', replace(rule_name, ' Brute Force Attack', ''), ' access. Check if any credentials were compromised.') END END"""
+
 FLOWS = f"WITH RECURSIVE f AS ({FLOWS_SQL})"
 BYTES = "bytes_sent + bytes_received"
 
@@ -19,12 +52,17 @@ def _case(column: str, names: dict, default: str) -> str:
     return f"CASE {column} {whens} ELSE {default} END"
 
 
+def _even(x: str) -> str:
+    """One decimal, ties to even, as the C library prints a number."""
+    return f"printf('%.1f', {x})"
+
+
 def _human(size: str) -> str:
     whens = " ".join(
-        f"WHEN abs({size} / 1024.0 ** {p}) < 1024 THEN printf('%.1f {u}', round({size} / 1024.0 ** {p}, 1))"
+        f"WHEN abs({size} / 1024.0 ** {p}) < 1024 THEN {_even(f'{size} / 1024.0 ** {p}')} || ' {u}'"
         for p, u in enumerate(["B", "KB", "MB", "GB", "TB"])
     )
-    return f"CASE {whens} ELSE printf('%.1f PB', round({size} / 1024.0 ** 5, 1)) END"
+    return f"CASE {whens} ELSE {_even(f'{size} / 1024.0 ** 5')} || ' PB' END"
 
 
 # ---- ingest: the flows themselves -----------------------------------------------------
@@ -170,7 +208,7 @@ def _dedup(days: int) -> str:
     """Last-kept deduplication: walk each key from its first alert."""
     return f"""
 , head AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY rule_id, src_ip, dst_ip, ts
-           ORDER BY {", ".join(DEDUP_TIE_ORDER)}) = 1)
+           ORDER BY {TIE_ORDER}) = 1)
 , nxt AS (SELECT a.rule_id, a.src_ip, a.dst_ip, a.ts, min(b.ts) AS next_ts FROM head a JOIN head b
           ON a.rule_id = b.rule_id AND a.src_ip = b.src_ip AND a.dst_ip = b.dst_ip AND b.ts > a.ts + INTERVAL {days} DAYS
           GROUP BY ALL)
@@ -200,7 +238,11 @@ ORACLES: dict[str, str] = {
     "ingest_syslog": f"{FLOWS} SELECT {SYSLOG_FLOWS} FROM f",
     "ingest_union": MIXED,
     "ingest_auto": MIXED,
-    "ingest_numbered": f"""{FLOWS} SELECT count(*) AS flows, count(*) AS ids, CAST(sum(bytes_sent) AS BIGINT) AS bytes_sent FROM f""",
+    "ingest_numbered": f"""{FLOWS} SELECT row_number() OVER (ORDER BY event_id) - 1 AS event_id, ts, src_ip, dst_ip,
+        src_port, bytes_sent FROM f""",
+    "ingest_csv_multiline": f"""{FLOWS} SELECT {CSV_FLOWS.removesuffix(', domain')},
+        CASE WHEN domain <> '' THEN concat('a "b"', chr(10), domain) ELSE '' END AS domain FROM f""",
+    "watch_csv": f"{FLOWS} SELECT {CSV_FLOWS} FROM f",
     "ingest_stats": f"""{FLOWS}, c AS (
         SELECT count(*) FILTER (bytes_sent % 11 <> 0 AND bytes_sent % 7 <> 0) AS total_parsed,
                count(*) FILTER (bytes_sent % 11 <> 0 AND bytes_sent % 7 = 0) AS parse_errors FROM f)
@@ -208,6 +250,10 @@ ORACLES: dict[str, str] = {
     "parse_ts": f"""{FLOWS} SELECT event_id, CAST(layout AS INT) AS layout,
         CASE WHEN layout IN (3, 4, 8) THEN ts ELSE date_trunc('second', ts) END AS ts
         FROM f, range(9) AS l(layout)""",
+    "parse_ts_iso": f"""{FLOWS} SELECT event_id, CAST(layout AS INT) AS layout, CASE layout
+        WHEN 2 THEN date_trunc('second', ts) - INTERVAL 2 HOURS
+        WHEN 3 THEN date_trunc('millisecond', ts) + INTERVAL 90 MINUTES
+        WHEN 4 THEN date_trunc('second', ts) ELSE ts END AS ts FROM f, range(6) AS l(layout)""",
     "feeds": f"""{FLOWS} SELECT DISTINCT 'malicious_domain' AS kind, lower(domain) AS indicator FROM f
         WHERE domain <> ''""",
     "watch_totals": f"""{FLOWS} SELECT date_trunc('hour', ts) AS window_start, protocol, count(*) AS events,
@@ -285,13 +331,40 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY dst_ip ORDER BY ts) = 1""",
     "custom_rules": FLOWS + _repeated(
         "h", "src_ip, dst_ip, dst_port", "dst_port IN (443, 8080) AND action = 'failed'", 3, 168,
+    ) + _repeated(
+        "g", "src_ip, dst_ip, dst_port", "protocol = 'HTTP' AND action IN ('deny', 'drop')", 2, 168,
+    ) + _repeated(
+        "p", "src_ip, dst_ip, dst_port", "flags = 'SYN' AND direction = 'internal'", 2, 48,
     ) + """ SELECT 'RULE-CUSTOM-001' AS rule_id, 'Large upload' AS rule_name, 'exfiltration' AS category,
         'HIGH' AS severity, ts, src_ip, dst_ip, dst_port, CAST(1 AS BIGINT) AS events, bytes_sent FROM f
         WHERE protocol = 'TCP' AND dst_port = 8443 AND bytes_sent >= 200000
         UNION ALL SELECT 'RULE-CUSTOM-002', 'Repeated web failures', 'brute_force', 'LOW', ts, src_ip, dst_ip, dst_port,
-        3, NULL FROM h""",
+        3, NULL FROM h
+        UNION ALL SELECT 'RULE-CUSTOM-004', 'Repeated sign-ups refused', 'unknown', 'MEDIUM', ts, src_ip, dst_ip, dst_port,
+        2, NULL FROM g
+        UNION ALL SELECT 'RULE-CUSTOM-005', 'Probes', 'reconnaissance', 'LOW', ts, src_ip, dst_ip, dst_port, 2, NULL FROM p
+        UNION ALL SELECT 'RULE-CUSTOM-006', 'Odd port', 'evasion', 'LOW', ts, src_ip, dst_ip, dst_port, 1, bytes_sent FROM f
+        WHERE dst_port IN (8081, 0)
+        UNION ALL SELECT 'RULE-CUSTOM-007', 'Answer 500', 'unknown', 'LOW', ts, src_ip, dst_ip, dst_port, 1, bytes_sent FROM f
+        WHERE status_code = 500 AND src_port BETWEEN 40000 AND 40049""",
     "alert_dedup": f"{FLOWS}{DOMAIN}, raw AS ({_DOMAIN_ALERTS}){_dedup(10)} SELECT {ALERT_KEYS} FROM a",
-    "all_alerts": f"{ALERTS} SELECT {ALERT_KEYS} FROM a",
+    "all_alerts": f"""{ALERTS}, x AS (SELECT {ALERT_KEYS}, {RULE_TEXTS} AS texts FROM a)
+        SELECT {ALERT_KEYS}, substr(texts, strpos(texts, '|') + 1) AS recommendation, 'unknown' AS false_positive_likelihood,
+        substr(texts, 1, strpos(texts, '|') - 1) AS mitre_attack_id FROM x""",
+    "raw_alerts": f"{ALERTS} SELECT {ALERT_KEYS} FROM raw",
+    "domain_alerts": f"""{FLOWS}{DOMAIN} SELECT 'ALERT-' || upper(substr(sha256(concat_ws('|', 'RULE-008', src_ip, dst_ip, dst_port,
+        CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0') END,
+        event_id, '2')), 1, 16)) AS alert_id, ts, src_ip, dst_ip, dst_port,
+        'DNS query or connection to known malicious domain: ' || domain AS description,
+        '{{"malicious_domain":"' || domain || '","src_ip":"' || src_ip || '"}}' AS evidence,
+        'Block the domain immediately. Investigate the source host for malware.' AS recommendation,
+        'unknown' AS false_positive_likelihood, 'T1071.001' AS mitre_attack_id FROM do_""",
+    "report": f"""{ALERTS}, t AS (SELECT src_ip AS name, count(*) AS n, CAST(sum({BYTES}) AS BIGINT) AS amount FROM f GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
+        SELECT 'alerts' AS part, severity AS name, count(*) AS amount FROM a GROUP BY 2
+        UNION ALL SELECT 'talkers', name, amount FROM t
+        UNION ALL SELECT 'protocols', CASE WHEN protocol = '' THEN 'UNKNOWN' ELSE protocol END, count(*) FROM f GROUP BY 2
+        UNION ALL SELECT 'severities', s.severity, count(a.rule_id)
+        FROM (VALUES ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) s(severity) LEFT JOIN a USING (severity) GROUP BY 2""",
     "alerts_min_severity": f"{ALERTS} SELECT {ALERT_KEYS} FROM a WHERE severity IN ('HIGH', 'CRITICAL')",
     "alerts_by_severity": f"""{ALERTS} SELECT s.severity, count(a.rule_id) AS alerts
         FROM (VALUES ('LOW'), ('MEDIUM'), ('HIGH'), ('CRITICAL')) s(severity) LEFT JOIN a USING (severity) GROUP BY 1""",
@@ -314,7 +387,13 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (severity = 'HIGH') AS high, count(DISTINCT category) AS categories,
         coalesce(array_to_string(list_sort(list(DISTINCT category) FILTER (severity = 'CRITICAL')), ', '), '')
         AS critical_names, {SCORE} AS risk_score FROM a),
-        e AS (SELECT count(*) AS total_events, min(ts) AS first_ts, max(ts) AS last_ts FROM f)
-        SELECT *, {LEVEL} AS risk_level,
-        round((epoch_us(last_ts) - epoch_us(first_ts)) / 3600000000.0, 6) AS hours FROM e, s""",
+        e AS (SELECT count(*) AS total_events, min(ts) AS first_ts, max(ts) AS last_ts FROM f),
+        es AS (SELECT *, {LEVEL} AS risk_level, (epoch_us(last_ts) - epoch_us(first_ts)) / 3600000000.0 AS h FROM e, s)
+        SELECT es.* EXCLUDE (h), round(h, 6) AS hours, concat(CASE WHEN critical > 0 THEN concat('URGENT ACTION REQUIRED: ', critical,
+        ' critical security alert(s) detected. Evidence of active threats including ', critical_names, '. ')
+        WHEN high > 0 THEN concat('Elevated threat level: ', high, ' high-severity alert(s) require investigation. ')
+        ELSE 'Network security posture appears stable. ' END, 'Analysis processed ', format('{{:,}}', total_events),
+        ' network events from 1 log file(s) over a period of ', printf('%.1f', h), ' hours. Total of ', alerts,
+        ' security alerts generated across ', categories, ' attack categories. Overall risk score: ', printf('%.0f', risk_score),
+        '/100 (', risk_level, ').') AS summary FROM es""",
 }

@@ -2,38 +2,48 @@
 
 import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources import layout as lo
-from tidewatch.sources.files import first_lines
+from tidewatch.sources.files import broken_files, headers, readable
 
 CORRUPT = "_corrupt_record"
 
 
 def read_csv(spark: SparkSession, paths: list[str], default_year: int,
-             header: list[str] | None = None, multiline: bool = False) -> DataFrame:
+             header: list[str] | None = None, multiline: bool | None = None) -> DataFrame:
     """All records of the given files with their status.
 
     Files are grouped by header, and each group is one native scan. Pass ``header`` if
-    all files share a known one; else the first line of each file is looked up. With
-    ``multiline`` quoted values may contain line breaks, but files are not split.
+    all files share a known one; else the first line of each file is looked up.
+    ``multiline`` tells whether quoted values may contain line breaks; files that do are not
+    split. If None, a pass over the lines finds the files that have such values.
     """
+    if not paths:
+        return _empty(spark)
+    if multiline is None:
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+        broken = set(broken_files(lines))
     if header is not None:
-        groups = {tuple(_normal(header)): list(paths)}
+        # Paths may be folders or patterns, so their files are looked up if they have to be told apart.
+        files = [readable(spark, f) for f in map(unquote, spark.read.text(paths).inputFiles())] if multiline is None and broken else paths
+        named = dict.fromkeys(files, tuple(normal(header)))
     else:
-        groups = {}
-        for path, line in first_lines(spark, paths).items():
-            groups.setdefault(tuple(_normal(next(csv.reader([line])))), []).append(path)
+        named = {path: tuple(normal(next(csv.reader([line.rstrip("\r")])))) for path, line in headers(spark, paths).items()}
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for path, names in named.items():
+        groups.setdefault((names, path in broken if multiline is None else multiline), []).append(path)
     if not groups:
         return _empty(spark)
     return reduce(DataFrame.unionByName, [
-        _read_group(spark, files, list(names), default_year, multiline) for names, files in sorted(groups.items())
+        _read_group(spark, files, list(names), default_year, whole) for (names, whole), files in sorted(groups.items())
     ])
 
 
-def _normal(names: list[str]) -> list[str]:
+def normal(names: list[str]) -> list[str]:
     return [name.strip().lower() for name in names]
 
 
@@ -43,15 +53,25 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], PARSED_DDL)
 
 
+def text_schema(names: list[str]) -> str:
+    """Every column as text, by number, and Spark's mark of odd records."""
+    return ", ".join([*(f"c{i} STRING" for i in range(len(names))), f"{CORRUPT} STRING"])
+
+
+OPTIONS = {
+    "header": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "enforceSchema": True,
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": "", "maxCharsPerColumn": -1,
+}
+
+
 def _read_group(spark: SparkSession, files: list[str], names: list[str], default_year: int,
                 multiline: bool) -> DataFrame:
-    columns = [f"c{i}" for i in range(len(names))]
-    schema = ", ".join(f"{c} STRING" for c in [*columns, CORRUPT])
-    raw = spark.read.csv(
-        files, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT,
-        escape='"', enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        emptyValue="", maxCharsPerColumn=-1, multiLine=multiline,
-    )
+    raw = spark.read.schema(text_schema(names)).options(**OPTIONS, multiLine=multiline).csv(files)
+    return rows(raw.select("*", *lo.place_columns()), names, default_year)
+
+
+def rows(raw: DataFrame, names: list[str], default_year: int) -> DataFrame:
+    """Parsed columns of rows read with ``text_schema`` that have the place columns; also usable on a stream."""
     # With repeated names the last column counts.
     position = {name: i for i, name in enumerate(names)}
     fields = {
@@ -62,12 +82,12 @@ def _read_group(spark: SparkSession, files: list[str], names: list[str], default
         lo.plain_stamp(_first_text(fields["timestamp"])).alias("stamp"),
         _misses_a_column(fields).alias("too_short"),
         F.to_json(F.struct(*[F.col(f"c{i}").alias(name) for name, i in position.items()])).alias("raw_log"),
-        *lo.place_columns(),
+        "source_file", "source_block", "source_row",
     )
     number_types = lo.NUMBER_DEFAULTS.items()
     parsed = lo.computed_once(found, [
         "*", lo.parse_timestamp(F.col("stamp"), default_year).alias("ts"),
-        *[F.trim(f"f_{field}").try_cast(kind).alias(f"n_{field}") for field, (kind, _) in number_types],
+        *[lo.strip(F.col(f"f_{field}")).try_cast(kind).alias(f"n_{field}") for field, (kind, _) in number_types],
     ])
     bad_number = reduce(
         lambda a, b: a | b,
@@ -84,7 +104,7 @@ def _read_group(spark: SparkSession, files: list[str], names: list[str], default
 
 
 def _text(place: int) -> Column:
-    value = F.trim(f"c{place}")
+    value = lo.strip(F.col(f"c{place}"))
     return F.when(value != "", value)
 
 

@@ -5,12 +5,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sources.layout import strip
+
 
 def read_feed(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One indicator per line; blank lines and lines that start with # are left out."""
     lines = spark.read.text(path)
-    entry = F.lower(F.trim("value"))
-    return lines.where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(
+    entry = F.lower(strip(F.col("value")))
+    return lines.where((entry != "") & ~F.col("value").startswith("#")).select(
         F.lit(kind).alias("kind"), entry.alias("indicator")
     ).distinct()
 

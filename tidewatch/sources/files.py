@@ -1,17 +1,40 @@
-"""File lists and first lines: one short record per file, as in Spark's own file index."""
+"""File lists and formats: one short record per file, as in Spark's own file index.
+
+Formats are told apart in the executors, from each file's first line with text; only what a
+reader needs comes to the driver: the format, and the header of a CSV file.
+"""
 
 from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.durable import fresh_path
+from tidewatch.sources.layout import strip
+
 SUFFIX_FORMATS = {".csv": "csv", ".json": "json", ".log": "syslog", ".syslog": "syslog", ".txt": "syslog"}
 
 
 def list_files(spark: SparkSession, directory: str) -> list[str]:
     """Files directly inside a directory, by name. Their content is not read."""
-    rows = spark.read.format("binaryFile").load(directory).select("path").collect()
-    return sorted(row.path for row in rows)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(status.getPath().toString() for status in found if status.isFile())
+
+
+def readable(spark: SparkSession, path: str) -> str:
+    """The file's path for Spark's readers, in which a name with pattern characters is only a name.
+
+    Spark's readers do not see names that start with _ or a dot. Such a file is copied to the shared
+    folder, as a stream, under a name that they see.
+    """
+    folder, _, name = path.rpartition("/")
+    if name.startswith(("_", ".")):
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{fresh_path(spark, 'hidden')}/file{name}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+        path = target.toString()
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
 
 
 def suffix_of(path: str) -> str:
@@ -19,25 +42,42 @@ def suffix_of(path: str) -> str:
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
 
 
-def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """The first line with text of each file, without a byte order mark.
-
-    This reads the first block of every file once; callers that know the layout of
-    their files can skip it.
-    """
+def _heads(spark: SparkSession, paths: list[str], what: Column) -> dict[str, str]:
+    """``what`` of each file's first line with text, a column over ``line`` (without a byte order mark)."""
     if not paths:
         return {}
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("row"),
-    ).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
-    heads = lines.groupBy("file").agg(F.min_by("value", "row").alias("line")).collect()
-    return {unquote(row.file): row.line.lstrip("﻿") for row in heads}
-
-
-def detect_format(first_line: str) -> str:
-    line = first_line.strip()
-    if line.startswith(("{", "[")):
-        return "json"
-    if "," in line and not line.startswith("<"):
-        return "csv"
-    return "syslog"
+    ).where((F.col("_metadata.file_block_start") == 0) & (strip(F.col("value")) != ""))
+    lines = lines.withColumn("line", F.regexp_replace("value", "^﻿", "")).select("file", "row", what.alias("what"))
+    return {unquote(r.file): r.what for r in lines.groupBy("file").agg(F.min_by("what", "row").alias("what")).collect()}
+
+
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The header line of each CSV file."""
+    return {escaped(file): line for file, line in _heads(spark, paths, F.col("line")).items()}
+
+
+def formats(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """csv, json, json_array or syslog for each file that has a line with text.
+
+    This reads the first block of every file once; callers that know the layout of
+    their files can skip it.
+    """
+    line = strip(F.col("line"))
+    kind = (
+        F.when(line.startswith("["), "json_array").when(line.startswith("{"), "json")
+        .when(F.contains(line, F.lit(",")) & ~line.startswith("<"), "csv").otherwise("syslog")
+    )
+    return {escaped(file): kind for file, kind in _heads(spark, paths, kind).items()}
+
+
+def escaped(file: str) -> str:
+    """A file's own name as a path that matches it alone."""
+    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in file)
+
+
+def broken_files(text: DataFrame) -> list[str]:
+    """Files of ``text`` (file, value) in which a line has an odd number of quotes: a quoted value goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return [escaped(unquote(r.file)) for r in text.where(quotes % 2 == 1).select("file").distinct().collect()]

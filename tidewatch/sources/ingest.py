@@ -9,7 +9,7 @@ from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.schema import FLOWS_DDL
 from tidewatch.sources import layout as lo
 from tidewatch.sources.csv_logs import read_csv
-from tidewatch.sources.files import SUFFIX_FORMATS, detect_format, first_lines, list_files, suffix_of
+from tidewatch.sources.files import SUFFIX_FORMATS, formats, list_files, readable, suffix_of
 from tidewatch.sources.json_logs import read_json
 from tidewatch.sources.syslog import read_syslog
 
@@ -19,14 +19,14 @@ PARSED_DDL = (
     " source_file STRING, source_block BIGINT, source_row BIGINT"
 )
 SOURCE_ORDER = ["source_file", "source_block", "source_row"]
-READERS = {"csv": read_csv, "json": read_json, "syslog": read_syslog}
 
 
-def read_files(spark: SparkSession, paths: list[str], default_year: int, format: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str], default_year: int, format: str | None = None,
+               multiline: bool | None = None) -> DataFrame:
     """All records of the files.
 
     Without ``format`` it follows the suffix, and for other suffixes the first line.
-    "auto" looks at the first line of every file.
+    "auto" looks at the first line of every file. ``multiline`` is for CSV (see ``read_csv``).
     """
     groups: dict[str, list[str]] = {}
     unknown = []
@@ -36,17 +36,29 @@ def read_files(spark: SparkSession, paths: list[str], default_year: int, format:
             unknown.append(path)
         else:
             groups.setdefault(kind, []).append(path)
-    for path, line in first_lines(spark, unknown).items():
-        groups.setdefault(detect_format(line), []).append(path)
+    arrays = {"json": None, "json_lines": False, "json_array": True}
+    for path, kind in formats(spark, unknown).items():
+        groups.setdefault("json_lines" if kind == "json" else kind, []).append(path)
     if not groups:
         return spark.createDataFrame([], PARSED_DDL)
-    return reduce(DataFrame.unionByName, [READERS[kind](spark, files, default_year) for kind, files in groups.items()])
+    parts = []
+    for kind, files in groups.items():
+        if kind in arrays:
+            parts.append(read_json(spark, files, default_year, arrays[kind]))
+        elif kind == "csv":
+            parts.append(read_csv(spark, files, default_year, multiline=multiline))
+        else:
+            parts.append(read_syslog(spark, files, default_year))
+    return reduce(DataFrame.unionByName, parts)
+
 
+def read_directory(spark: SparkSession, directory: str, default_year: int, multiline: bool | None = None) -> DataFrame:
+    """All records of the log files directly inside a directory; other suffixes are left out.
 
-def read_directory(spark: SparkSession, directory: str, default_year: int) -> DataFrame:
-    """All records of the log files directly inside a directory; other suffixes are left out."""
+    Names may hold any characters, also those of patterns, and start with _ or a dot.
+    """
     paths = [path for path in list_files(spark, directory) if suffix_of(path) in SUFFIX_FORMATS]
-    return read_files(spark, paths, default_year)
+    return read_files(spark, [readable(spark, path) for path in paths], default_year, multiline=multiline)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -58,23 +70,28 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def to_flows(parsed: DataFrame) -> DataFrame:
-    """Accepted records as a written table, with ``event_id`` growing by file name and line.
+    """Accepted records as a written table by ``date``, with ``event_id`` growing by file name and line.
 
-    Records keep the order they have within their block, and blocks are counted up; so the
-    records are parsed and written once, and never sorted. Numbers of rejected records
-    stay unused.
+    Records are parsed and written once, without ids. They keep the order they have within their
+    block; blocks are counted up, files first and then the blocks of each, and the ids are added
+    as the table is written for good. Numbers of rejected records stay unused. What reads the
+    result scans one table.
     """
-    table = durable(accepted(parsed), "flows")
+    table = durable(accepted(parsed), "parsed")
     block = ["source_file", "source_block"]
     spans = table.groupBy(*block).agg(F.min("source_row").alias("_first"), F.max("source_row").alias("_last"))
-    # One row per input block (some hundred thousand for 100 TB).
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    length = F.col("_last") - F.col("_first") + 1
-    bases = spans.select(*block, (F.coalesce(F.sum(length).over(before), F.lit(0)) - F.col("_first")).alias("_base"))
-    return table.join(broadcast_if_small(bases), block).select(
+    spans = durable(spans.withColumn("_length", F.col("_last") - F.col("_first") + 1), "blocks")
+    # One row per file, as in Spark's own file index; the blocks of a file are counted up on their own.
+    running = lambda *keys: (Window.partitionBy(*keys) if keys else Window).orderBy("source_block" if keys else "source_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = spans.groupBy("source_file").agg(F.sum("_length").alias("_total"))
+    files = files.select("source_file", F.coalesce(F.sum("_total").over(running()), F.lit(0)).alias("_before"))
+    within = spans.withColumn("_within", F.coalesce(F.sum("_length").over(running("source_file")), F.lit(0)))
+    bases = within.join(files, "source_file").select(*block, (F.col("_before") + F.col("_within") - F.col("_first")).alias("_base"))
+    numbered = table.join(broadcast_if_small(durable(bases, "bases")), block).select(
         (F.col("_base") + F.col("source_row")).alias("event_id"),
-        *[c for c in parsed.columns if c not in ("status", *SOURCE_ORDER)],
+        *[c for c in parsed.columns if c not in ("status", *SOURCE_ORDER)], F.to_date("ts").alias("date"),
     )
+    return durable(numbered, "flows", "date")
 
 
 def quality(parsed: DataFrame) -> DataFrame:

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.sources import layout as lo
-from tidewatch.sources.files import first_lines
+from tidewatch.sources.files import formats
 
 
 def read_json(spark: SparkSession, paths: list[str], default_year: int, arrays: bool | None = None) -> DataFrame:
     """All records of the given files with their status.
 
     ``arrays`` tells whether the files hold one array each; if None, the first line of
-    each file is looked up. Line files are split freely; an array file is one document
-    and is read as a whole, so large inputs belong into line files.
+    each file is looked at. Line files are split freely; an array file is one document for
+    one task, so large inputs belong into line files. A document that is no array is one
+    rejected record; one that is too long for a value (2 GiB) is an error of the reader.
     """
     if arrays is None:
-        heads = first_lines(spark, paths)
-        whole = [path for path, line in heads.items() if line.lstrip().startswith("[")]
-        lines = [path for path in heads if path not in set(whole)]
+        kinds = formats(spark, paths) if paths else {}
+        whole = [path for path, kind in kinds.items() if kind == "json_array"]
+        lines = [path for path in kinds if path not in set(whole)]
     else:
         whole, lines = (list(paths), []) if arrays else ([], list(paths))
     parts = []
@@ -29,11 +30,11 @@ def read_json(spark: SparkSession, paths: list[str], default_year: int, arrays:
         parts.append(records(text.where("value <> ''"), default_year))
     if whole:
         text = spark.read.text(whole, wholetext=True).select("value", *lo.place_columns())
-        # A document that cannot be read is lost without being counted.
-        items = text.withColumn("items", F.try_parse_json(_clean("value")).cast("array<variant>")).where("items IS NOT NULL")
-        exploded = items.select(
-            "source_file", "source_block", F.posexplode("items").alias("source_row", "item"),
-        ).withColumn("value", F.to_json("item"))
+        document = _clean("value")
+        items = F.when(document.endswith("]"), F.from_json(document, "array<string>"))
+        exploded = text.where(document != "").select(
+            "source_file", "source_block", F.posexplode(F.coalesce(items, F.array(document))).alias("source_row", "item"),
+        ).withColumn("value", F.coalesce("item", F.lit("null")))
         parts.append(records(exploded, default_year))
     if not parts:
         from tidewatch.sources.ingest import PARSED_DDL
@@ -43,7 +44,7 @@ def read_json(spark: SparkSession, paths: list[str], default_year: int, arrays:
 
 
 def _clean(column: str) -> Column:
-    return F.trim(F.regexp_replace(column, "^﻿", ""))
+    return lo.strip(F.regexp_replace(column, "^\ufeff", ""))
 
 
 # An upper-case letter (or an escape) inside a key.

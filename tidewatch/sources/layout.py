@@ -67,13 +67,21 @@ DAY_TIME = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}( {CLOCK}(\.\d{{1,6}})?|T{CLOCK}(\.\d{
 SLASH_DAY_TIME = rf"^\d{{4}}/\d{{1,2}}/\d{{1,2}} {CLOCK}$"
 YEARLESS = rf"^([A-Za-z]{{3}}) (\d{{1,2}}) ({CLOCK})$"
 NAMED_MONTH = rf"^(\d{{1,2}})/([A-Za-z]{{3}})/(\d{{4}}):({CLOCK})$"
-ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
-ISO_HOUR = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}$"
-ISO_TIME = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
+# ISO 8601 day, time and offset, with or without separators; more than six digits of a second are cut.
+ISO = r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ](\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d{1,6})\d*)?)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?$"
+
+
+# The characters that count as white space around a value.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def plain_stamp(text: Column) -> Column:
-    return F.regexp_replace(F.trim(text), r"\s+", " ")
+    return F.regexp_replace(strip(text), r"(?U)\s+", " ")
 
 
 def parse_timestamp(stamp: Column, default_year: int) -> Column:
@@ -91,7 +99,6 @@ def parse_timestamp(stamp: Column, default_year: int) -> Column:
         place = F.position(F.initcap(name), F.lit(MONTHS))
         return F.when(place % 3 == 1, F.floor((place + 2) / 3).cast("string"))
 
-    bare = F.regexp_replace(F.regexp_replace(stamp, "Z", "+00:00"), r"\+00:00", "")
     iso = (
         F.when(stamp.rlike(DAY_TIME), F.rtrim(stamp, F.lit("Z")))
         .when(stamp.rlike(SLASH_DAY_TIME), F.replace(stamp, F.lit("/"), F.lit("-")))
@@ -101,17 +108,25 @@ def parse_timestamp(stamp: Column, default_year: int) -> Column:
         .when(stamp.rlike(NAMED_MONTH), F.concat(
             part(NAMED_MONTH, 3), F.lit("-"), month(part(NAMED_MONTH, 2)), F.lit("-"), part(NAMED_MONTH, 1),
             F.lit(" "), part(NAMED_MONTH, 4)))
-        .when(bare.rlike(ISO_HOUR), F.concat(bare, F.lit(":00")))
-        .when(bare.rlike(ISO_DAY) | bare.rlike(ISO_TIME + "$"), bare)
     )
-    with_offset = bare.rlike(ISO_TIME + r"[+-]\d{2}:\d{2}$")
-    minutes = F.right(bare, F.lit(5))
-    shift = F.substring(minutes, 1, 2).cast("int") * 60 + F.substring(minutes, 4, 2).cast("int")
-    east = F.when(bare.rlike(r"\+\d{2}:\d{2}$"), 1).otherwise(-1)
-    local = F.regexp_replace(bare, r"[+-]\d{2}:\d{2}$", "").try_cast("timestamp_ntz")
+    # One pass of the pattern gives the ten parts.
+    parts = F.split(F.regexp_replace(stamp, ISO, "\u0001".join(f"${i}" for i in range(1, 11))), "\u0001")
+
+    def piece(number: int, missing: str = "") -> Column:
+        value = F.get(parts, F.lit(number - 1))
+        return F.when(value == "", missing).otherwise(value) if missing else value
+
+    local = F.concat(
+        piece(1), F.lit("-"), piece(3), F.lit("-"), piece(4), F.lit(" "), piece(5, "00"), F.lit(":"), piece(7, "00"),
+        F.lit(":"), piece(8, "00"), F.lit("."), piece(9, "0"),
+    ).try_cast("timestamp_ntz")
+    offset = F.regexp_replace(piece(10), "[^0-9]", "")
+    hours, minutes = F.substring(offset, 1, 2).try_cast("int"), F.coalesce(F.substring(offset, 3, 2).try_cast("int"), F.lit(0))
+    east = F.when(piece(10).startswith("-"), -1).otherwise(1)
     zero = F.lit(0)
-    to_utc = local - F.make_dt_interval(zero, zero, shift * east, zero.cast("decimal(18,6)"))
-    return F.coalesce(iso.try_cast("timestamp_ntz"), F.when(with_offset, to_utc))
+    shift = F.when(offset == "", zero).when((hours < 24) & (minutes < 60), (hours * 60 + minutes) * east)
+    to_utc = local - F.make_dt_interval(zero, zero, shift, zero.cast("decimal(18,6)"))
+    return F.coalesce(iso.try_cast("timestamp_ntz"), F.when(stamp.rlike(ISO), to_utc))
 
 
 def text_fields() -> list[Column]:

@@ -24,7 +24,7 @@ def read_syslog(spark: SparkSession, paths: list[str], default_year: int) -> Dat
 
 def lines(text: DataFrame, default_year: int) -> DataFrame:
     """Parsed columns of rows with ``value`` and the place columns; also usable on a stream."""
-    line = F.trim("value")
+    line = lo.strip(F.col("value"))
     rows = text.withColumn("line", line).where((line != "") & ~line.startswith("#"))
 
     firewall = F.col("line").rlike(FIREWALL)
