@@ -35,7 +35,8 @@ def test_words_come_near_the_targets(spark):
         got = by.setdefault(r.source, [0, r.target, r.source_size, 0])
         got[0] += r.taken
         got[3] += r.size
-    assert all(abs(taken - target) <= 5 for taken, target, _, _ in by.values()), by
+    # The sizes within a source differ by ten, so no document closes a gap better than to that.
+    assert all(abs(taken - target) <= 10 for taken, target, _, _ in by.values()), by
     assert all(size == total for _, _, size, total in by.values())
     again = mixing.planned(mixing.keyed(docs, "source"))
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in again.collect()) == sorted((r.doc_id or -1, r.size, r.taken) for r in rows)

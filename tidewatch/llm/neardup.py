@@ -168,10 +168,12 @@ def linked(classes: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
             bits = durable(chosen.mapInArrow(lambda batches: _bits(batches, spec), "row bigint, bits array<bigint>"), "bits")
         share = F.ceil(F.col("size") / sample)
         chosen = (F.col("size") <= SMALL_BUCKET) | (F.col("row") == F.col("one")) | (F.pmod(F.xxhash64("row", "bucket"), share) == 0)
-        marked = active.join(bits, "row")
-        left = marked.where(chosen).select("bucket", F.col("row").alias("x"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("bits").alias("b"))
+        marked = active.withColumn("chosen", chosen).join(bits, "row").join(classes.select("row", "bands"), "row")
+        left = marked.where("chosen").select("bucket", F.col("row").alias("x"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("bits").alias("b"), F.col("bands").alias("c"))
         differ = F.aggregate(F.zip_with("bits", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-        met = marked.join(left, "bucket").where((F.col("component") != F.col("other")) & _sizes_allow("n", "m", spec)).where(differ <= spec.most_different)
+        met = marked.join(left, "bucket").where((F.col("component") != F.col("other")) & _sizes_allow("n", "m", spec) & (~F.col("chosen") | (F.col("row") < F.col("x"))))
+        # A pair that shares several buckets is looked at in the first.
+        met = met.where(differ <= spec.most_different).where(F.get(F.array_intersect("bands", "c"), F.lit(0)) == F.col("bucket"))
         pairs = met.select(F.least("row", "x").alias("a"), F.greatest("row", "x").alias("b")).distinct()
         found = durable(similar(pairs, texts, spec), "links")
         if not found.isEmpty():
