@@ -101,13 +101,15 @@ def test_quality_without_labels(spark):
 
 
 def test_toxicity_of_held_out_texts(spark):
-    # The smaller set has 33 toxic texts to learn from, in which most of the words occur too rarely.
+    # The smaller set has 33 toxic texts to learn from, in which most of the words occur too rarely; in
+    # this one some still do, and such texts are missed rather than others blamed.
     folder, held_out = "/root/testdata/sf0.1", in_fold(F.col("doc_id"), 3, 1)
     model = toxicity.trained(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
     assert list(model.thresholds) == sorted(model.thresholds)
     docs = labelled(spark, "toxic", folder).where(held_out)
     rows = toxicity.graded(docs, model).join(docs.select("doc_id", "label"), "doc_id").withColumn("score", F.col("expected_severity")).collect()
-    assert area(rows) > 0.97 and np.mean([r.toxic == (r.label == 1) for r in rows]) > 0.95
+    assert area(rows) > 0.95 and np.mean([r.toxic == (r.label == 1) for r in rows]) > 0.95
+    assert not any(r.toxic for r in rows if r.label == 0)
     got = toxicity.graded(odd_docs(spark), model).collect()
     assert len(got) == len(ODD) and not any(r.toxic for r in got) and all(0 <= r.expected_severity <= 3 for r in got)
     assert toxicity.graded(odd_docs(spark).limit(0), model).count() == 0
