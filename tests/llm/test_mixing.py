@@ -42,6 +42,53 @@ def test_words_come_near_the_targets(spark):
     assert sorted((r.doc_id or -1, r.size, r.taken) for r in again.collect()) == sorted((r.doc_id or -1, r.size, r.taken) for r in rows)
 
 
+def test_a_long_document_blocks_nothing(spark):
+    # Each source has 200 documents of 10 words and one of 3,000; where the long one ranks early, those behind it have to fill the gap.
+    long = F.col("id") % 201 == 0
+    docs = spark.range(30 * 201).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.when(long, 3000).otherwise(10)).alias("text"), F.floor(F.col("id") / 201).cast("string").alias("source"),
+    )
+    for share in (0.1, 0.25):
+        by = {}
+        for r in mixing.planned(mixing.keyed(docs, "source"), weights=(1,), share=share).collect():
+            got = by.setdefault(r.source, [0, r.target])
+            got[0] += r.taken
+        assert len(by) == 30 and all(target == 5000 * share and abs(taken - target) <= 10 for taken, target in by.values()), by
+
+
+def test_a_source_is_filled_in_rank_order(spark):
+    # Sizes of 1 to 2,000 words: the rule of the docstring, document by document.
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.expr("cast(exp(pmod(id * 7919, 77) / 10.0) as int)")).alias("text"), F.expr("concat('s', id % 20)").alias("source"))
+    texts = mixing.keyed(docs, "source")
+    u = {r.row: r.u for r in texts.select("row", mixing.uniform(F.col("row"), 17).alias("u")).collect()}
+    rows = mixing.planned(texts, weights=(1, 3), share=0.3).collect()
+    again = 0
+    for source in {r.source for r in rows}:
+        own = sorted((r for r in rows if r.source == source), key=lambda r: u[r.row])
+        target = own[0].target
+
+        def near(taken, gap, own=own):
+            off, _, row = min(((abs(gap - r.size), u[r.row], r.row) for r in own if r.row not in taken), default=(gap, 0, None))
+            return (taken | {row}, off) if off < gap else (taken, gap)
+
+        prefix, gap = set(), target
+        for r in own:
+            if r.size > gap:
+                break
+            prefix, gap = prefix | {r.row}, gap - r.size
+        wanted, off = near(prefix, gap)
+        if off > mixing.NEAR * target:
+            filled, gap = set(prefix), gap
+            for r in own:
+                if r.row not in filled and r.size <= gap:
+                    filled, gap = filled | {r.row}, gap - r.size
+            other, new = near(filled, gap)
+            if new < off:
+                wanted, again = other, again + 1
+        assert {r.row for r in own if r.copies} == wanted
+    assert again
+
+
 def test_inclusion_follows_the_share(spark):
     # Source b keeps p = 0.5 of equal documents; each document must be in about half of the mixes.
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("b").alias("source"))

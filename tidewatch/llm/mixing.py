@@ -5,7 +5,8 @@ all of its documents, and the rest is a sample in which a document has inclusion
 (its source's remaining share). Documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u drawn
 from a digest of the document's key, and taken in that order until the words are used up. The
 running sums are cut into as many buckets of the rank as a bucket has documents, so that no source
-has to fit into one task.
+has to fit into one task. Where a long document ends the sample of a source far from its target,
+the documents behind it are gone through too.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.llm.common import WORD, keyed, packed, unpacked
 
+# A source that the sample and its closing document leave further from its target than this share of it is filled on.
+NEAR = 0.05
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
     """Adds ``target`` to (source, source_size): ``share`` of all sizes by weight, none above ``most`` times its size.
 
@@ -39,13 +44,72 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
 
 
+def fitting(rows: DataFrame) -> DataFrame:
+    """Adds ``fits`` to (source, row, size, rank, bucket, room): whether the sizes of the source's rows up to it, by rank, are at most ``room``.
+
+    False where ``room`` (one value a source) is null.
+    """
+    same = F.col("source").eqNullSafe(F.col("s"))
+    sums = rows.where("room IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
+    ordered = Window.partitionBy("source").orderBy("bucket")
+    before = F.coalesce(F.sum("words").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = sums.withColumn("before", before).where(F.col("before") < F.col("room")).groupBy(F.col("source").alias("s")).agg(F.max("bucket").alias("last"), F.max("before").alias("before"))
+    placed = rows.join(broadcast_if_small(durable(last, "last_buckets")), same, "left").drop("s")
+
+    # Only the bucket in which the words run out is looked at row by row.
+    edge = placed.where("bucket = last")
+    until = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("rank", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    edge = edge.withColumn("fits", F.col("before") + until <= F.col("room"))
+    other = placed.where("last IS NULL OR bucket <> last").withColumn("fits", F.coalesce(F.col("bucket") < F.col("last"), F.lit(False)))
+    return edge.unionByName(other).drop("last", "before")
+
+
+def closed(left: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Adds ``closing`` and ``off`` to (source, gap, ...): the row among ``left`` whose size is nearest to the
+    gap (null if none brings the sum nearer), earlier rank first, and how far the sum then is from the target.
+    """
+    same = F.col("source").eqNullSafe(F.col("s"))
+    named = broadcast_if_small(gaps.select(F.col("source").alias("s"), "gap"))
+    nearest = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "row")
+    best = left.join(named, same).groupBy("s", "gap").agg(F.min(nearest).alias("best")).where("best.off < gap").select("s", "best")
+    return gaps.join(broadcast_if_small(durable(best, "best")), same, "left").select(*gaps.columns, F.col("best.row").alias("closing"), F.coalesce("best.off", "gap").alias("off"))
+
+
+def filled(left: DataFrame, missed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, row, size) of the rows of ``left`` that still fit into the gaps of (source, gap), each row tried once
+    in rank order, and (source, gap) of what stays open.
+
+    A round takes the rows up to the first that doesn't fit, which is too long from then on; rounds
+    follow until no row is short enough. In each the first row fits, so there is an end.
+    """
+    same = F.col("source").eqNullSafe(F.col("s"))
+    rooms = broadcast_if_small(missed.select(F.col("source").alias("s"), F.col("gap").alias("room")))
+    rows = durable(left.select("source", "row", "size", "rank", "bucket").join(rooms, same).drop("s").where("size <= room"), "short_enough")
+    taken, gaps = [], missed.select("source", "gap")
+    while not rows.isEmpty():
+        tried = durable(fitting(rows), "tried")
+        taken.append(tried.where("fits").select("source", "row", "size"))
+        got = durable(taken[-1].groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("got")), "got")
+        got = broadcast_if_small(got)
+        gaps = durable(gaps.join(got, same, "left").select("source", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap")), "gaps")
+        rows = tried.where("NOT fits").drop("fits").join(got, same).withColumn("room", F.col("room") - F.col("got")).drop("s", "got")
+        rows = durable(rows.where("size <= room"), "short_enough")
+    everything = left.select("source", "row", "size").limit(0)
+    for part in taken:
+        everything = everything.unionByName(part)
+    return durable(everything, "filled"), gaps
+
+
 def planned(texts: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
     """row, doc_id, source, size, source_size, target, copies and taken (words, repeats counted) of keyed texts with their source.
 
     ``size`` counts words (null text: 0). A document is taken 0 to ``most`` times, whole. The
-    document that closes the rest is the one, among those not yet taken, that brings the sum
-    nearest to the target, earlier rank first. Reruns agree; a null source is a source;
-    documents without words take part with nothing; repeated rows count each.
+    sample ends at the first document by rank that doesn't fit. The document that closes the rest
+    is the one, among those not yet taken, that brings the sum nearest to the target, earlier rank
+    first. If that leaves a source off its target by more than ``NEAR`` of it, all later documents
+    that still fit are taken in rank order before one closes, where this comes nearer. Reruns
+    agree; a null source is a source; documents without words take part with nothing; repeated
+    rows count each.
     """
     counted = texts.select("row", "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     sized = durable(counted, "sizes")
@@ -62,28 +126,26 @@ def planned(texts: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     bucket = F.floor(spread / (1 + spread) * F.ceil(F.sqrt("n_docs"))).cast("int")
     same = F.col("source").eqNullSafe(F.col("s"))
     known = broadcast_if_small(plan.withColumnRenamed("source", "s"))
-    ranked = sized.join(known, same).drop("s").withColumn("rank", rank).withColumn("bucket", F.coalesce(bucket, F.lit(0)))
-
-    sums = ranked.where("p > 0").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    ordered = Window.partitionBy("source").orderBy("bucket")
-    before = F.coalesce(F.sum("words").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = sums.withColumn("before", before).where(F.col("before") < F.col("rest")).groupBy(F.col("source").alias("s")).agg(F.max("bucket").alias("last"), F.max("before").alias("before"))
-    placed = ranked.join(broadcast_if_small(durable(last, "last_buckets")), same, "left").drop("s")
-
-    # Only the bucket in which the words run out is looked at row by row.
-    edge = placed.where("bucket = last")
-    until = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("rank", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    edge = edge.withColumn("fits", F.col("before") + until <= F.col("rest"))
-    other = placed.where("last IS NULL OR bucket <> last").withColumn("fits", F.coalesce(F.col("bucket") < F.col("last"), F.lit(False)))
-    sampled = durable(edge.unionByName(other), "sampled")
+    room = F.when(F.col("p") > 0, F.col("rest"))
+    ranked = sized.join(known, same).drop("s").withColumn("rank", rank).withColumn("bucket", F.coalesce(bucket, F.lit(0))).withColumn("room", room)
+    sampled = durable(fitting(ranked), "sampled")
 
     sampled_sum = sampled.where("fits").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("got"))
-    gaps = plan.where("p > 0").join(sampled_sum, same, "left").select("source", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
-    named = broadcast_if_small(durable(gaps, "gaps").withColumnRenamed("source", "s"))
-    nearest = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "rank", "row")
-    closing = sampled.where("NOT fits AND size > 0").join(named, same).groupBy(F.col("source").alias("s"), "gap").agg(F.min(nearest).alias("best")).where("best.off < gap").select("s", F.col("best.row").alias("closing"))
-    final = sampled.join(broadcast_if_small(durable(closing, "closing")), same, "left")
-    copies = F.col("whole") + (F.col("fits") | F.coalesce(F.col("row") == F.col("closing"), F.lit(False))).cast("long")
+    gaps = plan.where("p > 0").join(sampled_sum, same, "left").select("source", "target", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
+    left = sampled.where("NOT fits AND size > 0")
+    ends = durable(closed(left, durable(gaps, "gaps")), "ends")
+    added = ends.where("closing IS NOT NULL").select(F.col("closing").alias("added"))
+    missed = ends.where(F.col("off") > F.col("target") * NEAR)
+    if not missed.isEmpty():
+        more, open_gaps = filled(left, missed)
+        untaken = left.join(broadcast_if_small(more.select("row")), "row", "left_anti")
+        second = closed(untaken, open_gaps).select(F.col("source").alias("s"), F.col("closing").alias("last_row"), F.col("off").alias("new_off"))
+        ends = durable(ends.join(broadcast_if_small(durable(second, "second")), same, "left").withColumn("nearer", F.coalesce(F.col("new_off") < F.col("off"), F.lit(False))), "ends")
+        nearer = broadcast_if_small(ends.where("nearer").select("s"))
+        closing = ends.select(F.when(F.col("nearer"), F.col("last_row")).otherwise(F.col("closing")).alias("added")).where("added IS NOT NULL")
+        added = closing.unionByName(more.join(nearer, same, "left_semi").select(F.col("row").alias("added")))
+    final = sampled.join(broadcast_if_small(durable(added, "added")), F.col("row") == F.col("added"), "left")
+    copies = F.col("whole") + (F.col("fits") | F.col("added").isNotNull()).cast("long")
     return final.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
