@@ -71,6 +71,42 @@ def test_odd_texts_have_no_language(spark, language_model):
     assert langid.predicted(odd_docs(spark).limit(0), language_model).count() == 0
 
 
+def made_up(language, n, of):
+    """``n`` words from ``of`` words that no other language has."""
+    rng = random.Random(language)
+    letters = [chr(0x4E00 + 20 * language + i) for i in range(20)]
+    words = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(of)]
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    # 70 languages: the last three have only long, only short, and one text among other languages' many.
+    rows = [(100 * k + i, made_up(k, 12, 10), f"l{k:02}") for k in range(67) for i in range(3)]
+    rows += [(8000 + i, made_up(70, 1500, 10), "l70") for i in range(3)] + [(8100 + i, made_up(71, 2, 3), "l71") for i in range(3)] + [(8200, made_up(72, 12, 10), "l72")]
+    rows += [(9000 + i, made_up(0, 12, 10), "l00") for i in range(1000)] + [(9999, "1234 5678 1234 5678 1234", "digits"), (9998, None, "nothing"), (9997, made_up(1, 20, 10), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    texts, languages = langid.sample(docs, F.lit(True), 300, 4_000, 64 * 300)
+    names = {r[2] for r in rows[:-3]}
+    assert set(languages) == names and len(names) == 70 and max(map(len, texts)) <= 4_000
+    assert 200 < languages.count("l00") < 400 and all(languages.count(f"l{k:02}") == 3 for k in range(1, 67))
+    # Every language stays when the number of rows is bounded.
+    few = langid.sample(docs, F.lit(True), 300, 4_000, 70)[1]
+    assert set(few) == names and len(few) <= 140
+    model = langid.fit(texts, languages, n_sequences=500, rounds=20)
+    got = langid.predicted(docs.where("doc_id < 9000"), model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert set(model.languages) == names and got.where("lang <> lang_pred").count() == 0
+    monkeypatch.setattr(langid, "fit", lambda texts, languages: langid.Model(tuple(sorted(set(languages))), {}, *[np.zeros(0)] * 3))
+    assert set(langid.trained(docs, F.lit(True)).languages) == names
+
+
+def test_training_in_parts_is_the_same(monkeypatch):
+    texts, languages = [made_up(k, 30, 20) for k in range(4) for _ in range(3)], [f"l{k}" for k in range(4) for _ in range(3)]
+    whole = langid.fit(texts, languages, n_sequences=40, rounds=5)
+    monkeypatch.setattr(langid, "CELLS", 500)
+    parts = langid.fit(texts, languages, n_sequences=40, rounds=5)
+    assert np.allclose(whole.weights, parts.weights) and np.allclose(whole.transitions, parts.transitions) and np.allclose(whole.start, parts.start)
+
+
 def labelled(spark, kind, folder=FOLDER):
     docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
     return docs.select("doc_id", "text", F.col(kind).alias("label"))

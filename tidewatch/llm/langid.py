@@ -18,14 +18,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.durable import broadcast_if_small, durable
-from tidewatch.llm.common import steps
+from tidewatch.llm.common import STEP_BYTES, steps
 
-# Words of a sequence at most; distinct words of a process's cache.
-LINE, CACHE_WORDS = 128, 300_000
+# Words of a sequence at most; distinct words of a process's cache (fewer with many languages); numbers of a
+# table of words by languages that are worked on at once.
+LINE, CACHE_WORDS, CELLS = 128, 300_000, 1 << 24
+# Up to so many languages, steps and cache have their full size.
+MANY = 64
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -135,6 +138,12 @@ def fit(texts: list[str], languages: list[str], n_sequences: int = 6_000, least:
         return Model(names, {}, np.zeros((0, len(names))), np.zeros(len(names)), np.zeros((len(names), len(names))))
     random = np.random.default_rng(seed)
     drawn = _splice(by_language, random, n_sequences)
+    # With very many languages some are drawn rarely; each has to show its features ``least`` times.
+    alone = Counter(labels[0] for words, labels in drawn if len(set(labels)) == 1 and word_features(words[0]))
+    for language, lines in enumerate(by_language):
+        for i in range(least - alone[language] if lines else 0):
+            line = lines[i % len(lines)]
+            drawn.append((line, [language] * len(line)))
     cached = {w: word_features(w) for w in {w for words, _ in drawn for w in words}}
     seen = Counter(f for words, _ in drawn for w in words for f in cached[w])
     index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
@@ -154,7 +163,9 @@ def fit(texts: list[str], languages: list[str], n_sequences: int = 6_000, least:
     gold_pairs = np.zeros((k, k))
     np.add.at(gold_pairs, (gold[np.flatnonzero(inner) - 1], gold[inner]), 1)
     gold_starts = np.bincount(gold[firsts], minlength=k)
-    gold_hot = np.eye(k)[gold]
+    # Whole sequences, so that a table of their words by languages has about CELLS numbers.
+    part_of = (firsts * k) // CELLS
+    cuts = [0, *(np.flatnonzero(np.diff(part_of)) + 1).tolist(), len(lengths)]
 
     parameters = [np.zeros((len(index), k)), np.zeros(k), np.zeros((k, k))]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
@@ -162,11 +173,16 @@ def fit(texts: list[str], languages: list[str], n_sequences: int = 6_000, least:
     for t in range(1, rounds + 1):
         weights, start, transitions = parameters
         emissions = np.stack([np.bincount(owner, weights[flat, j], len(per_word)) for j in range(k)], axis=1)
-        p, _, pairs = marginals(emissions[tokens], lengths, start, transitions)
-        error = p - gold_hot
-        by_word = np.stack([np.bincount(tokens, error[:, j], len(per_word)) for j in range(k)], axis=1)
+        by_word, pairs, starts = np.zeros((len(per_word), k)), np.zeros((k, k)), np.zeros(k)
+        for first, end in zip(cuts, cuts[1:], strict=False):
+            own = slice(firsts[first], firsts[end] if end < len(firsts) else n)
+            error, _, own_pairs = marginals(emissions[tokens[own]], lengths[first:end], start, transitions)
+            pairs += own_pairs
+            starts += error[firsts[first:end] - firsts[first]].sum(axis=0)
+            error[np.arange(len(error)), gold[own]] -= 1
+            by_word += np.stack([np.bincount(tokens[own], error[:, j], len(per_word)) for j in range(k)], axis=1)
         slope = np.stack([np.bincount(flat, by_word[owner, j], len(index)) for j in range(k)], axis=1)
-        gradients = [slope / n + ridge * weights, (p[firsts].sum(axis=0) - gold_starts) / n + ridge * start, (pairs - gold_pairs) / n + ridge * transitions]
+        gradients = [slope / n + ridge * weights, (starts - gold_starts) / n + ridge * start, (pairs - gold_pairs) / n + ridge * transitions]
         for i, gradient in enumerate(gradients):
             first, second = moments[i]
             first = 0.9 * first + 0.1 * gradient
@@ -213,7 +229,7 @@ class Labeller:
 
     def label(self, texts: list[str]) -> tuple[list[list[list[str]]], np.ndarray, np.ndarray, np.ndarray]:
         """Each text's sequences; over all their words: P(language), whether it has letters; the texts' first words."""
-        if self.used > CACHE_WORDS:
+        if self.used * max(1, len(self.model.languages) / MANY) > CACHE_WORDS:
             self._reset()
         cut = [sequences(t) for t in texts]
         words = [w for lines in cut for line in lines for w in line]
@@ -241,9 +257,14 @@ def labeller(model: Model) -> Labeller:
     return held[0]
 
 
+def _step_bytes(model: Model, most: int) -> int:
+    """So that a step's table of words by languages doesn't grow with the languages."""
+    return max(1, most * MANY // max(MANY, len(model.languages)))
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     names = np.array([*model.languages, UNKNOWN])
-    for rows, raw in steps(batches):
+    for rows, raw in steps(batches, most=_step_bytes(model, STEP_BYTES)):
         best, score = np.full(len(raw), len(model.languages)), np.zeros(len(raw))
         switches = np.zeros(len(raw), np.int64)
         texts = [t.decode("utf-8") if t else "" for t in raw]
@@ -278,7 +299,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 def _words(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     names = np.array([*model.languages, UNKNOWN])
-    for rows, raw in steps(batches, most=1 << 18):
+    for rows, raw in steps(batches, most=_step_bytes(model, 1 << 18)):
         texts = [t.decode("utf-8") if t else "" for t in raw]
         if not model.languages or not any(texts):
             continue
@@ -299,22 +320,39 @@ def labelled_words(docs: DataFrame, model: Model) -> DataFrame:
     return picked.mapInArrow(lambda batches: _words(batches, model), "doc_id bigint, position bigint, word string, lang_pred string, probability double")
 
 
-def sample(docs: DataFrame, allowed: Column, most: int, most_chars: int, most_languages: int) -> tuple[list[str], list[str]]:
-    """Labelled texts: at most ``most`` a language, by a digest of text and id, of up to ``most_chars``
-    characters, from the ``most_languages`` most frequent languages.
+def sample(docs: DataFrame, allowed: Column, most: int, most_chars: int, most_rows: int) -> tuple[list[str], list[str]]:
+    """Labelled texts of every language that has one with letters: about ``most`` a language, by a digest of
+    the id, and fewer if there are so many languages that this would be above ``most_rows``, but one at least.
+
+    Texts of 20 to ``most_chars`` characters come first; a language with fewer than its number adds
+    longer ones, cut to ``most_chars`` from their first letter on, then shorter ones.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & allowed).where(F.length(F.col("text").cast("string")).between(20, most_chars))
-    frequent = durable(usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages), "languages")
-    # Only as many ids as the sample needs: the least digests, by a threshold that is known from the counts.
+    text = F.col("text").cast("string")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & allowed & text.rlike(r"\p{L}"))
+    kind = F.when(F.length(text) < 20, 2).when(F.length(text) > most_chars, 1).otherwise(0)
     digest = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    shared = usable.join(broadcast_if_small(frequent), "lang").where(digest / float(1 << 40) * F.col("count") < most)
-    rows = shared.select("lang", F.col("text").cast("string").alias("text"), digest.alias("d"), "doc_id").orderBy("d", "doc_id", "text").limit(2 * most * most_languages).collect()
+    usable = known.select("lang", "doc_id", text.alias("text"), kind.alias("kind"), digest.alias("d"))
+    counts = durable(usable.groupBy("lang", "kind").agg(F.count("*").alias("count"), F.min("d").alias("least")), "language_counts")
+    each = max(1, min(most, most_rows // max(1, counts.select("lang").distinct().count())))
+    # One row a language and kind; the first kind that a language has gives one text for certain.
+    earlier = Window.partitionBy("lang").orderBy("kind").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("count").over(earlier), F.lit(0))
+    wanted = counts.select("lang", "kind", "count", (each - before).alias("wanted"), F.when(before == 0, F.col("least")).alias("least"))
+    wanted = durable(wanted.where("wanted > 0"), "languages")
+    # Only as many ids as the sample needs: the least digests, by a threshold that is known from the counts.
+    shared = usable.join(broadcast_if_small(wanted), ["lang", "kind"])
+    shared = shared.where((F.col("d") / float(1 << 40) * F.col("count") < F.col("wanted")) | F.coalesce(F.col("d") == F.col("least"), F.lit(False)))
+    # More than twice the number only if many rows share an id.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("kind", "d", "doc_id", "text"))
+    bounded = shared.withColumn("place", place).where(F.col("place") <= 2 * each)
+    cut = F.when(F.col("kind") == 1, F.substring(F.regexp_replace("text", r"^\P{L}+", ""), 1, most_chars)).otherwise(F.col("text"))
+    rows = bounded.select("lang", cut.alias("text"), "d", "doc_id").orderBy("d", "doc_id", "text").collect()
     return [r.text for r in rows], [r.lang for r in rows]
 
 
-def trained(docs: DataFrame, allowed: Column, most: int = 300, most_chars: int = 4_000, most_languages: int = 64) -> Model:
-    """A model from about ``most`` texts of each language among rows for which ``allowed`` holds."""
+def trained(docs: DataFrame, allowed: Column, most: int = 300, most_chars: int = 4_000, most_rows: int = 64 * 300) -> Model:
+    """A model from about ``most`` texts of each language among rows for which ``allowed`` holds (see ``sample``)."""
     import uuid
 
-    model = fit(*sample(docs, allowed, most, most_chars, most_languages))
+    model = fit(*sample(docs, allowed, most, most_chars, most_rows))
     return Model(model.languages, model.features, model.weights, model.start, model.transitions, uuid.uuid4().hex)
