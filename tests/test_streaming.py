@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators import threat
+from tidewatch.sources import ingest
 from tidewatch.streaming import watch
 
 YEAR = 2024
@@ -58,6 +59,20 @@ def test_rows_of_any_age_count_in_any_zone(spark, tmp_path):
         assert got == (hours if width == 3600 else {"2024-02-04 00:00:00": 30})
 
 
+def test_csv_stream_keeps_line_breaks_and_rejected_records(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text('Time,src,dst,proto,in_bytes,domain\n2024-02-04 10:00:00,1.1.1.1,2.2.2.2,tcp,5,"a.b\nc"\n2024-02-04 10:30:00,1.1.1.1,2.2.2.2,tcp,many,x\n2024-02-04 11:00:00,1.1.1.3,2.2.2.2,udp,5,y\n')
+    header = ["Time", "src", "dst", "proto", "in_bytes", "domain"]
+    records = watch.watch_records(spark, str(folder), "csv", YEAR, header=header)
+    watch.run_available(records, str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r.domain for r in ingest.accepted(written).collect()) == ["a.b\nc", "y"]
+    assert ingest.rejected(written).count() == 1
+    watch.run_available(watch.watch_flows(spark, str(folder), "csv", YEAR, header=header), str(tmp_path / "flows"), checkpoint=str(tmp_path / "cp2"))
+    assert sorted(r.domain for r in spark.read.parquet(str(tmp_path / "flows")).collect()) == ["a.b\nc", "y"]
+
+
 def test_csv_stream(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()

@@ -17,12 +17,14 @@ from tidewatch.sources.layout import strip
 NAMES = {"csv": "*.csv", "json": "*.json", "syslog": "*.{log,syslog,txt}"}
 
 
-def watch_flows(spark: SparkSession, directory: str, format: str, default_year: int,
-                max_files: int | None = None, header: list[str] | None = None) -> DataFrame:
-    """A stream of flows from new files: syslog lines, one JSON object per line, or CSV.
-
-    Only files with a suffix of the format are taken. CSV files must all have the column names
-    ``header``; their values hold no line breaks.
+def watch_records(spark: SparkSession, directory: str, format: str, default_year: int,
+                  max_files: int | None = None, header: list[str] | None = None, multiline: bool = True) -> DataFrame:
+    """A stream of parsed records from new files: syslog lines, one JSON object per line, or CSV.
+
+    Rejected records stay beside the accepted ones; ``ingest.accepted`` and ``ingest.rejected`` tell them
+    apart. Only files with a suffix of the format are taken. CSV files must all have the column names
+    ``header``. Their quoted values may hold line breaks, so a file is one task; without
+    ``multiline`` large files are split, and a line break ends a record.
     """
     reader = spark.readStream.option("pathGlobFilter", NAMES[format])
     if max_files is not None:
@@ -35,12 +37,18 @@ def watch_flows(spark: SparkSession, directory: str, format: str, default_year:
         if not header:
             raise ValueError("a stream of CSV files needs their header")
         names = csv_logs.normal(header)
-        raw = reader.schema(csv_logs.text_schema(names)).options(**csv_logs.OPTIONS).csv(directory)
-        return accepted(csv_logs.rows(raw.select("*", *place), names, default_year)).drop("status")
+        raw = reader.schema(csv_logs.text_schema(names)).options(**csv_logs.OPTIONS, multiLine=multiline).csv(directory)
+        return csv_logs.rows(raw.select("*", *place), names, default_year)
     text = reader.format("text").load(directory).select("value", *place)
     if format == "json":
-        return accepted(json_logs.records(text.where(strip(F.col("value")) != ""), default_year)).drop("status")
-    return accepted(syslog.lines(text, default_year)).drop("status")
+        return json_logs.records(text.where(strip(F.col("value")) != ""), default_year)
+    return syslog.lines(text, default_year)
+
+
+def watch_flows(spark: SparkSession, directory: str, format: str, default_year: int,
+                max_files: int | None = None, header: list[str] | None = None, multiline: bool = True) -> DataFrame:
+    """The accepted records of ``watch_records``, as a stream of flows."""
+    return accepted(watch_records(spark, directory, format, default_year, max_files, header, multiline)).drop("status")
 
 
 def tumbling_totals(flows: DataFrame, width_s: float = 3600) -> DataFrame:
