@@ -83,6 +83,11 @@ SELECT doc_id, item_id, doc_start::INTEGER AS doc_start, any_value(n_tokens)::IN
 FROM c GROUP BY doc_id, item_id, doc_start HAVING max(near) >= 10 AND any_value(n_tokens) >= 12 OR any_value(n_tokens) BETWEEN 6 AND 11 AND any_value(n_equal) = any_value(n_tokens)
 """
 
+COPIES = r"""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 ORACLES = {
     "op3_warc_transactions": WARC,
     "op5_maxscore_topk": TOPK,
@@ -90,4 +95,5 @@ ORACLES = {
     "op8_circulant_minhash": NEAR,
     "op9_automaton_repeats": REPEATS,
     "op10_seeded_overlaps": LEAKS,
+    "op11_block_naming": COPIES,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.durable import fresh_path
-from tidewatch.llm import decontam, langid, mixing, neardup, quality, substring, tokens, topk, toxicity, warc
+from tidewatch.llm import blocknames, decontam, langid, mixing, neardup, quality, substring, tokens, topk, toxicity, warc
 from tidewatch.llm.common import in_fold, ship, table
 
 # Parameters of the production runs.
@@ -68,6 +68,10 @@ def seeded_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def block_naming(spark: SparkSession, folder: str) -> DataFrame:
+    return blocknames.exact_copies(table(spark, folder, "documents"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -91,5 +95,6 @@ _QUERIES: dict[str, Query] = {
     "op8_circulant_minhash": circulant_minhash,
     "op9_automaton_repeats": automaton_repeats,
     "op10_seeded_overlaps": seeded_overlaps,
+    "op11_block_naming": block_naming,
 }
 QUERIES = {name: _shipping(query) for name, query in _QUERIES.items()}
