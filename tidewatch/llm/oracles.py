@@ -88,6 +88,58 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+PHRASES = r"""
+WITH RECURSIVE pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, row_number() OVER () AS k, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+t AS (SELECT lang, k, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM split),
+g AS (SELECT lang, w1, lead(w1) OVER (PARTITION BY k ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY k ORDER BY i) AS w3 FROM t),
+f1 AS (SELECT lang, w1, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*)::HUGEINT AS f FROM g WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, count(*)::HUGEINT AS f FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, count(*) AS n FROM t GROUP BY 1),
+c3 AS (SELECT e.lang, e.w1, e.w2, e.w3, e.f AS a, x.f AS l1, yz.f AS r1, xy.f AS l2, z.f AS r2 FROM f3 e
+       JOIN f1 x ON x.lang = e.lang AND x.w1 = e.w1 JOIN f2 yz ON yz.lang = e.lang AND yz.w1 = e.w2 AND yz.w2 = e.w3
+       JOIN f2 xy ON xy.lang = e.lang AND xy.w1 = e.w1 AND xy.w2 = e.w2 JOIN f1 z ON z.lang = e.lang AND z.w1 = e.w3),
+s3 AS (SELECT *, 1000000 * a * a // (l1 * r1) AS early, 1000000 * a * a // (l2 * r2) AS late FROM c3),
+beside AS (SELECT lang, w1, w2, max(f) AS longest FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+c2 AS (SELECT e.lang, e.w1, e.w2, e.f AS a, x.f AS l, y.f AS r FROM f2 e LEFT JOIN beside b ON b.lang = e.lang AND b.w1 = e.w1 AND b.w2 = e.w2
+       JOIN f1 x ON x.lang = e.lang AND x.w1 = e.w1 JOIN f1 y ON y.lang = e.lang AND y.w1 = e.w2
+       WHERE e.f >= 10 AND (longest IS NULL OR 100 * longest < 50 * e.f)),
+links AS (SELECT lang, w1, w2, w3 FROM (SELECT *, count(*) OVER (PARTITION BY lang, w1, w2) AS leaving, count(*) OVER (PARTITION BY lang, w2, w3) AS entering FROM f3)
+          WHERE leaving = 1 AND entering = 1 AND NOT (w1 = w2 AND w2 = w3)),
+walk AS (SELECT lang, w1 AS h1, w2 AS h2, w1, w2, 1 AS nodes FROM links WHERE (lang, w1, w2) NOT IN (SELECT (lang, w2, w3) FROM links)
+         UNION ALL SELECT walk.lang, h1, h2, links.w2, w3, nodes + 1 FROM walk JOIN links ON links.lang = walk.lang AND links.w1 = walk.w1 AND links.w2 = walk.w2),
+paths AS (SELECT lang, w1, w2, nodes AS place, max(nodes) OVER (PARTITION BY lang, h1, h2) + 1 AS long FROM walk),
+found AS (SELECT s.lang, s.w1 || ' ' || s.w2 || ' ' || s.w3 AS phrase, a, CASE WHEN early <= late THEN l1 ELSE l2 END AS l, CASE WHEN early <= late THEN r1 ELSE r2 END AS r, least(early, late) AS score,
+                 coalesce(p.long, 3) AS path_words FROM s3 s LEFT JOIN paths p ON p.lang = s.lang AND p.w1 = s.w2 AND p.w2 = s.w3 AND p.place > 1
+          UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2, a, l, r, 1000000 * a * a // (l * r), coalesce(p.long, 2) FROM c2 c LEFT JOIN paths p ON p.lang = c.lang AND p.w1 = c.w1 AND p.w2 = c.w2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM found)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score, path_words::BIGINT AS path_words FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+VARIANTS = r"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+own AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM runs GROUP BY 1, 2),
+named AS (SELECT *, row_number() OVER () AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM own WHERE length(run) >= 7),
+crc AS (SELECT i, list_reduce(list_prepend(i, range(8)), (c, j) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+steps AS (SELECT k, hx, 0 AS spot, 4294967295 AS c FROM named
+          UNION ALL SELECT k, hx, spot + 1, xor(c >> 8, v) FROM steps JOIN crc ON i = xor(c & 255, ('0x' || substr(hx, 2 * spot + 1, 2))::BIGINT) WHERE spot < length(hx) // 2),
+digests AS (SELECT k, xor(c, 4294967295) AS h FROM steps WHERE spot = length(hx) // 2),
+slipped AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM named JOIN digests USING (k)),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY 1 HAVING sum(c) >= 2),
+less AS (SELECT word, unnest(range(length(word))) AS spot FROM words),
+cut AS (SELECT word, spot, left(word, spot) || substr(word, spot + 2) AS rest FROM less),
+pairs AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.spot = b.spot AND a.rest = b.rest AND a.word <> b.word
+          UNION SELECT c.word, w.word FROM cut c JOIN words w ON w.word = c.rest
+          UNION SELECT w.word, c.word FROM cut c JOIN words w ON w.word = c.rest),
+best AS (SELECT p.word, p.other, o.n AS form_n, count(*) OVER (PARTITION BY p.word) AS n_near,
+                row_number() OVER (PARTITION BY p.word ORDER BY o.n DESC, encode(p.other)) AS pos FROM pairs p JOIN words o ON o.word = p.other),
+formed AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * n THEN other END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n
+           FROM words w LEFT JOIN best b ON b.word = w.word AND pos = 1),
+walk AS (SELECT word, word AS here, form AS next FROM formed UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN formed f ON f.word = walk.next)
+SELECT word, form, here AS root, n, n_near, form_n FROM formed JOIN walk USING (word) WHERE next IS NULL
+"""
+
 ORACLES = {
     "op3_warc_transactions": WARC,
     "op5_maxscore_topk": TOPK,
@@ -96,4 +148,6 @@ ORACLES = {
     "op9_automaton_repeats": REPEATS,
     "op10_seeded_overlaps": LEAKS,
     "op11_block_naming": COPIES,
+    "op12_bruijn_collocations": PHRASES,
+    "op13_permuterm_variants": VARIANTS,
 }

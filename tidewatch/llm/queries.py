@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.durable import fresh_path
-from tidewatch.llm import blocknames, decontam, langid, mixing, neardup, quality, substring, tokens, topk, toxicity, warc
+from tidewatch.llm import blocknames, collocations, decontam, langid, mixing, neardup, quality, substring, tokens, topk, toxicity, variants, warc
 from tidewatch.llm.common import in_fold, ship, table
 
 # Parameters of the production runs.
@@ -72,6 +72,14 @@ def block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return blocknames.exact_copies(table(spark, folder, "documents"))
 
 
+def bruijn_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"), least=10, absorb_percent=50, most=2_000)
+
+
+def permuterm_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants(table(spark, folder, "documents"), slips=31)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -96,5 +104,7 @@ _QUERIES: dict[str, Query] = {
     "op9_automaton_repeats": automaton_repeats,
     "op10_seeded_overlaps": seeded_overlaps,
     "op11_block_naming": block_naming,
+    "op12_bruijn_collocations": bruijn_collocations,
+    "op13_permuterm_variants": permuterm_variants,
 }
 QUERIES = {name: _shipping(query) for name, query in _QUERIES.items()}

@@ -4,11 +4,12 @@ A word's hash depends on its bytes only; a run's hash on its words' hashes and t
 64 bits wide and the same on every machine.
 """
 
+import functools
+
 import numpy as np
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -16,16 +17,23 @@ _EXACT = np.arange(1, 257, dtype=U)
 _LOWER = _EXACT.copy()
 _LOWER[65:91] += U(32)
 
-_powers: dict[int, np.ndarray] = {}
+# Bytes that are hashed at once, whatever the length of texts and words.
+CHUNK = 1 << 18
+
+
+def base_of(seed: int) -> int:
+    """An odd number for each seed; words that have the same hash with one have different ones with another."""
+    return (_BASE + 2 * seed * 0x632BE59BD9B4E019) % (1 << 64)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base ** 0, 1, ... modulo 2 ** 64, n of them at least."""
-    if base not in _powers or len(_powers[base]) < n:
-        factors = np.full(max(n, 1 << 16), base, U)
-        factors[0] = 1
-        _powers[base] = np.multiply.accumulate(factors)
-    return _powers[base]
+@functools.lru_cache(maxsize=4)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base and its inverse to the powers 0, 1, ... CHUNK modulo 2 ** 64."""
+    factors = np.full((2, CHUNK + 1), base, U)
+    factors[1] = pow(base, -1, 1 << 64)
+    factors[:, 0] = 1
+    up, down = np.multiply.accumulate(factors, axis=1)
+    return up, down
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -35,22 +43,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool = False, base: int = _BASE) -> np.ndarray:
+    """The hash of each span of ``raw`` (in order, not overlapping); ``lower`` takes A-Z as a-z."""
+    data, table = np.frombuffer(raw, np.uint8), _LOWER if lower else _EXACT
+    up, down = _powers(base)
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        begin = int(starts[i])
+        j = int(np.searchsorted(ends, begin + CHUNK, side="right"))
+        if j <= i:
+            # A span longer than a chunk is the sum of its chunks, each by the power of its place.
+            total = 0
+            for at in range(begin, int(ends[i]), CHUNK):
+                part = table[data[at : min(at + CHUNK, int(ends[i]))]]
+                total += int((part * up[: len(part)]).sum(dtype=U)) * pow(base, at - begin, 1 << 64)
+            out[i] = total % (1 << 64)
+            i += 1
+            continue
+        values = table[data[begin : ends[j - 1]]]
+        values *= up[: len(values)]
+        sums = np.concatenate((np.zeros(1, U), np.cumsum(values, dtype=U)))
+        out[i:j] = (sums[ends[i:j] - begin] - sums[starts[i:j] - begin]) * down[starts[i:j] - begin]
+        i = j
+    return mixed(out)
+
+
 def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (one more entry at the end).
 
     A word is a run of anything but the six ASCII white-space characters; ``lower`` takes A-Z as a-z.
     """
     lengths = np.array([len(t) if t else 0 for t in texts], np.int64)
-    raw = np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)
-    space = _SPACES[raw]
-    edges = np.flatnonzero(np.diff(space, prepend=True))
+    raw = b" ".join([t or b"" for t in texts]) + b" "
+    edges = np.flatnonzero(np.diff(_SPACES[np.frombuffer(raw, np.uint8)], prepend=True))
     starts, ends = edges[0::2], edges[1::2]
-    values = (_LOWER if lower else _EXACT)[raw]
-    values *= _power(_BASE, len(raw))[: len(raw)]
-    sums = np.concatenate((np.zeros(1, U), np.cumsum(values, dtype=U)))
-    hashes = mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(raw))[starts])
     begins = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths + 1)))
-    return hashes, np.searchsorted(starts, begins)
+    return span_hashes(raw, starts, ends, lower), np.searchsorted(starts, begins)
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
