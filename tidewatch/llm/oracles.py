@@ -121,7 +121,7 @@ VARIANTS = r"""
 WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
 own AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c FROM runs GROUP BY 1, 2),
 named AS (SELECT *, row_number() OVER () AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM own WHERE length(run) >= 7),
-crc AS (SELECT i, list_reduce(list_prepend(i, range(8)), (c, j) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+crc AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
 steps AS (SELECT k, hx, 0 AS spot, 4294967295 AS c FROM named
           UNION ALL SELECT k, hx, spot + 1, xor(c >> 8, v) FROM steps JOIN crc ON i = xor(c & 255, ('0x' || substr(hx, 2 * spot + 1, 2))::BIGINT) WHERE spot < length(hx) // 2),
 digests AS (SELECT k, xor(c, 4294967295) AS h FROM steps WHERE spot = length(hx) // 2),

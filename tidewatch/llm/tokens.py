@@ -16,17 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import steps
 
-# Words of a generation of a process's cache.
-CACHE_WORDS = 700_000
+# Words of a generation of a process's cache, and bytes of text that are encoded at once.
+CACHE_WORDS, STEP_BYTES = 700_000, 6 << 20
 
 # Two neighbouring white-space characters (of any kind that Python or the tokenizer knows).
 TOUCHING = re.compile(r"\s\s")
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+# How white-space characters beyond ASCII begin in UTF-8; texts with one are looked at by character.
+_WIDE_WHITE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 ROW_SCHEMA = "doc_id bigint, part int, part_start bigint, n_tokens bigint, tokens array<int>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
@@ -36,9 +41,10 @@ class PieceEncoder:
     """Encodes texts with a byte-level BPE tokenizer that starts a new piece at each space.
 
     Where no two white-space characters touch, the tokenizer's own splitting always cuts in front of
-    a space, so a text is the sequence of its space-led words and a word that was met before need not
-    be encoded again. Other texts, and texts that hold the string of a special token, are given to
-    the tokenizer whole. Results equal the tokenizer's own in every case.
+    a space, so a text is the sequence of its space-led words. The distinct words of many texts are
+    encoded once, those met before not at all, and ids are put together by number. Other texts, and
+    texts that hold the string of a special token, are given to the tokenizer whole. Results equal
+    the tokenizer's own in every case.
     """
 
     def __init__(self, path: str) -> None:
@@ -47,7 +53,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -55,8 +61,8 @@ class PieceEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _plain(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _plain(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
         """Adds the ids of space-led words, those not known by one call of the tokenizer."""
@@ -67,27 +73,63 @@ class PieceEncoder:
             elif word:
                 new.append(word)
             else:
-                self.young[word] = self._plain(" ").tobytes()
+                self.young[word] = self._plain(" ")
         if new:
-            ids = self._plain(" " + " ".join(new))
-            begins = [*np.flatnonzero(self.leads[ids]).tolist(), len(ids)]
+            data = self._plain(" " + " ".join(new))
+            begins = [*np.flatnonzero(self.leads[np.frombuffer(data, "<u4")]).tolist(), len(data) // 4]
             if len(begins) != len(new) + 1:
                 raise ValueError("the tokenizer does not start a piece at each space")
-            data = ids.tobytes()
             self.young.update((w, data[4 * i : 4 * j]) for w, i, j in zip(new, begins[:-1], begins[1:], strict=True))
 
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if TOUCHING.search(text) or any(s in text for s in self.special):
-            return self._plain(text).tobytes()
+    def _whole(self, texts: list[bytes]) -> list[bool]:
+        """Which texts the tokenizer has to see whole."""
+        joined = b"\0".join(texts)
+        white = _WHITE[np.frombuffer(joined, np.uint8)]
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(begins, np.flatnonzero(white[:-1] & white[1:]), side="right") - 1] = True
+        for sign in (s for s in (*_WIDE_WHITE, *self.special) if s in joined):
+            for i in np.flatnonzero(~whole).tolist():
+                if sign in texts[i]:
+                    whole[i] = sign in self.special or TOUCHING.search(texts[i].decode()) is not None
+        return whole.tolist()
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        head, *words = text.split(" ")
-        found = list(map(self.young.get, words))
+        whole = self._whole(texts)
+        lists = pa.compute.split_pattern(pa.array([t for t, w in zip(texts, whole, strict=True) if not w], pa.binary()).cast(pa.string()), " ")
+        offsets = lists.offsets.to_numpy()
+        encoded = lists.flatten().dictionary_encode()
+        words, codes = encoded.dictionary.to_numpy(zero_copy_only=False).tolist(), encoded.indices.to_numpy()
+        # A text's first word has no space before it.
+        first = np.zeros(len(codes), bool)
+        first[offsets[:-1]] = True
+        met = np.zeros((2, len(words)), bool)
+        met[first.astype(np.int8), codes] = True
+        led, heads = np.flatnonzero(met[0]), np.flatnonzero(met[1])
+        known = [words[i] for i in led.tolist()]
+        found = list(map(self.young.get, known))
         if None in found:
-            self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
-            found = list(map(self.young.__getitem__, words))
-        return b"".join([self._plain(head).tobytes(), *found])
+            self._learn({w for w, ids in zip(known, found, strict=True) if ids is None})
+            found = list(map(self.young.__getitem__, known))
+        found += [self._plain(words[i]) for i in heads.tolist()]
+        table = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        place = np.zeros((2, len(words)), np.int64)
+        place[0, led] = np.arange(len(led))
+        place[1, heads] = len(led) + np.arange(len(heads))
+        slots = place[first.astype(np.int8), codes]
+        counts = sizes[slots]
+        ends = np.cumsum(counts)
+        ids = table[np.repeat((np.cumsum(sizes) - sizes)[slots] - ends + counts, counts) + np.arange(int(counts.sum()))]
+        cuts = iter(np.split(ids, ends[offsets[1:-1] - 1])) if len(offsets) > 1 else iter(())
+        return [np.frombuffer(self._plain(t.decode()), "<u4") if w else next(cuts) for t, w in zip(texts, whole, strict=True)]
+
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return self.encode_all([text.encode()])[0].tobytes()
 
 
 @functools.cache
@@ -98,14 +140,13 @@ def encoder(path: str) -> PieceEncoder:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     start, part = 0, TaskContext.get().partitionId()
-    encode = encoder(path).encode
-    end = np.array([end_id], "<u4").tobytes()
-    for rows, texts in steps(batches):
-        ids = [encode(t.decode("utf-8") if t else "") + end for t in texts]
-        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+    end = np.array([end_id], "<u4")
+    for rows, texts in steps(batches, most=STEP_BYTES):
+        ids = encoder(path).encode_all([t or b"" for t in texts])
+        lengths = np.array([len(x) + 1 for x in ids], np.int64)
         starts = start + np.concatenate(([0], np.cumsum(lengths)[:-1]))
         start += int(lengths.sum())
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+        flat = np.concatenate([x for own in ids for x in (own, end)]).astype(np.int32)
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [rows.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=_ARROW
