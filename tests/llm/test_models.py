@@ -8,7 +8,7 @@ from tidewatch.llm import langid, quality, toxicity
 from tidewatch.llm.common import in_fold, table
 
 FOLDER = "/root/testdata/sf0.01"
-ODD = [(1, None), (2, ""), (3, "123 !!! \n"), (3, "123 !!! \n"), (None, "no id"), (5, "long " * 40_000)]
+ODD = [(1, None), (2, ""), (3, "123 !!! \n"), (3, "123 !!! \n"), (1, "½ ²"), (2, "Ⅷ ① \u0301"), (None, "no id"), (5, "long " * 40_000)]
 
 
 def odd_docs(spark):
@@ -71,6 +71,19 @@ def test_odd_texts_have_no_language(spark, language_model):
     assert langid.predicted(odd_docs(spark).limit(0), language_model).count() == 0
 
 
+def test_long_texts_are_labelled_in_parts(spark, language_model, monkeypatch):
+    long = "the house of the other\n" * 300 + "und der die das ist nicht " * 300 + "x" * 5_000
+    docs = spark.createDataFrame([(1, long), (2, "the house")], "doc_id bigint, text string")
+    whole = {r.doc_id: r for r in langid.predicted(docs, language_model).collect()}
+    batches = docs.toArrow().to_batches()
+    monkeypatch.setattr(langid, "CHARACTERS", 2_000)
+    parts = [r for b in langid._predict(iter(batches), language_model) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in parts] == [1, 2]
+    assert all(r["lang_pred"] == whole[r["doc_id"]].lang_pred and abs(r["score"] - whole[r["doc_id"]].score) < 0.1 for r in parts), (parts, whole)
+    assert parts[0]["n_switches"] >= 1
+    assert [w for _, group in langid._groups(["a b\nc", "", "d" * 9], 4) for w in group] == ["a b\n", "c", "dddd", "dddd", "d"]
+
+
 def made_up(language, n, of):
     """``n`` words from ``of`` words that no other language has."""
     rng = random.Random(language)

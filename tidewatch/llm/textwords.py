@@ -43,10 +43,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool = False, base: int = _BASE) -> np.ndarray:
-    """The hash of each span of ``raw`` (in order, not overlapping); ``lower`` takes A-Z as a-z."""
-    data, table = np.frombuffer(raw, np.uint8), _LOWER if lower else _EXACT
+def _hashed(data: np.ndarray, table: np.ndarray | None, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     up, down = _powers(base)
+    values_of = lambda a, b: table[data[a:b]] if table is not None else data[a:b].astype(U) + U(1)
     out = np.empty(len(starts), U)
     i = 0
     while i < len(starts):
@@ -56,12 +55,12 @@ def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool =
             # A span longer than a chunk is the sum of its chunks, each by the power of its place.
             total = 0
             for at in range(begin, int(ends[i]), CHUNK):
-                part = table[data[at : min(at + CHUNK, int(ends[i]))]]
+                part = values_of(at, min(at + CHUNK, int(ends[i])))
                 total += int((part * up[: len(part)]).sum(dtype=U)) * pow(base, at - begin, 1 << 64)
             out[i] = total % (1 << 64)
             i += 1
             continue
-        values = table[data[begin : ends[j - 1]]]
+        values = values_of(begin, int(ends[j - 1]))
         values *= up[: len(values)]
         sums = np.concatenate((np.zeros(1, U), np.cumsum(values, dtype=U)))
         out[i:j] = (sums[ends[i:j] - begin] - sums[starts[i:j] - begin]) * down[starts[i:j] - begin]
@@ -69,6 +68,16 @@ def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool =
     return mixed(out)
 
 
+def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, lower: bool = False, base: int = _BASE) -> np.ndarray:
+    """The hash of each span of ``raw`` (in order, not overlapping); ``lower`` takes A-Z as a-z."""
+    return _hashed(np.frombuffer(raw, np.uint8), _LOWER if lower else _EXACT, starts, ends, base)
+
+
+def number_hashes(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The same of spans of unsigned numbers."""
+    return _hashed(numbers, None, starts, ends, _BASE)
+
+
 def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and where each text's words begin (one more entry at the end).
 
