@@ -62,7 +62,8 @@ def durable(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = fresh_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    # Names are quoted, as they may hold dots.
+    return spark.read.schema(df.schema).parquet(path).select(*("`" + c.replace("`", "``") + "`" for c in df.columns))
 
 
 def _width(name: str | Column, kind: T.DataType) -> Column:
