@@ -11,36 +11,58 @@ from pyspark.sql import functions as F
 
 from tidewatch.durable import durable, fresh_path
 from tidewatch.llm import decontam, mixing, neardup, quality, tokens
-from tidewatch.llm.common import in_fold, ship, table
+from tidewatch.llm.common import in_fold, packed, ship, table, unpacked
 from tidewatch.llm.queries import tokenizer_path
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more by a model from the labels (those held out by op2 stay unused here too)."""
+    """Documents scored 0.5 or more by a model from the labels (those held out by op2 stay unused here too).
+
+    A row is scored on its whole text alone, so repeated rows go or stay together; null and empty
+    texts get what the model gives to no difference. Labels that are null, clash or lack a document
+    are not learned from; without labels every score is 0.5 and every row stays.
+    """
     ship(spark)
     model = quality.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~in_fold(F.col("doc_id"), 3, 1))
-    names = tuple(docs.columns)
-    return quality.score(docs, model, names, "_quality").where("_quality >= 0.5").select(*names)
+    texts = packed(docs)
+    return unpacked(quality.score(texts, model, tuple(texts.columns), "quality").where("quality >= 0.5"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 80 % of their five-word shingles."""
+    """One document of each group linked by 80 % of their five-word shingles.
+
+    The first by doc_id (nulls last), then text stays; of equal rows one. Null texts and texts
+    without words are linked with nothing and stay, a text of fewer words is one shingle; long texts
+    are compared whole.
+    """
     ship(spark)
     return neardup.deduplicated(docs, neardup.Spec())
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat no window of a benchmark item."""
+    """Documents that repeat no window of a benchmark item.
+
+    Repeated rows go or stay together; null and empty texts stay; long texts are looked at whole;
+    an empty benchmark lets every row stay.
+    """
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is a source of its own; null and empty texts have no words and come as often as
+    their whole copies and their rank give; ties of rank go by row, so equal rows are drawn apart.
+    """
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and tokens, read back from the files written."""
+    """doc_id, start, n_tokens and tokens, read back from the files written.
+
+    In order of doc_id (nulls first), then text; every row is kept, a null or empty text as the end
+    id alone. Other columns are not written.
+    """
     ship(spark)
     path = fresh_path(spark, "tokens")
     tokens.write(docs, path, tokenizer_path())

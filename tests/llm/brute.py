@@ -61,17 +61,22 @@ def top_k(vectors, k, every):
 
 
 def leaks(docs, items):
-    """{(doc, item, doc_start): n_equal} for windows of 12 tokens with at most two substitutions."""
-    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    """{(doc, item, doc_start): n_equal} for windows of 12 tokens with at most two substitutions; shorter items whole."""
+    # Letters of scripts without blanks stand alone.
+    split = lambda t: re.findall(r"[\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]|(?:(?![\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff])[^\W_])+", (t or "").lower())
     found = {}
     for d, text in docs:
         own = split(text)
         for b, item in items:
             other = split(item)
-            for start in range(-len(other) + 1, len(own)):
+            n = len(other)
+            for start in range(-n + 1, len(own)):
                 agree = [0 <= start + j < len(own) and own[start + j] == w for j, w in enumerate(other)]
-                whole = len(other) < 12
-                if (6 <= len(other) < 12 and all(agree)) if whole else any(sum(agree[s : s + 12]) >= 10 for s in range(len(other) - 11)):
+                if n >= 12:
+                    met = any(sum(agree[s : s + 12]) >= 10 for s in range(n - 11))
+                else:
+                    met = n > 0 and sum(agree) >= n - (n >= 6) and (n >= 3 or own == other)
+                if met:
                     found[d, b, start] = sum(agree)
     return found
 

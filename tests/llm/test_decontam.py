@@ -11,6 +11,7 @@ def data(seed=6):
     vocabulary = [f"w{i}" for i in range(250)]
     draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = [(i, draw(rng.choice([14, 20, 36, 60]))) for i in range(12)] + [(90, draw(9)), (91, draw(6)), (92, draw(5)), (93, []), (94, draw(12))]
+    items += [(95, draw(3)), (96, ["w7"]), (97, draw(2)), (98, draw(11)), (99, ["日本語の文章です"]), (100, ["の文章"]), (101, ["ภาษาไทย", "w3"]), (102, draw(7))]
     docs = []
     for i in range(150):
         own = draw(rng.randint(0, 80))
@@ -22,6 +23,8 @@ def data(seed=6):
                 part[rng.randrange(len(part))] = rng.choice(vocabulary)
         docs.append((i, rng.choice([" ", ", ", "\n"]).join(own[: len(own) // 2] + part + own[len(own) // 2 :])))
     docs += [(200, None), (201, ""), (202, "?!"), (203, " ".join(draw(20_000) + items[3][1])), (204, " ".join(items[2][1]).upper())]
+    docs += [(205, "w7"), (206, " ".join(items[14][1])), (207, "w7 w7"), (208, "これは日本語の文章である。"), (209, "日本語の文意です"), (210, "x ภาษาไทย w3"), (211, items[19][1][1])]
+    docs += [(212 + k, " ".join([*items[20][1][:-1], "other"][: 7 - k])) for k in range(3)]
     return docs, [(i, " ".join(w)) for i, w in items] + [(None, None)]
 
 

@@ -77,16 +77,16 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 
 def packed(docs: DataFrame) -> DataFrame:
     """``keyed`` with all columns but doc_id and text in a struct ``rest``, so that none of them can clash."""
-    others = [_quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
+    others = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
     return keyed(docs, (F.struct(*others) if others else F.struct(F.lit(0).alias("none"))).alias("rest"))
 
 
 def unpacked(texts: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` from rows of ``packed(docs)``."""
-    return texts.select(*(F.col(c if c in ("doc_id", "text") else f"rest.{_quoted(c)}").cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+    return texts.select(*(F.col(c if c in ("doc_id", "text") else f"rest.{quoted(c)}").cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
-def _quoted(name: str) -> str:
+def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 

@@ -72,15 +72,17 @@ FROM n LEFT JOIN k ON k.doc_id = n.doc_id
 """
 
 LEAKS = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM benchmark),
-dt AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS words FROM benchmark),
+dt AS (SELECT doc_id, len(words) AS n_doc, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
 bt AS (SELECT item_id, len(words) AS n_tokens, unnest(words) AS word, generate_subscripts(words, 1) AS j FROM b),
-e AS (SELECT doc_id, item_id, n_tokens, i - j AS doc_start, j FROM dt JOIN bt USING (word)),
+e AS (SELECT doc_id, item_id, n_tokens, n_doc, i - j AS doc_start, j FROM dt JOIN bt USING (word)),
 c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, doc_start ORDER BY j RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING) AS near,
                 count(*) OVER (PARTITION BY doc_id, item_id, doc_start) AS n_equal FROM e)
 SELECT doc_id, item_id, doc_start::INTEGER AS doc_start, any_value(n_tokens)::INTEGER AS n_tokens, any_value(n_equal)::INTEGER AS n_equal
-FROM c GROUP BY doc_id, item_id, doc_start HAVING max(near) >= 10 AND any_value(n_tokens) >= 12 OR any_value(n_tokens) BETWEEN 6 AND 11 AND any_value(n_equal) = any_value(n_tokens)
+FROM c GROUP BY doc_id, item_id, doc_start
+HAVING CASE WHEN any_value(n_tokens) >= 12 THEN max(near) >= 10 WHEN any_value(n_tokens) >= 6 THEN any_value(n_equal) >= any_value(n_tokens) - 1
+            WHEN any_value(n_tokens) >= 3 THEN any_value(n_equal) = any_value(n_tokens) ELSE any_value(n_equal) = any_value(n_tokens) AND any_value(n_doc) = any_value(n_tokens) END
 """
 
 COPIES = r"""

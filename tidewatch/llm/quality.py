@@ -14,9 +14,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.durable import broadcast_if_small, durable
-from tidewatch.llm.common import steps
+from tidewatch.llm.common import quoted, ship, steps
 
 # Bytes compressed at a time, and the level.
 BLOCK, LEVEL = 1_024, 1
@@ -120,9 +121,10 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
     Null and empty texts get what the curve gives to no difference. Every row is scored on its whole
     text alone, so repeated rows score alike.
     """
+    ship(docs.sparkSession)
     # Columns are numbered on the way, so that none can clash with the score's.
-    numbered = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema][:-1] + ["_score double"])
+    numbered = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([*numbered.schema.fields[:-1], T.StructField("_score", T.DoubleType())])
     scored = numbered.mapInArrow(lambda batches: _score(batches, model, len(columns)), schema)
     return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("_score").alias(name))
 
