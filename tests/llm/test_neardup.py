@@ -56,6 +56,28 @@ def test_large_buckets_are_finished(spark, monkeypatch):
     assert run(spark, texts, spec) == expected
 
 
+def test_near_copies_under_the_threshold_are_left_out_by_their_prefixes(spark, monkeypatch):
+    """Each text has words of its own where the base has others: no two are similar enough, most by little."""
+    made = []
+    monkeypatch.setattr(neardup, "similar", lambda pairs, sets, spec, whole=neardup.similar: made.append(pairs.count()) or whole(pairs, sets, spec))
+    base = [f"b{i}" for i in range(300)]
+    counts = []
+    for size in (250, 500):
+        rng = random.Random(size)
+        texts = []
+        for k in range(size):
+            copy = list(base)
+            for j, at in enumerate(rng.sample(range(4, 296, 4), 9)):
+                copy[at] = f"own{k}x{j}"
+            texts.append(" ".join(copy))
+        texts += [" ".join(base[:200] + [f"z{k}" for k in range(100)])] * 2
+        made.clear()
+        got = run(spark, texts, neardup.Spec(width=3, percent=85, bands=25, rows=5))
+        assert sum(kept for _, _, kept in got.values()) == size + 1
+        counts.append(sum(made))
+    assert counts[1] <= 2.5 * counts[0] <= 2.5 * 30 * 250
+
+
 def test_repeated_ids_nulls_and_copies(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (1, "q r s t"), (None, "z z z z"), (None, None), (0, None), (2, "A B  C D")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, `odd.name` string")

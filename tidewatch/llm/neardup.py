@@ -7,11 +7,12 @@ and are compared on their full shingle sets. Documents with equal sets are one c
 start, and only classes are compared.
 
 Within a band's bucket, classes are first compared with the bucket's smallest. What that leaves in
-different components is compared further: all pairs in small buckets, growing samples against the
-rest in large ones, until each bucket is one component or fully compared. A large group of copies
-thus costs one comparison a member, and no link is lost. For the further pairs, some thousand more
-coordinates are drawn, of which one bit each is kept; a pair that agrees in far fewer bits than a
-pair at the threshold does needs no comparison of sets.
+different components is compared further: all of small buckets, growing samples against the rest in
+large ones, until each bucket is one component or fully compared. A large group of copies thus costs
+one comparison a member, and no link is lost. For the further pairs, each class lists its shingles
+from the rarest on; classes similar enough share one of the first few, and where they first meet
+tells how many more they can share at most. Pairs for which that is too few are left out without a
+look at their sets: near copies just under the threshold differ in rare shingles of their own.
 """
 
 import hashlib
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.durable import broadcast_if_small, durable
@@ -30,8 +31,8 @@ from tidewatch.llm.textwords import U, mixed, run_hashes, signed, word_hashes
 
 # Buckets with at most so many classes to compare are compared in one go.
 SMALL_BUCKET = 512
-# Coordinates of which one bit is kept, and how many standard deviations a pair may agree in fewer.
-BITS, DEVIATIONS = 4_096, 7.0
+# Bytes of text of a step.
+STEP_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -47,11 +48,9 @@ class Spec:
     bands: int = 30
     rows: int = 4
 
-    @property
-    def most_different(self) -> int:
-        """Bits in which a pair at the threshold differs at most, but for a chance of about 1e-11."""
-        p = (1 - self.percent / 100) / 2
-        return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5) + 1
+    def enough(self, common: Column, n: Column, m: Column) -> Column:
+        """Whether sets of n and m shingles with so many in common are similar enough."""
+        return common * (100 + self.percent) >= (n + m) * self.percent
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -90,7 +89,7 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
-    for rows, texts in steps(batches):
+    for rows, texts in steps(batches, most=STEP_BYTES):
         sets = shingle_sets(texts, spec.width)
         coordinates = signatures(sets, spec.bands * spec.rows).astype(U)
         keys = np.zeros((coordinates.shape[1], spec.bands), U)
@@ -107,41 +106,41 @@ def _signed(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.Record
 
 
 def _listed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for rows, texts in steps(batches):
+    for rows, texts in steps(batches, most=STEP_BYTES):
         sets = shingle_sets(texts, width)
         offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(np.concatenate(sets))))], names=["row", "shingles"])
 
 
-def _bits(batches: Iterator[pa.RecordBatch], spec: Spec) -> Iterator[pa.RecordBatch]:
-    """A bit of each further coordinate, packed into longs; texts without shingles left out."""
-    for rows, texts in steps(batches):
-        sets = shingle_sets(texts, spec.width)
-        full = [i for i, s in enumerate(sets) if len(s)]
-        places = np.concatenate([sets[i] for i in full]).astype(np.uint32) if full else np.zeros(0, np.uint32)
-        begins = np.concatenate(([0], np.cumsum([len(sets[i]) for i in full])[:-1])).astype(np.int64)
-        packed = np.zeros((len(full), BITS // 64), U)
-        for k in range(BITS if full else 0):
-            least = np.minimum.reduceat(_second(places - np.uint32(spec.bands * spec.rows + k)), begins)
-            packed[:, k // 64] |= (least & np.uint32(1)).astype(U) << U(k % 64)
-        offsets = (np.arange(len(full) + 1) * (BITS // 64)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(full, pa.int64())), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(packed.reshape(-1))))], names=["row", "bits"])
-
-
-def similar(pairs: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
-    """Those of ``pairs`` (a, b: rows) whose full shingle sets are similar enough."""
-    pairs = durable(pairs, "pairs")
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "compared")
-    chosen = texts.select("row", "text").join(broadcast_if_small(ids), "row", "left_semi")
-    sets = durable(chosen.mapInArrow(lambda batches: _listed(batches, spec.width), "row bigint, shingles array<bigint>"), "sets")
+def _sets(rows: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
+    """(row, shingles) of the texts of (stored) ``rows``."""
+    chosen = texts.select("row", "text").join(broadcast_if_small(rows), "row", "left_semi")
+    return durable(chosen.mapInArrow(lambda batches: _listed(batches, spec.width), "row bigint, shingles array<bigint>"), "sets")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
+    """Those of ``pairs`` (a, b: rows) whose full shingle sets (row, shingles) are similar enough."""
     first = sets.select(F.col("row").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    counted = pairs.join(first, "a").join(second, "b").select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("both"))
-    return counted.where((F.col("common") * 100 >= (F.col("both") - F.col("common")) * spec.percent) & (F.col("common") > 0)).select("a", "b")
+    counted = pairs.join(first, "a").join(second, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), F.size("x").alias("n"), F.size("y").alias("m"))
+    return counted.where((F.col("common") > 0) & spec.enough(F.col("common"), F.col("n"), F.col("m"))).select("a", "b")
+
+
+def _prefixes(sets: DataFrame, spec: Spec) -> DataFrame:
+    """(row, n, at, shingle): of each set's n shingles, rarest first, those at its first places that others have too.
+
+    A similar set shares at least percent of n, so it has one of the n - that + 1 first ones.
+    """
+    each = sets.select("row", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    common = durable(each.groupBy("shingle").agg(F.count("*").alias("rows")).where("rows > 1"), "common_shingles")
+    ranked = each.join(broadcast_if_small(common), "shingle", "left").select("row", "n", F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "shingle").alias("s"))
+    ordered = ranked.groupBy("row", "n").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    first = F.slice("s", F.lit(1), F.col("n") - F.expr(f"({spec.percent} * n + 99) div 100").cast("int") + 1)
+    placed = ordered.select("row", "n", F.posexplode(first).alias("at", "s")).where("s.rows > 1")
+    return durable(placed.select("row", "n", (F.col("at") + 1).alias("at"), "s.shingle"), "prefixes")
 
 
-def _sizes_allow(n: str, m: str, spec: Spec) -> F.Column:
+def _sizes_allow(n: str, m: str, spec: Spec) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * spec.percent
 
 
@@ -151,10 +150,11 @@ def linked(classes: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
     shared = entries.groupBy("bucket").agg(F.min(F.struct("row", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
     inside = entries.join(shared.select("bucket", F.col("c.row").alias("centre"), F.col("c.n").alias("m")), "bucket").where("row <> centre")
     active = durable(inside, "buckets")
-    first = active.where(_sizes_allow("n", "m", spec)).select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct()
-    links = durable(similar(first, texts, spec), "links")
+    first = durable(active.where(_sizes_allow("n", "m", spec)).select(F.col("centre").alias("a"), F.col("row").alias("b")).distinct(), "pairs")
+    ids = durable(first.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "compared")
+    links = durable(similar(first, _sets(ids, texts, spec), spec), "links")
     labels = components(links)
-    active, sample, bits = active.select("bucket", "row", "n"), SMALL_BUCKET // 4, None
+    active, sample, sets, prefixes = active.select("bucket", "row"), SMALL_BUCKET // 4, None, None
     while True:
         known = active.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
         known = durable(known, "known")
@@ -162,22 +162,25 @@ def linked(classes: DataFrame, texts: DataFrame, spec: Spec) -> DataFrame:
         active = durable(known.join(open_ones, "bucket"), "active")
         if active.isEmpty():
             return labels
-        if bits is None:
-            ids = durable(active.select("row").distinct(), "active_rows")
-            chosen = texts.select("row", "text").join(broadcast_if_small(ids), "row", "left_semi")
-            bits = durable(chosen.mapInArrow(lambda batches: _bits(batches, spec), "row bigint, bits array<bigint>"), "bits")
+        if sets is None:
+            sets = _sets(durable(active.select("row").distinct(), "active_rows"), texts, spec)
+            prefixes = _prefixes(sets, spec)
         share = F.ceil(F.col("size") / sample)
         chosen = (F.col("size") <= SMALL_BUCKET) | (F.col("row") == F.col("one")) | (F.pmod(F.xxhash64("row", "bucket"), share) == 0)
-        marked = active.join(bits, "row")
-        left = marked.where(chosen).select("bucket", F.col("row").alias("x"), F.col("n").alias("m"), F.col("component").alias("other"), F.col("bits").alias("b"))
-        differ = F.aggregate(F.zip_with("bits", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-        met = marked.join(left, "bucket").where((F.col("component") != F.col("other")) & _sizes_allow("n", "m", spec)).where(differ <= spec.most_different)
-        pairs = met.select(F.least("row", "x").alias("a"), F.greatest("row", "x").alias("b")).distinct()
-        found = durable(similar(pairs, texts, spec), "links")
+        # A row chosen in one bucket is compared with all, so it is done with.
+        rows = durable(active.groupBy("row").agg(F.max("component").alias("component"), F.max(chosen).alias("chosen")), "open_rows")
+        entries = prefixes.join(broadcast_if_small(rows), "row")
+        left = entries.where("chosen").select("shingle", F.col("row").alias("x"), F.col("n").alias("m"), F.col("at").alias("place"), F.col("component").alias("other"))
+        further = 1 + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("place"))
+        once = ~F.col("chosen") | (F.col("x") < F.col("row"))
+        met = entries.join(left, "shingle").where((F.col("component") != F.col("other")) & once & _sizes_allow("n", "m", spec) & spec.enough(further, F.col("n"), F.col("m")))
+        pairs = durable(met.select(F.least("row", "x").alias("a"), F.greatest("row", "x").alias("b")).distinct(), "pairs")
+        found = durable(similar(pairs, sets, spec), "links")
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)
-        active, sample = active.where(~chosen).select("bucket", "row", "n"), sample * 4
+        done = durable(rows.where("chosen").select("row"), "done")
+        active, sample = durable(active.join(broadcast_if_small(done), "row", "left_anti").select("bucket", "row"), "active"), sample * 4
         if active.isEmpty():
             return labels
 
