@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import steps
 
 # Words of a generation of a process's cache, and bytes of text that are encoded at once.
-CACHE_WORDS, STEP_BYTES = 700_000, 6 << 20
+CACHE_WORDS, STEP_BYTES = 350_000, 4 << 20
 
 # Two neighbouring white-space characters (of any kind that Python or the tokenizer knows).
 TOUCHING = re.compile(r"\s\s")
@@ -123,7 +123,9 @@ class PieceEncoder:
         slots = place[first.astype(np.int8), codes]
         counts = sizes[slots]
         ends = np.cumsum(counts)
-        ids = table[np.repeat((np.cumsum(sizes) - sizes)[slots] - ends + counts, counts) + np.arange(int(counts.sum()))]
+        places = np.repeat((np.cumsum(sizes) - sizes)[slots] - ends + counts, counts)
+        places += np.arange(len(places))
+        ids = table[places]
         cuts = iter(np.split(ids, ends[offsets[1:-1] - 1])) if len(offsets) > 1 else iter(())
         return [np.frombuffer(self._plain(t.decode()), "<u4") if w else next(cuts) for t, w in zip(texts, whole, strict=True)]
 
