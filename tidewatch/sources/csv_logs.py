@@ -7,8 +7,10 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.durable import broadcast_if_small, durable
+from tidewatch.sources import framing
 from tidewatch.sources import layout as lo
-from tidewatch.sources.files import broken_files, headers, readable
+from tidewatch.sources.files import broken_files, headers, odd_quotes, readable
 
 CORRUPT = "_corrupt_record"
 
@@ -19,8 +21,9 @@ def read_csv(spark: SparkSession, paths: list[str], default_year: int,
 
     Files are grouped by header, and each group is one native scan. Pass ``header`` if
     all files share a known one; else the first line of each file is looked up.
-    ``multiline`` tells whether quoted values may contain line breaks; files that do are not
-    split. If None, a pass over the lines finds the files that have such values.
+    ``multiline`` tells whether quoted values may contain line breaks; such files stay split, their
+    records are put together by ``framing``. If None, a pass over the lines finds the files that
+    have such values.
     """
     if not paths:
         return _empty(spark)
@@ -66,12 +69,38 @@ OPTIONS = {
 
 def _read_group(spark: SparkSession, files: list[str], names: list[str], default_year: int,
                 multiline: bool) -> DataFrame:
-    raw = spark.read.schema(text_schema(names)).options(**OPTIONS, multiLine=multiline).csv(files)
-    return rows(raw.select("*", *lo.place_columns()), names, default_year)
+    if multiline:
+        return rows(_framed(spark, files, names), names, default_year)
+    raw = spark.read.schema(text_schema(names)).options(**OPTIONS).csv(files)
+    return rows(raw.select("*", F.lit(False).alias("too_long"), *lo.place_columns()), names, default_year)
+
+
+# A line that, beginning outside quotes, ends inside: complete values, then one whose quote stays open.
+OPENS = r'^(?:(?:"(?:[^"]|"")*+"[^,]*+|[^",][^,]*+)?,)*+"(?:[^"]|"")*+$'
+
+
+def _framed(spark: SparkSession, files: list[str], names: list[str]) -> DataFrame:
+    """Rows as Spark's own reader gives them, of files whose quoted values may hold line breaks."""
+    lines = spark.read.option("lineSep", "\n").text(files).select("value", *lo.place_columns())
+    odd = odd_quotes(F.col("value"))
+    opens = F.col("value").rlike(OPENS)
+    # A stray quote in a value that is not quoted opens nothing, but it may close.
+    marked = lines.select("*", (odd & opens).alias("swaps"), (odd & ~opens).alias("resets"))
+    found = framing.records(framing.with_inside(marked).withColumn("begins", F.col("inside") == 0), "\n")
+    text = F.regexp_replace(F.replace("value", F.lit("\r\n"), F.lit("\n")), "\r$", "")
+    found = found.withColumn("value", text).where(lo.strip(F.col("value")) != "")
+    # A file's first record is its header.
+    heads = durable(found.groupBy("source_file").agg(F.min(F.struct("source_block", "source_row")).alias("place")), "header_places")
+    heads = heads.select("source_file", "place.*")
+    body = found.join(broadcast_if_small(heads), ["source_file", "source_block", "source_row"], "left_anti")
+    options = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in OPTIONS.items() if k not in ("header", "enforceSchema")}
+    return body.select(F.from_csv("value", text_schema(names), options).alias("r"), "source_file", "source_block", "source_row", "too_long").select(
+        "r.*", "source_file", "source_block", "source_row", "too_long"
+    )
 
 
 def rows(raw: DataFrame, names: list[str], default_year: int) -> DataFrame:
-    """Parsed columns of rows read with ``text_schema`` that have the place columns; also usable on a stream."""
+    """Parsed columns of rows read with ``text_schema`` that have ``too_long`` and the place columns; also usable on a stream."""
     # With repeated names the last column counts.
     position = {name: i for i, name in enumerate(names)}
     fields = {
@@ -82,7 +111,7 @@ def rows(raw: DataFrame, names: list[str], default_year: int) -> DataFrame:
         lo.plain_stamp(_first_text(fields["timestamp"])).alias("stamp"),
         _misses_a_column(fields).alias("too_short"),
         F.to_json(F.struct(*[F.col(f"c{i}").alias(name) for name, i in position.items()])).alias("raw_log"),
-        "source_file", "source_block", "source_row",
+        "source_file", "source_block", "source_row", "too_long",
     )
     number_types = lo.NUMBER_DEFAULTS.items()
     parsed = lo.computed_once(found, [
@@ -97,7 +126,7 @@ def rows(raw: DataFrame, names: list[str], default_year: int) -> DataFrame:
         "ts", *lo.text_fields(), *lo.number_fields(), F.lit(None).cast("int").alias("status_code"), "raw_log",
         F.create_map().cast("map<string,string>").alias("metadata"),
         # A record that ends before a column it needs is an error, even without a time stamp.
-        F.when(F.col("too_short.ts"), lo.REJECTED).when(F.col("ts").isNull(), lo.SKIPPED)
+        F.when(F.col("too_short.ts") | F.col("too_long"), lo.REJECTED).when(F.col("ts").isNull(), lo.SKIPPED)
         .when(F.col("too_short.any") | bad_number, lo.REJECTED).otherwise(lo.ACCEPTED).alias("status"),
         "source_file", "source_block", "source_row",
     ).select(lo.PARSED_COLUMNS)

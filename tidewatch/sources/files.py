@@ -77,7 +77,10 @@ def escaped(file: str) -> str:
     return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in file)
 
 
+def odd_quotes(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+
+
 def broken_files(text: DataFrame) -> list[str]:
-    """Files of ``text`` (file, value) in which a line has an odd number of quotes: a quoted value goes on in the next line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return [escaped(unquote(r.file)) for r in text.where(quotes % 2 == 1).select("file").distinct().collect()]
+    """Files of ``text`` (file, value) in which a line has an odd number of quotes: a quoted value may go on in the next line."""
+    return [escaped(unquote(r.file)) for r in text.where(odd_quotes(F.col("value"))).select("file").distinct().collect()]

@@ -38,7 +38,7 @@ def watch_records(spark: SparkSession, directory: str, format: str, default_year
             raise ValueError("a stream of CSV files needs their header")
         names = csv_logs.normal(header)
         raw = reader.schema(csv_logs.text_schema(names)).options(**csv_logs.OPTIONS, multiLine=multiline).csv(directory)
-        return csv_logs.rows(raw.select("*", *place), names, default_year)
+        return csv_logs.rows(raw.select("*", F.lit(False).alias("too_long"), *place), names, default_year)
     text = reader.format("text").load(directory).select("value", *place)
     if format == "json":
         return json_logs.records(text.where(strip(F.col("value")) != ""), default_year)
