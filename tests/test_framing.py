@@ -1,11 +1,12 @@
 """Records over line ends, in files that are cut into many splits."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.sources import csv_logs, framing
+from tidewatch.sources import csv_logs, framing, json_logs
 from tidewatch.sources import layout as lo
 
 YEAR = 2024
@@ -13,7 +14,7 @@ YEAR = 2024
 
 @pytest.fixture
 def small_splits(spark):
-    names = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "400"}
+    names = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "400"}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
@@ -73,3 +74,39 @@ def test_an_open_quote_does_not_gather_the_file(spark, tmp_path, small_splits, m
     assert [r.status for r in rows].count("accepted") == 9 and len(rows) == 10
     late = next(r for r in rows if r.status == "rejected")
     assert len(late.raw_log) < 8_000
+
+
+def array_text(seed, items, indent):
+    rng = random.Random(seed)
+    made = []
+    for i in range(items):
+        domain = rng.choice(["a", "b}c", 'q"}', "{[", "\\", '\\"}', "", "x" * rng.choice([1, 900])])
+        item = {"timestamp": f"2024-01-15 10:{i // 60:02}:{i % 60:02}", "src_ip": "a", "bytes_sent": i, "domain": domain, "more": rng.choice([{}, {"deep": [{"er": 1}, "}"]}, [], [[{}]], None])}
+        made.append(rng.choice([item, item, item, item, 5, "text }", None, [{"x": 1}]]) if i % 7 else item)
+    return json.dumps(made, indent=indent), made
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_array_files_stay_split(spark, tmp_path, small_splits, indent):
+    wanted = []
+    for k in range(2):
+        text, made = array_text(k, 120, indent)
+        (tmp_path / f"a{k}.json").write_text("﻿" * k + text + "\n" * k)
+        wanted += made
+    got = json_logs.read_json(spark, [str(tmp_path / f"a{k}.json") for k in range(2)], YEAR, arrays=True)
+    rows = got.collect()
+    assert len({r.source_block for r in rows}) > 10 and len(rows) == len(wanted)
+    flows = sorted((str(r.ts), r.bytes_sent, r.domain) for r in rows if r.status == "accepted")
+    assert flows == sorted((w["timestamp"], w["bytes_sent"], w["domain"]) for w in wanted if isinstance(w, dict))
+    assert len({(r.source_file, r.source_block, r.source_row) for r in rows if r.status == "accepted"}) == len(flows)
+
+
+@pytest.mark.parametrize("text, good, bad", [
+    ("[]", 0, 0), (" [ ] \n", 0, 0), ("", 0, 0), ('[{"time": "2024-01-15"}]', 1, 0), ('[{"time": "2024-01-15"}', 0, 1), ('[{"time": "2024-01-15"},]', 0, 1),
+    ('[{"time": "2024-01-15"} {"time": "2024-01-15"}]', 0, 1), ('[{"time": "2024-01-15"}, {"time": broken}]', 1, 1), ("[1, 2]", 0, 2), ('[{"a": "]', 0, 1), ("[", 0, 1),
+    ('[{"time": "2024-01-15"}, 7]', 1, 1), ('[{"time": "2024-01-15"}]]', 0, 1),
+])
+def test_documents_that_are_no_arrays(spark, tmp_path, text, good, bad):
+    (tmp_path / "a.json").write_text(text)
+    found = [r.status for r in json_logs.read_json(spark, [str(tmp_path / "a.json")], YEAR, arrays=True).collect()]
+    assert (found.count("accepted"), found.count("rejected")) == (good, bad)

@@ -1,21 +1,28 @@
-"""JSON logs: one object per line, or one array per file."""
+"""JSON logs: one object per line, or one array per file.
+
+An array file is cut at closing braces, whatever its lines, and stays split: running sums over its
+segments tell which begin inside a string and how deep, and an item ends where the depth is one again.
+"""
 
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.durable import broadcast_if_small, durable
+from tidewatch.sources import framing
 from tidewatch.sources import layout as lo
-from tidewatch.sources.files import formats
+from tidewatch.sources.files import escaped, formats
 
 
 def read_json(spark: SparkSession, paths: list[str], default_year: int, arrays: bool | None = None) -> DataFrame:
     """All records of the given files with their status.
 
     ``arrays`` tells whether the files hold one array each; if None, the first line of
-    each file is looked at. Line files are split freely; an array file is one document for
-    one task, so large inputs belong into line files. A document that is no array is one
-    rejected record; one that is too long for a value (2 GiB) is an error of the reader.
+    each file is looked at. Files of either kind are split freely. A document that is no array
+    (not closed, or with something else than one comma between items) is one rejected record; an
+    item that is no JSON is one, too.
     """
     if arrays is None:
         kinds = formats(spark, paths) if paths else {}
@@ -29,13 +36,11 @@ def read_json(spark: SparkSession, paths: list[str], default_year: int, arrays:
         text = text.withColumn("value", _clean("value"))
         parts.append(records(text.where("value <> ''"), default_year))
     if whole:
-        text = spark.read.text(whole, wholetext=True).select("value", *lo.place_columns())
-        document = _clean("value")
-        items = F.when(document.endswith("]"), F.from_json(document, "array<string>"))
-        exploded = text.where(document != "").select(
-            "source_file", "source_block", F.posexplode(F.coalesce(items, F.array(document))).alias("source_row", "item"),
-        ).withColumn("value", F.coalesce("item", F.lit("null")))
-        parts.append(records(exploded, default_year))
+        items, broken = _items(spark, whole)
+        parts.append(records(items, default_year))
+        if broken:
+            text = spark.read.text(broken, wholetext=True).select(_clean("value").alias("value"), *lo.place_columns())
+            parts.append(records(text.where("value <> ''"), default_year))
     if not parts:
         from tidewatch.sources.ingest import PARSED_DDL
 
@@ -43,6 +48,49 @@ def read_json(spark: SparkSession, paths: list[str], default_year: int, arrays:
     return reduce(DataFrame.unionByName, parts)
 
 
+# Within or after a text without escapes: a whole string, or one that is not closed.
+STRING = r'(?s)"(?:[^"\\]|\\.)*+(?:"|$)'
+
+
+def _items(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]:
+    """The items of array files (``value`` and the place columns), and the files that hold no array."""
+    segments = spark.read.option("lineSep", "}").text(paths).select("value", *lo.place_columns())
+    quotes = F.regexp_replace("value", r"(?s)[^\\\"]|\\.", "")
+    marked = framing.with_inside(segments.select("*", (F.length(quotes) % 2 == 1).alias("swaps"), F.lit(False).alias("resets")))
+    bare = F.regexp_replace(F.concat(F.when(F.col("inside") == 1, '"').otherwise(""), "value"), STRING, "")
+    count = lambda characters: F.length(F.regexp_replace(bare, f"[^{characters}]", ""))
+    closes = ((F.col("inside") + F.col("swaps").cast("int")) % 2 == 0).cast("int")
+    stored = durable(marked.select(*framing.BLOCK, "source_row", "value", "inside", (count(r"{\[") - count(r"}\]") - closes).alias("deeper"), closes.alias("closes")), "segments")
+
+    file, inner = Window.partitionBy("source_file").orderBy("source_block"), Window.partitionBy(*framing.BLOCK).orderBy("source_row")
+    before = lambda window: window.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stored.groupBy(*framing.BLOCK).agg(F.sum("deeper").alias("deeper"))
+    starts = durable(blocks.select(*framing.BLOCK, F.coalesce(F.sum("deeper").over(before(file)), F.lit(0)).alias("depth")), "depths")
+    deep = stored.join(broadcast_if_small(starts), framing.BLOCK)
+    depth = F.col("depth") + F.coalesce(F.sum("deeper").over(before(inner)), F.lit(0))
+    begins = (F.col("inside") == 0) & (depth <= 1)
+    found = durable(framing.records(deep.withColumn("begins", begins), "}"), "items")
+
+    # What follows the last brace of a file is no item; a file's other records end with a brace.
+    place = F.struct("source_block", "source_row")
+    ends = found.groupBy("source_file").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    sums = stored.groupBy("source_file").agg(F.sum("deeper").alias("deeper"), F.max_by("closes", place).alias("closes"))
+    files = durable(ends.join(sums, "source_file"), "array_files")
+    told = found.join(broadcast_if_small(files), "source_file").select(*framing.BLOCK, "source_row", "value", "deeper", "closes", "too_long", (place == F.col("first")).alias("is_first"), (place == F.col("last")).alias("is_last"))
+    text = _clean("value")
+    ended = F.when(F.col("is_last"), F.when(text.endswith("]"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)).otherwise(F.concat(text, F.lit("}")))
+    body = F.trim(F.substring(ended, F.lit(2), F.length(ended)))
+    opened = F.when(F.col("is_first"), ended.startswith("[")).otherwise(ended.startswith(",") | (F.col("is_last") & (ended == "")))
+    bad = ~opened | (F.col("is_last") & (~text.endswith("]") | (F.col("deeper") + F.col("closes") != 0) | (F.col("closes") == 0) | (ended.startswith(",") & (lo.strip(body) == ""))))
+    told = durable(told.select(*framing.BLOCK, "source_row", body.alias("body"), (lo.strip(text) == "").alias("blank"), bad.alias("bad")), "item_texts")
+    broken = durable(told.where("bad").select("source_file").distinct(), "broken_arrays")
+    good = told.join(broadcast_if_small(broken), "source_file", "left_anti").where(lo.strip(F.col("body")) != "")
+    # Items that are no objects have no brace and stand before the next one that is.
+    listed = F.from_json(F.concat(F.lit("["), "body", F.lit("]")), "array<string>")
+    items = good.select(*framing.BLOCK, "source_row", F.explode(F.coalesce(listed, F.array("body"))).alias("item"))
+    return items.select(*framing.BLOCK, "source_row", F.coalesce("item", F.lit("null")).alias("value")), [escaped(unquote(r.source_file)) for r in broken.collect()]
+
+
 def _clean(column: str) -> Column:
     return lo.strip(F.regexp_replace(column, "^\ufeff", ""))
 
