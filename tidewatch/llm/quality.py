@@ -108,9 +108,9 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column, most: int, most_
     return [r.text.encode() for r in rows if r.quality == 1], [r.text.encode() for r in rows if r.quality == 0]
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: Model, kept: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: Model, kept: int, text: str) -> Iterator[pa.RecordBatch]:
     good, bad, weights = _Sizer(model.good), _Sizer(model.bad), np.array(model.weights)
-    for rows, texts in steps(batches, text="_text"):
+    for rows, texts in steps(batches, text=text):
         logits = features(texts, good, bad) @ weights
         yield pa.RecordBatch.from_arrays([*rows.columns[:kept], pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))], names=[*rows.schema.names[:kept], "_score"])
 
@@ -123,9 +123,15 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
     """
     ship(docs.sparkSession)
     # Columns are numbered on the way, so that none can clash with the score's.
-    numbered = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([*numbered.schema.fields[:-1], T.StructField("_score", T.DoubleType())])
-    scored = numbered.mapInArrow(lambda batches: _score(batches, model, len(columns)), schema)
+    numbered = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)))
+    fields, text = numbered.schema.fields, F.col("text").cast("string")
+    if "text" in columns and isinstance(docs.schema["text"].dataType, T.StringType):
+        # The text goes to Python once.
+        name = f"c{columns.index('text')}"
+    else:
+        numbered, name = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), text.alias("_text")), "_text"
+    schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
+    scored = numbered.mapInArrow(lambda batches: _score(batches, model, len(columns), name), schema)
     return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("_score").alias(name))
 
 
