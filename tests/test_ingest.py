@@ -220,6 +220,32 @@ def test_odd_names_and_white_space(spark, tmp_path):
     parsed = ingest.read_directory(spark, str(tmp_path), YEAR)
     assert sorted(r.src_ip for r in ingest.accepted(parsed).collect()) == sorted(f"1.1.1.{i}" for i in (*range(6), 9, 10))
     assert ingest.quality(parsed).first().parse_errors == 0
+    # Rows tell the files' own names, also of those that were copied, and ids follow them.
+    shown = {r.src_ip: r.source_file.rsplit("/", 1)[-1] for r in parsed.where("status = 'accepted'").collect()}
+    assert (shown["1.1.1.0"], shown["1.1.1.1"], shown["1.1.1.9"], shown["1.1.1.5"]) == ("_x.log", ".y.log", ".x.csv", "plain.log")
+    assert parsed.where("source_file LIKE '%hidden%'").count() == 0
+    ids = ingest.to_flows(parsed).orderBy("event_id").collect()
+    assert [r.src_ip for r in ids] == [r.src_ip for r in sorted(parsed.where("status = 'accepted'").collect(), key=lambda r: r.source_file)]
+
+
+def test_heads_are_read_whatever_the_size(spark, tmp_path, monkeypatch):
+    read = []
+    monkeypatch.setattr(files, "_head", lambda spark, file, whole=files._head: read.append(file) or whole(spark, file))
+    for i, text in enumerate(("time,src\n" + "2024-02-04 10:15:01,1.1.1.1\n" * 200_000, "\r\n \n" * 40_000 + "{}", "\ufeff\n[" + "1," * 100_000, "", "\n" * 70_000)):
+        (tmp_path / f"f{i}").write_text(text, newline="")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = {name.rsplit("/", 1)[-1]: kind for name, kind in files.formats(spark, [str(tmp_path)]).items()}
+    assert got == {"f0": "csv", "f1": "json", "f2": "json_array"} and len(read) == 5
+    # Not one Spark job, so no scan of the files.
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert list(files.headers(spark, [str(tmp_path / "f0")]).values()) == ["time,src"]
+    with pytest.raises(ValueError, match="header"):
+        files.headers(spark, [str(tmp_path / "f2")])
+    import gzip
+
+    with gzip.open(tmp_path / "g.csv.gz", "wt") as out:
+        out.write("time,src\n2024-02-04 10:15:01,1.1.1.1\n")
+    assert ingest.read_files(spark, [str(tmp_path / "g.csv.gz")], YEAR).where("status = 'accepted'").count() == 1
 
 
 def test_line_breaks_in_csv_values(spark, tmp_path):

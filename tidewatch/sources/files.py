@@ -1,16 +1,18 @@
 """File lists and formats: one short record per file, as in Spark's own file index.
 
-Formats are told apart in the executors, from each file's first line with text; only what a
-reader needs comes to the driver: the format, and the header of a CSV file.
+Formats and CSV headers come from the head of each file: it is opened and a bounded number of bytes
+read, whatever its size.
 """
 
+import re
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.durable import fresh_path
-from tidewatch.sources.layout import strip
+from tidewatch.sources.layout import WHITE
 
 SUFFIX_FORMATS = {".csv": "csv", ".json": "json", ".log": "syslog", ".syslog": "syslog", ".txt": "syslog"}
 
@@ -22,19 +24,30 @@ def list_files(spark: SparkSession, directory: str) -> list[str]:
     return sorted(status.getPath().toString() for status in found if status.isFile())
 
 
-def readable(spark: SparkSession, path: str) -> str:
+def _shown(spark: SparkSession, path: str) -> str:
+    """The path as rows tell it as their source."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    shown = jvm.org.apache.spark.paths.SparkPath.fromPath(own.getFileSystem(conf).makeQualified(own)).urlEncoded()
+    return re.sub("^file:/+", "file:/", shown)
+
+
+def readable(spark: SparkSession, path: str, copies: dict[str, str] | None = None) -> str:
     """The file's path for Spark's readers, in which a name with pattern characters is only a name.
 
     Spark's readers do not see names that start with _ or a dot. Such a file is copied to the shared
-    folder, as a stream, under a name that they see.
+    folder, as a stream, under a name that they see; ``copies`` gets what rows tell as the copy's
+    name and what they would tell as the file's own.
     """
     folder, _, name = path.rpartition("/")
     if name.startswith(("_", ".")):
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{fresh_path(spark, 'hidden')}/file{name}")
         jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+        if copies is not None:
+            copies[_shown(spark, target.toString())] = _shown(spark, path)
         path = target.toString()
-    return "".join(f"\\{c}" if c in "{}[]*?\\" else c for c in path)
+    return escaped(path)
 
 
 def suffix_of(path: str) -> str:
@@ -42,34 +55,63 @@ def suffix_of(path: str) -> str:
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name[1:] else ""
 
 
-def _heads(spark: SparkSession, paths: list[str], what: Column) -> dict[str, str]:
-    """``what`` of each file's first line with text, a column over ``line`` (without a byte order mark)."""
+# Bytes read at once of a file's head, and of its first line with text at most; heads read at the same time.
+HEAD_BYTES, READERS = 64 << 10, 16
+
+
+def _head(spark: SparkSession, file: str) -> tuple[str, bool] | None:
+    """A file's first line with text (without a byte order mark), and whether it goes on; None without text."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        stream = codec.createInputStream(stream) if codec else stream
+        kept, ended = b"", False
+        while not ended:
+            data = bytes(stream.readNBytes(HEAD_BYTES))
+            ended = len(data) < HEAD_BYTES
+            text = (kept + data).decode("utf-8", "ignore")
+            lines = [line.removeprefix("\ufeff") for line in re.split(r"\r\n|\n|\r", text)]
+            for line in lines[:-1]:
+                if line.strip(WHITE):
+                    return line, False
+            if ended or len(lines[-1].encode()) >= HEAD_BYTES:
+                return (lines[-1], not ended) if lines[-1].strip(WHITE) else None
+            kept = lines[-1].encode()
+        return None
+    finally:
+        stream.close()
+
+
+def _heads(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, bool]]:
+    """The head of each file with text below ``paths`` (files, folders or patterns), by its own name."""
     if not paths:
         return {}
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("row"),
-    ).where((F.col("_metadata.file_block_start") == 0) & (strip(F.col("value")) != ""))
-    lines = lines.withColumn("line", F.regexp_replace("value", "^﻿", "")).select("file", "row", what.alias("what"))
-    return {unquote(r.file): r.what for r in lines.groupBy("file").agg(F.min_by("what", "row").alias("what")).collect()}
+    files = sorted(map(unquote, spark.read.text(paths).inputFiles()))
+    with ThreadPoolExecutor(READERS) as readers:
+        found = readers.map(lambda file: _head(spark, file), files)
+        return {escaped(file): head for file, head in zip(files, found, strict=True) if head}
 
 
 def headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """The header line of each CSV file."""
-    return {escaped(file): line for file, line in _heads(spark, paths, F.col("line")).items()}
+    found = _heads(spark, paths)
+    for file, (_, more) in found.items():
+        if more:
+            raise ValueError(f"the header of {file} has more than {HEAD_BYTES} bytes")
+    return {file: line for file, (line, _) in found.items()}
 
 
 def formats(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """csv, json, json_array or syslog for each file that has a line with text.
+    """csv, json, json_array or syslog for each file that has a line with text."""
+    return {file: _format(line.strip(WHITE)) for file, (line, _) in _heads(spark, paths).items()}
 
-    This reads the first block of every file once; callers that know the layout of
-    their files can skip it.
-    """
-    line = strip(F.col("line"))
-    kind = (
-        F.when(line.startswith("["), "json_array").when(line.startswith("{"), "json")
-        .when(F.contains(line, F.lit(",")) & ~line.startswith("<"), "csv").otherwise("syslog")
-    )
-    return {escaped(file): kind for file, kind in _heads(spark, paths, kind).items()}
+
+def _format(line: str) -> str:
+    if line.startswith(("[", "{")):
+        return "json_array" if line[0] == "[" else "json"
+    return "csv" if "," in line and not line.startswith("<") else "syslog"
 
 
 def escaped(file: str) -> str:

@@ -58,7 +58,12 @@ def read_directory(spark: SparkSession, directory: str, default_year: int, multi
     Names may hold any characters, also those of patterns, and start with _ or a dot.
     """
     paths = [path for path in list_files(spark, directory) if suffix_of(path) in SUFFIX_FORMATS]
-    return read_files(spark, [readable(spark, path) for path in paths], default_year, multiline=multiline)
+    copies: dict[str, str] = {}
+    parsed = read_files(spark, [readable(spark, path, copies) for path in paths], default_year, multiline=multiline)
+    if not copies:
+        return parsed
+    own = F.create_map(*[F.lit(name) for pair in copies.items() for name in pair])
+    return parsed.withColumn("source_file", F.coalesce(F.try_element_at(own, F.col("source_file")), F.col("source_file")))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

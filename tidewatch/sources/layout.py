@@ -109,8 +109,14 @@ def parse_timestamp(stamp: Column, default_year: int) -> Column:
             part(NAMED_MONTH, 3), F.lit("-"), month(part(NAMED_MONTH, 2)), F.lit("-"), part(NAMED_MONTH, 1),
             F.lit(" "), part(NAMED_MONTH, 4)))
     )
-    # One pass of the pattern gives the ten parts.
+    # One pass of the pattern gives the ten parts; they are bound once.
     parts = F.split(F.regexp_replace(stamp, ISO, "\u0001".join(f"${i}" for i in range(1, 11))), "\u0001")
+    to_utc = F.get(F.transform(F.array(parts), _utc), F.lit(0))
+    return F.coalesce(iso.try_cast("timestamp_ntz"), F.when(stamp.rlike(ISO), to_utc))
+
+
+def _utc(parts: Column) -> Column:
+    """The moment that the groups of ISO tell."""
 
     def piece(number: int, missing: str = "") -> Column:
         value = F.get(parts, F.lit(number - 1))
@@ -120,13 +126,12 @@ def parse_timestamp(stamp: Column, default_year: int) -> Column:
         piece(1), F.lit("-"), piece(3), F.lit("-"), piece(4), F.lit(" "), piece(5, "00"), F.lit(":"), piece(7, "00"),
         F.lit(":"), piece(8, "00"), F.lit("."), piece(9, "0"),
     ).try_cast("timestamp_ntz")
-    offset = F.regexp_replace(piece(10), "[^0-9]", "")
+    offset = F.replace(F.substring(piece(10), 2, 5), F.lit(":"), F.lit(""))
     hours, minutes = F.substring(offset, 1, 2).try_cast("int"), F.coalesce(F.substring(offset, 3, 2).try_cast("int"), F.lit(0))
     east = F.when(piece(10).startswith("-"), -1).otherwise(1)
     zero = F.lit(0)
     shift = F.when(offset == "", zero).when((hours < 24) & (minutes < 60), (hours * 60 + minutes) * east)
-    to_utc = local - F.make_dt_interval(zero, zero, shift, zero.cast("decimal(18,6)"))
-    return F.coalesce(iso.try_cast("timestamp_ntz"), F.when(stamp.rlike(ISO), to_utc))
+    return local - F.make_dt_interval(zero, zero, shift, zero.cast("decimal(18,6)"))
 
 
 def text_fields() -> list[Column]:
