@@ -28,9 +28,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 _shipped: set[str] = set()
 
+# Bytes of an Arrow batch, if the session does not say: texts have any length, so a number of rows bounds nothing.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors' Python, once an application, so that they need not have it installed."""
+    """Hands this package to the executors' Python, once an application, so that they need not have it installed,
+    and bounds what goes to Python at once."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import steps
 
 # Words of a generation of a process's cache, and bytes of text that are encoded at once.
-CACHE_WORDS, STEP_BYTES = 350_000, 4 << 20
+CACHE_WORDS, STEP_BYTES = 300_000, 4 << 20
 
 # Two neighbouring white-space characters (of any kind that Python or the tokenizer knows).
 TOUCHING = re.compile(r"\s\s")
