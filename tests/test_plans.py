@@ -56,13 +56,36 @@ def test_every_query_has_a_counterpart():
     assert set(QUERIES) == set(ORACLES)
 
 
-def test_distinct_windows_move_counts_first(spark, tmp_path):
+def test_distinct_windows_move_bits_only(spark, tmp_path):
     fl = stored(spark, tmp_path)
     points = sliding.prepare(fl, ["src_ip"], 60_000_000, distinct="dst_port")
-    text = plan(sliding.possible_cells(points, ["src_ip"], lambda: F.col("d") >= 3))
-    # One exchange, of partial counts by key and cell; the values stay where they are.
+    text = plan(sliding.cell_totals(points, ["src_ip"], True))
+    # Partial sums of bits by key, cell and 64 numbers; the values stay where they are.
     first = text[text.rindex("Exchange"):]
-    assert "partial_count" in first and "keys=[src_ip" in first and "dst_port" not in first
+    assert "partial_bit_or" in first and "keys=[src_ip" in first and text.count("FileScan") == 1
+    points = sliding.prepare(fl, ["dst_ip"], 60_000_000, distinct="src_ip")
+    text = plan(sliding.cell_totals(points, ["dst_ip"], True))
+    assert text.count("Exchange") == 1 and "partial_bit_or" in text
+
+
+def test_rows_of_other_cells_go_before_they_are_moved(spark, tmp_path):
+    path = str(tmp_path / "many")
+    flows(spark, [row(i, src_ip=f"s{i}", dst_port=i) for i in range(400)]).write.parquet(path)
+    points = sliding.prepare(spark.read.parquet(path), ["src_ip"], 60_000_000, distinct="dst_port")
+    cells = points.select("src_ip", "cell").where("src_ip < 's2'").distinct().withColumn("fire", F.lit(True))
+    needed = durable(cells, "cells")
+    got = sliding.rows_of_cells(points, needed, ["src_ip", "cell"], most=0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(sliding.rows_of_cells(points, needed, ["src_ip", "cell"], most=0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The bitmap's join is below the exchange of the rows.
+    side = text[text.index("SortMergeJoin"):]
+    assert side.index("Exchange hashpartitioning(src_ip") < side.index("BroadcastHashJoin")
+    want = points.join(needed, ["src_ip", "cell"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect()))
+    assert got.count() == needed.count()
 
 
 def test_rules_share_one_scan(spark, tmp_path, monkeypatch):

@@ -4,9 +4,12 @@ The window of a row reaches back ``window_s`` seconds, both ends included, and h
 only rows up to that row in (ts, event_id) order. Three steps:
 
 1. A cheap pre-aggregate per (key, time cell as wide as the window) is combined before
-   the shuffle (distinct values only after row counts have ruled most cells out). A window lies within two neighbouring cells, so their totals bound it
-   from above; a cell that is full on its own must fire by its last row, so no later
-   cell of that key matters. Everything else is dropped before rows are moved.
+   the shuffle: rows, sums, and distinct values as bits of longs, so that no value is moved.
+   Whole numbers are counted exactly, a long for each 64 of them; of other values the row count
+   bounds them from above, and the bits that their hashes set from below. A window lies within two
+   neighbouring cells, so their totals bound it from above; a cell that is full on its own must
+   fire by its last row, so no later cell of that key matters. Everything else is dropped before
+   rows are moved: by a broadcast of the cells, or of a bitmap of their hashes where they are many.
 2. Each remaining row adds its value at ts and takes it away again after ts + window.
    A distinct value counts from its first sighting until the window has passed since
    its last one.
@@ -18,8 +21,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewatch.durable import broadcast_if_small, durable
+from tidewatch.durable import BROADCAST_BYTES, bytes_of, durable
 from tidewatch.functions.clock import cell_of, micros, window_micros
 from tidewatch.operators.scan import chunked_if_large, running
 
@@ -28,6 +32,8 @@ Condition = Callable[[], Column]
 # Columns the conditions may use: n rows, s sum of the value, d distinct values,
 # t and start (microseconds of this row and of the first row in its window).
 MEASURES = ["n", "s", "d"]
+# Longs of bits for the values of a cell that are no whole numbers; bits of the filter over cells (half a million longs).
+LONGS, FILTER_BITS = 4, 1 << 25
 STEP_ORDER = ["t", "phase", "eid", "sub"]
 
 
@@ -43,26 +49,39 @@ def prepare(rows: DataFrame, keys: list[str], window_us: int, value: Column | No
     return picked.withColumn("cell", cell_of("t", window_us))
 
 
+def cell_totals(points: DataFrame, keys: list[str], distinct: bool) -> DataFrame:
+    """(keys, cell, n, s, d, least_d): rows, sum, and bounds of the distinct values of each cell, by one exchange of partial sums."""
+    group = [*keys, "cell"]
+    counts = (F.count("*").alias("n"), F.sum("v").alias("s"))
+    if not distinct:
+        return points.groupBy(*group).agg(*counts, F.lit(0).cast("bigint").alias("d"), F.lit(0).cast("bigint").alias("least_d"))
+    one = F.lit(1).cast("bigint")
+    if isinstance(points.schema["x"].dataType, T.IntegralType):
+        # The bits of 64 neighbouring numbers; null is a value of its own.
+        word, place = F.floor(F.col("x") / 64), F.pmod("x", F.lit(64)).cast("int")
+        words = points.groupBy(*group, word.alias("_word")).agg(*counts, F.bit_or(F.coalesce(F.call_function("shiftleft", one, place), one)).alias("_bits"))
+        exact = F.sum(F.bit_count("_bits").cast("bigint"))
+        return words.groupBy(*group).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), exact.alias("d"), exact.alias("least_d"))
+    place = F.pmod(F.xxhash64("x"), F.lit(64 * LONGS)).cast("int")
+    bits = [F.bit_or(F.when(F.floor(place / 64) == i, F.call_function("shiftleft", one, place % 64)).otherwise(0)).alias(f"_b{i}") for i in range(LONGS)]
+    cells = points.groupBy(*group).agg(*counts, *bits)
+    least = sum((F.bit_count(f"_b{i}").cast("bigint") for i in range(LONGS)), F.lit(0).cast("bigint"))
+    return cells.select(*group, "n", "s", F.col("n").alias("d"), least.alias("least_d"))
+
+
 def cells_to_read(points: DataFrame, keys: list[str], distinct: bool, possible: Condition,
                   certain: Condition | None) -> DataFrame:
     """(keys, cell, fire): the cells whose rows are needed; ``fire`` marks those that may fire."""
     group = [*keys, "cell"]
-    if distinct:
-        cells = (
-            points.groupBy(*group, "x").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
-            .groupBy(*group).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("d"))
-        )
-    else:
-        cells = points.groupBy(*group).agg(
-            F.count("*").alias("n"), F.sum("v").alias("s"), F.lit(0).cast("bigint").alias("d")
-        )
+    cells = cell_totals(points, keys, distinct)
     # At most one row per cell, so a key's group is bounded by the time span, not by its rows.
     line = Window.partitionBy(*keys).orderBy("cell")
-    full = F.lit(False) if certain is None else certain()
     adjacent = F.lag("cell").over(line) == F.col("cell") - 1
-    marked = cells.select(
+    lower = cells.select(*group, "n", "s", F.col("least_d").alias("d"), F.col("d").alias("_most"))
+    full = lower.withColumn("_full", F.lit(False) if certain is None else certain()).withColumn("d", F.col("_most"))
+    marked = full.select(
         *group,
-        F.min(F.when(full, F.col("cell"))).over(Window.partitionBy(*keys)).alias("stop"),
+        F.min(F.when(F.col("_full"), F.col("cell"))).over(Window.partitionBy(*keys)).alias("stop"),
         *[(F.col(m) + F.when(adjacent, F.lag(m).over(line)).otherwise(0)).alias(m) for m in MEASURES],
     )
     firing = marked.select(
@@ -74,20 +93,20 @@ def cells_to_read(points: DataFrame, keys: list[str], distinct: bool, possible:
     return needed.where("fire OR _before").drop("_before")
 
 
-def possible_cells(points: DataFrame, keys: list[str], possible: Condition) -> DataFrame:
-    """(keys, cell) of the cells that may matter if each row brought a new value.
+def rows_of_cells(points: DataFrame, needed: DataFrame, on: list[str], most: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``points`` in the (stored) cells of ``needed``, with its columns.
 
-    Only counts per key and cell are moved, combined before the shuffle; with as many values as
-    rows they bound the distinct count from above.
+    Few cells are broadcast. Of many, a bitmap of their hashes is, at most FILTER_BITS of it: rows whose bit is
+    not set go before anything is moved, and what is left meets the cells by key.
     """
-    group = [*keys, "cell"]
-    cells = points.groupBy(*group).agg(F.count("*").alias("n"), F.sum("v").alias("s")).withColumn("d", F.col("n"))
-    line = Window.partitionBy(*keys).orderBy("cell")
-    adjacent = F.lag("cell").over(line) == F.col("cell") - 1
-    marked = cells.select(*group, *[(F.col(m) + F.when(adjacent, F.lag(m).over(line)).otherwise(0)).alias(m) for m in MEASURES])
-    firing = marked.select(*group, possible().alias("fire"))
-    before = (F.lead("cell").over(line) == F.col("cell") + 1) & F.lead("fire").over(line)
-    return firing.withColumn("_before", F.coalesce(before, F.lit(False))).where("fire OR _before").select(*group)
+    if bytes_of(needed) <= most:
+        return points.join(F.broadcast(needed), on)
+    place = F.pmod(F.xxhash64(*on), F.lit(FILTER_BITS))
+    word, bit = F.expr("_place div 64"), F.expr("CAST(_place % 64 AS INT)")
+    placed = needed.select(place.alias("_place"))
+    words = durable(placed.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits")), "cell-bits")
+    near = points.withColumn("_place", place).withColumn("_word", word).join(F.broadcast(words), "_word")
+    return near.where(F.getbit("_bits", bit) == 1).drop("_place", "_word", "_bits").join(needed, on)
 
 
 def _row_steps(picked: DataFrame, keys: list[str], window_us: int) -> DataFrame:
@@ -150,16 +169,11 @@ def first_hits(
     """
     window_us = window_micros(window_s)
     points = prepare(rows, keys, window_us, value, distinct, extra)
-    if distinct is not None:
-        # Distinct values are counted only where there are enough rows for them.
-        rough = durable(possible_cells(points, keys, possible), "rough-cells")
-        points = points.join(broadcast_if_small(rough), [*keys, "cell"], "left_semi")
     # Stored before the join: if it were part of it, the whole input would be shuffled by key
     # before Spark could see how small this side is.
     needed = durable(cells_to_read(points, keys, distinct is not None, possible, certain), "cells")
-    # Written once: the input is scanned twice in all (three times with distinct values), whatever
-    # happens below.
-    picked = durable(points.join(broadcast_if_small(needed), [*keys, "cell"]), "picked")
+    # Written once: the input is scanned twice in all, whatever happens below.
+    picked = durable(rows_of_cells(points, needed, [*keys, "cell"]), "picked")
     if distinct is not None:
         steps = _distinct_steps(picked, keys, window_us)
         if count_rows:
