@@ -1,10 +1,13 @@
 """Directory watching with several batches and a restart."""
 
+import os
+import random
+
 from pyspark.sql import functions as F
 
-from tidewatch.operators import threat
+from tidewatch.operators import detectors, threat
 from tidewatch.sources import ingest
-from tidewatch.streaming import watch
+from tidewatch.streaming import detect, watch
 
 YEAR = 2024
 
@@ -83,3 +86,51 @@ def test_csv_stream(spark, tmp_path):
     watch.run_available(flows, str(tmp_path / "out"))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.src_ip, r.protocol, r.bytes_received) for r in got) == [("1.1.1.1", "TCP", 5), ("1.1.1.3", "UDP", 7)]
+
+
+def login(i, second, src="1.1.1.1", port=22, action="failed"):
+    return f'{{"time": "2024-02-04 {second // 3600:02d}:{second // 60 % 60:02d}:{second % 60:02d}.{i % 1000:03d}", "src": "{src}", "dst": "2.2.2.2", "dst_port": {port}, "proto": "tcp", "action": "{action}"}}\n'
+
+
+def test_stream_and_batch_find_the_same_brute_force(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [login(i, rng.randrange(20_000), f"s{rng.randrange(12)}", rng.choice([22, 22, 3389, 80]), rng.choice(["failed", "failed", "allow"])) for i in range(900)]
+    rows += [login(i, 700, "tie") for i in range(3)] + [login(0, 1000 + 100 * i, "edge") for i in range(3)]
+    rng.shuffle(rows)
+    folder, output, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def run():
+        stream = detect.brute_force(watch.watch_flows(spark, str(folder), "json", YEAR, max_files=1), 3, 200, delay_s=40_000)
+        watch.run_available(stream, output, checkpoint=state)
+
+    for k in range(3):
+        (folder / f"f{k}.json").write_text("".join(rows[k::3]))
+        if k != 1:
+            run()  # the second file comes with a restart from the checkpoint
+    assert spark.read.parquet(output).count() == 0
+    (folder / "z.json").write_text('{"time": "2024-03-01"}\n')
+    run()
+    got = spark.read.parquet(output).drop("batch")
+    batch = ingest.accepted(ingest.read_files(spark, [str(folder)], YEAR, "json")).withColumn("event_id", F.monotonically_increasing_id())
+    want = detectors.brute_force(batch, 3, 200).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 5
+    assert {"tie", "edge"} <= {r.src_ip for r in got.collect()}
+
+
+def test_old_state_goes_and_late_rows_are_set_aside(spark, tmp_path):
+    folder, output = tmp_path / "logs", str(tmp_path / "out")
+    folder.mkdir()
+    # Two attempts, an hour later another key, then a third attempt of the first key that is too late to count.
+    for name, text in (("a", login(0, 100) + login(0, 110)), ("b", login(0, 4000, "other")), ("c", login(0, 120) + login(0, 4010, "other")), ("d", login(0, 9000, "last"))):
+        (folder / f"{name}.json").write_text(text)
+        os.utime(folder / f"{name}.json", (ord(name) * 100, ord(name) * 100))
+    stream = watch.watch_flows(spark, str(folder), "json", YEAR, max_files=1)
+    query = watch.run_available(detect.brute_force(stream, 3, 200, delay_s=60), output)
+    assert spark.read.parquet(output).count() == 0
+    # Only the last key's row waits; keys whose windows have passed are gone.
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 1
+    aside = str(tmp_path / "aside")
+    writer = stream.writeStream.foreachBatch(detect.late_rows(aside, 60)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    writer.awaitTermination()
+    assert [str(r.ts) for r in spark.read.parquet(f"{aside}/late").collect()] == ["2024-02-04 00:02:00"]

@@ -15,7 +15,7 @@ from tidewatch.plans.pipeline import Settings, final_alerts, raw_alerts
 from tidewatch.plans.testflows import flows_of
 from tidewatch.sources import ingest, layout
 from tidewatch.sources.feeds import read_feeds
-from tidewatch.streaming import watch
+from tidewatch.streaming import detect, watch
 
 HOUR, DAY, YEAR = 3600, 86400, 2024
 
@@ -261,6 +261,21 @@ def watch_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(output).select(FLOW_COLUMNS)
 
 
+def watch_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that each hold rows of the whole time, in no order; a last row far ahead lets the watermark pass them all."""
+    flows = _json_rows(flows_of(spark, sf_dir).repartition(3))
+    folder = _write_logs(spark, "watched", json=flows)
+    _write_logs_to(folder, spark.range(1).select(F.lit("2199-01-01 00:00:00").alias("time")))
+    output = fresh_path(spark, "watch-brute-force")
+    stream = watch.watch_flows(spark, folder, "json", YEAR, max_files=2)
+    watch.run_available(detect.brute_force(stream, **SETTINGS.brute_force, delay_s=365 * 24 * HOUR), output)
+    return spark.read.parquet(output).drop("batch")
+
+
+def _write_logs_to(folder: str, json: DataFrame) -> None:
+    json.coalesce(1).write.mode("append").json(folder)
+
+
 def watch_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _write_logs(spark, "watched", json=_json_rows(flows_of(spark, sf_dir)))
     output = fresh_path(spark, "watch-domains")
@@ -448,6 +463,7 @@ QUERIES: dict[str, Query] = {
     "ingest_csv_multiline": ingest_csv_multiline, "parse_ts_iso": parse_ts_iso, "watch_csv": watch_csv,
     "ingest_numbered": ingest_numbered, "ingest_stats": ingest_stats, "parse_ts": parse_ts, "feeds": feeds,
     "watch_totals": watch_totals, "watch_domains": watch_domains,
+    "watch_brute_force": watch_brute_force,
     "traffic_stats": traffic_stats,
     "protocol_dist": _on_flows(stats.protocol_dist),
     "top_talkers": _on_flows(stats.top_talkers),

@@ -397,3 +397,5 @@ ORACLES: dict[str, str] = {
         ' security alerts generated across ', categories, ' attack categories. Overall risk score: ', printf('%.0f', risk_score),
         '/100 (', risk_level, ').') AS summary FROM es""",
 }
+# The stream's alerts are the batch's.
+ORACLES["watch_brute_force"] = ORACLES["brute_force"]

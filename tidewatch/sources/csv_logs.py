@@ -2,7 +2,6 @@
 
 import csv
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.sources import framing
 from tidewatch.sources import layout as lo
-from tidewatch.sources.files import broken_files, headers, odd_quotes, readable
+from tidewatch.sources.files import broken_files, headers, odd_quotes, plain, readable
 
 CORRUPT = "_corrupt_record"
 
@@ -32,7 +31,7 @@ def read_csv(spark: SparkSession, paths: list[str], default_year: int,
         broken = set(broken_files(lines))
     if header is not None:
         # Paths may be folders or patterns, so their files are looked up if they have to be told apart.
-        files = [readable(spark, f) for f in map(unquote, spark.read.text(paths).inputFiles())] if multiline is None and broken else paths
+        files = [readable(spark, f) for f in map(plain, spark.read.text(paths).inputFiles())] if multiline is None and broken else paths
         named = dict.fromkeys(files, tuple(normal(header)))
     else:
         named = {path: tuple(normal(next(csv.reader([line.rstrip("\r")])))) for path, line in headers(spark, paths).items()}

@@ -24,12 +24,21 @@ def list_files(spark: SparkSession, directory: str) -> list[str]:
     return sorted(status.getPath().toString() for status in found if status.isFile())
 
 
+def _one_slash(file: str) -> str:
+    return re.sub("^file:/+", "file:/", file)
+
+
+def plain(file: str) -> str:
+    """A file's own name from what Spark tells, which is encoded and has one or three slashes."""
+    return _one_slash(unquote(file))
+
+
 def _shown(spark: SparkSession, path: str) -> str:
     """The path as rows tell it as their source."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     own = jvm.org.apache.hadoop.fs.Path(path)
     shown = jvm.org.apache.spark.paths.SparkPath.fromPath(own.getFileSystem(conf).makeQualified(own)).urlEncoded()
-    return re.sub("^file:/+", "file:/", shown)
+    return _one_slash(shown)
 
 
 def readable(spark: SparkSession, path: str, copies: dict[str, str] | None = None) -> str:
@@ -88,7 +97,7 @@ def _heads(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, bool]]
     """The head of each file with text below ``paths`` (files, folders or patterns), by its own name."""
     if not paths:
         return {}
-    files = sorted(map(unquote, spark.read.text(paths).inputFiles()))
+    files = sorted(plain(file) for file in spark.read.text(paths).inputFiles())
     with ThreadPoolExecutor(READERS) as readers:
         found = readers.map(lambda file: _head(spark, file), files)
         return {escaped(file): head for file, head in zip(files, found, strict=True) if head}
@@ -125,4 +134,4 @@ def odd_quotes(line: Column) -> Column:
 
 def broken_files(text: DataFrame) -> list[str]:
     """Files of ``text`` (file, value) in which a line has an odd number of quotes: a quoted value may go on in the next line."""
-    return [escaped(unquote(r.file)) for r in text.where(odd_quotes(F.col("value"))).select("file").distinct().collect()]
+    return [escaped(plain(r.file)) for r in text.where(odd_quotes(F.col("value"))).select("file").distinct().collect()]

@@ -5,7 +5,6 @@ segments tell which begin inside a string and how deep, and an item ends where t
 """
 
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.sources import framing
 from tidewatch.sources import layout as lo
-from tidewatch.sources.files import escaped, formats
+from tidewatch.sources.files import escaped, formats, plain
 
 
 def read_json(spark: SparkSession, paths: list[str], default_year: int, arrays: bool | None = None) -> DataFrame:
@@ -88,7 +87,7 @@ def _items(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[str]]
     # Items that are no objects have no brace and stand before the next one that is.
     listed = F.from_json(F.concat(F.lit("["), "body", F.lit("]")), "array<string>")
     items = good.select(*framing.BLOCK, "source_row", F.explode(F.coalesce(listed, F.array("body"))).alias("item"))
-    return items.select(*framing.BLOCK, "source_row", F.coalesce("item", F.lit("null")).alias("value")), [escaped(unquote(r.source_file)) for r in broken.collect()]
+    return items.select(*framing.BLOCK, "source_row", F.coalesce("item", F.lit("null")).alias("value")), [escaped(plain(r.source_file)) for r in broken.collect()]
 
 
 def _clean(column: str) -> Column:
