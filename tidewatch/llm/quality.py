@@ -127,11 +127,11 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",),
     fields, text = numbered.schema.fields, F.col("text").cast("string")
     if "text" in columns and isinstance(docs.schema["text"].dataType, T.StringType):
         # The text goes to Python once.
-        name = f"c{columns.index('text')}"
+        own = f"c{columns.index('text')}"
     else:
-        numbered, name = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), text.alias("_text")), "_text"
+        numbered, own = docs.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)), text.alias("_text")), "_text"
     schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
-    scored = numbered.mapInArrow(lambda batches: _score(batches, model, len(columns), name), schema)
+    scored = numbered.mapInArrow(lambda batches: _score(batches, model, len(columns), own), schema)
     return scored.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(columns)), F.col("_score").alias(name))
 
 
