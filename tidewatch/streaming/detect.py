@@ -31,9 +31,11 @@ def brute_force(flows: DataFrame, failed_attempts: int = 5, window_s: float = 30
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, recent, fired = state.get if state.exists else (b"", b"", False)
         waiting, recent = np.frombuffer(waiting, np.int64), np.frombuffer(recent, np.int64)
+        # The watermark is 0 until a batch has set it.
+        passed = state.getCurrentWatermarkMs() * 1000 or -(1 << 62)
         if not state.hasTimedOut:
-            waiting = np.sort(np.concatenate([waiting, *(frame["t"].to_numpy() for frame in frames)]))
-        passed = state.getCurrentWatermarkMs() * 1000
+            came = np.concatenate([frame["t"].to_numpy() for frame in frames])
+            waiting = np.sort(np.concatenate((waiting, came[came > passed])))
         due = int(np.searchsorted(waiting, passed, side="right"))
         if not fired and due:
             times = np.concatenate((recent, waiting[:due]))
@@ -53,7 +55,7 @@ def brute_force(flows: DataFrame, failed_attempts: int = 5, window_s: float = 30
             if not fired:
                 # The first row that waits, or the end of the last window that a new row could join.
                 wake = int(waiting[0]) if len(waiting) else int(recent[-1]) + width
-                state.setTimeoutTimestamp(max(wake, passed) // 1000 + 1)
+                state.setTimeoutTimestamp(max(wake, passed, 0) // 1000 + 1)
         else:
             state.remove()
 
@@ -80,7 +82,7 @@ def late_rows(output: str, delay_s: float):
         newest = None
         if number:
             newest = spark.read.schema("t BIGINT, batch BIGINT").parquet(f"{output}/latest").where(F.col("batch") < number).agg(F.max("t")).first()[0]
-        late = F.lit(False) if newest is None else t <= F.lit(newest - delay)
+        late = F.lit(False) if newest is None else t <= F.lit(newest // 1000 * 1000 - delay)
         batch.where(late).write.mode("overwrite").parquet(f"{output}/late/batch={number}")
         batch.agg(F.max(t).alias("t")).write.mode("overwrite").parquet(f"{output}/latest/batch={number}")
 
