@@ -141,6 +141,30 @@ def test_quality_of_held_out_texts(spark):
     assert quality.score(odd_docs(spark).limit(0), model).count() == 0
 
 
+def test_scores_equal_those_of_plain_compression(spark):
+    import zstandard
+
+    rng = random.Random(3)
+    good, bad = ([" ".join(rng.choice(words) for _ in range(rng.randint(5, 400))).encode() for _ in range(60)] for words in (["calm", "steady", "prose", "reads", "well"], ["buy", "now", "$$$", "click", "free!!!"]))
+    model = quality.fit(good, bad, 4 << 10)
+    texts = [*good[:5], *bad[:5], b"", None, b"calm " * 3_000 + b"free!!! " * 1_000, "é½ 日本".encode(), b"x"]
+
+    def size(text, dictionary):
+        total = 0
+        for at in range(0, len(text), 1_024):
+            own = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += len(own.compress(text[at : at + 1_024]))
+        return total
+
+    docs = spark.createDataFrame([(i, t.decode() if t is not None else None) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i, text in enumerate(texts):
+        share = (size(text, model.bad) - size(text, model.good)) / len(text) if text else 0.0
+        line = (1.0, share, share * min(1.0, len(text) / 1_024)) if text else (1.0, 0.0, 0.0)
+        assert abs(got[i] - 1 / (1 + np.exp(-sum(w * x for w, x in zip(model.weights, line, strict=True))))) < 1e-9
+    assert all(got[i] > 0.5 for i in range(5)) and all(got[i] < 0.5 for i in range(5, 10))
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([(1, None), (2, 7), (3, 0), (3, 1), (None, 1)], "doc_id bigint, quality int")
     model = quality.trained(odd_docs(spark), labels, F.lit(True))
@@ -159,6 +183,7 @@ def test_toxicity_of_held_out_texts(spark):
     rows = toxicity.graded(docs, model).join(docs.select("doc_id", "label"), "doc_id").withColumn("score", F.col("expected_severity")).collect()
     assert area(rows) > 0.95 and np.mean([r.toxic == (r.label == 1) for r in rows]) > 0.95
     assert not any(r.toxic for r in rows if r.label == 0)
+    assert np.mean([r.toxic for r in rows if r.label == 1]) > 0.75
     got = toxicity.graded(odd_docs(spark), model).collect()
     assert len(got) == len(ODD) and not any(r.toxic for r in got) and all(0 <= r.expected_severity <= 3 for r in got)
     assert toxicity.graded(odd_docs(spark).limit(0), model).count() == 0
@@ -178,6 +203,36 @@ def test_grades_are_ordered():
     assert none < 0.3 < mild < both
 
 
+def test_the_ordinal_fit_is_where_the_likelihood_is_flat():
+    """Finite differences of the penalised likelihood, written as a plain loop, vanish at the fitted values."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2, (400, 3)).astype(float)
+    y = np.clip(np.digitize(x @ np.array([1.5, -1.0, 0.5]) + rng.logistic(size=400), [0.0, 1.0, 2.0]), 0, 3)
+    ridge = 1e-3
+    w, theta = toxicity._fit_ordinal(x, y, ridge, 4_000)
+
+    def loss(values):
+        total = 0.0
+        for row, grade in zip(x, y, strict=True):
+            z = sum(a * b for a, b in zip(row, values[:3], strict=True))
+            upper = 1 / (1 + np.exp(z - values[3 + grade])) if grade < 3 else 1.0
+            lower = 1 / (1 + np.exp(z - values[2 + grade])) if grade > 0 else 0.0
+            total -= np.log(upper - lower)
+        return total / len(y) + ridge / 2 * sum(v * v for v in values[:3])
+
+    at = np.concatenate((w, theta))
+    assert list(theta) == sorted(theta)
+    for i in range(6):
+        step = np.zeros(6)
+        step[i] = 1e-4
+        assert abs(loss(at + step) - loss(at - step)) / 2e-4 < 2e-3
+    # Probabilities of a text from the same numbers.
+    model = toxicity.Model({"one": float(w[0]), "two": float(w[1])}, tuple(theta))
+    for text, z in ((b"One two, one", w[0] + w[1]), (b"two", w[1]), (b"", 0.0), (None, 0.0)):
+        below = [0.0, *(1 / (1 + np.exp(z - t)) for t in theta), 1.0]
+        assert np.allclose(toxicity.severity([text], model)[0], np.diff(below))
+
+
 def test_toxicity_without_labels(spark):
     assert not any(r.toxic for r in toxicity.graded(odd_docs(spark), toxicity.fit([], [])).collect())
     assert not any(r.toxic for r in toxicity.graded(odd_docs(spark), toxicity.fit(["a"], [False])).collect())
