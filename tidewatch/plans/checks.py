@@ -412,6 +412,31 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def alert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Description and evidence of four kinds of alerts; of the numbers with fractions only their neighbours."""
+    flows, listed, scan, brute = flows_of(spark, sf_dir), feed_table(spark), SETTINGS.port_scan, SETTINGS.brute_force
+    found = [
+        al.malicious_ip_alerts(threat.ip_first_seen(flows, listed, threat.MALICIOUS_IP)),
+        al.tor_alerts(threat.ip_first_seen(flows, listed, threat.TOR_NODE)),
+        al.port_scan_alerts(detectors.port_scan(flows, **scan), scan["window_s"]),
+        al.brute_force_alerts(detectors.brute_force(flows, **brute), brute["window_s"]),
+    ]
+    part = lambda name: F.get_json_object("evidence", f"$.{name}")
+    short = F.when(F.col("rule_id") == "RULE-003", F.concat_ws("|", part("failed_attempts"), part("service"), part("first_attempt"), part("last_attempt")))
+    rows = reduce(DataFrame.unionByName, [alerts.select("rule_id", "ts", "src_ip", "dst_ip", "dst_port", "description", "evidence") for alerts in found])
+    return rows.withColumn("evidence", F.coalesce(short, F.col("evidence")))
+
+
+def sink_alert_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the written alerts, read back: those of ``all_alerts``, and whether the other three are whole."""
+    path = fresh_path(spark, "alert-fields")
+    sinks.write_alerts(alert_table(spark, sf_dir), path)
+    text = ", ".join(f"{name} {'INT' if name == 'dst_port' else 'VARIANT' if name == 'evidence' else 'STRING'}" for name in sinks.ALERT_FIELDS)
+    back = spark.read.schema(text).json(f"{path}/alerts")
+    whole = F.col("alert_id").rlike("^ALERT-[0-9A-F]{16}$") & (F.length("description") > 20) & F.schema_of_variant("evidence").startswith("OBJECT")
+    return back.select(F.col("timestamp").cast("timestamp_ntz").alias("ts"), *ALERT_KEYS[1:], *ALERT_TEXTS, whole.alias("whole"))
+
+
 def alerts_min_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.at_least(alert_table(spark, sf_dir), "HIGH").select(ALERT_KEYS)
 
@@ -486,7 +511,7 @@ QUERIES: dict[str, Query] = {
     "alerts_top_sources": _on_alerts(al.top_sources),
     "alerts_timeline": _on_alerts(al.timeline),
     "raw_alerts": raw_alerts_query, "domain_alerts": domain_alerts, "report": report,
-    "sink_alerts": sink_alerts, "flow_records": flow_records,
+    "sink_alerts": sink_alerts, "sink_alert_fields": sink_alert_fields, "alert_texts": alert_texts, "flow_records": flow_records,
     "risk_score": _on_alerts(results.risk_score),
     "recommendations": recommendations, "exec_summary": exec_summary,
 }

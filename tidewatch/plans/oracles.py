@@ -399,3 +399,22 @@ ORACLES: dict[str, str] = {
 }
 # The stream's alerts are the batch's.
 ORACLES["watch_brute_force"] = ORACLES["brute_force"]
+ORACLES["sink_alert_fields"] = f"SELECT *, true AS whole FROM ({ORACLES['all_alerts']})"
+
+
+def _iso_sql(column: str) -> str:
+    return f"CASE WHEN epoch_us({column}) % 1000000 = 0 THEN strftime({column}, '%Y-%m-%dT%H:%M:%S') ELSE strftime({column}, '%Y-%m-%dT%H:%M:%S.%f') END"
+
+
+ORACLES["alert_texts"] = f"""{FLOWS}{IP}, tor AS (SELECT * FROM ({FLOWS}{TOR_SQL} SELECT * FROM tor)),
+    scan AS (SELECT * FROM ({FLOWS}{PORT_SCAN} SELECT * FROM scan)), bf AS (SELECT * FROM ({FLOWS}{BRUTE_FORCE} SELECT *, {SERVICE} AS service FROM bf))
+    SELECT 'RULE-008' AS rule_id, ts, src_ip, dst_ip, dst_port, concat('Communication detected with known malicious IP ', ip, ' as ', direction,
+        '. This IP is listed in threat intelligence feeds.') AS description,
+        concat('{{"malicious_ip":"', ip, '","direction":"', direction, '","event_time":"', {_iso_sql("ts")}, '"}}') AS evidence FROM ip
+    UNION ALL SELECT 'RULE-014', ts, src_ip, dst_ip, dst_port, concat('Traffic detected to/from known TOR exit node: ', ip,
+        '. This may indicate anonymized communication.'), concat('{{"tor_node_ip":"', ip, '","direction":"', direction, '"}}') FROM tor
+    UNION ALL SELECT 'RULE-001', ts, src_ip, dst_ip, 0, concat('Port scan detected from ', src_ip, ': ', unique_ports, ' unique ports probed across ',
+        target_count, ' destination(s) within 172800s window.'), concat('{{"unique_ports":', unique_ports, ',"sample_ports":[', sample_ports,
+        '],"target_count":', target_count, ',"scan_type":"', scan_type, '","event_count":', event_count, '}}') FROM scan
+    UNION ALL SELECT 'RULE-003', ts, src_ip, dst_ip, dst_port, concat('Brute force attack detected: 3 failed ', service, ' login attempts from ', src_ip,
+        ' to ', dst_ip, ':', dst_port, ' within 7200 minutes.'), concat_ws('|', 3, service, {_iso_sql("ts")}, {_iso_sql("last_ts")}) FROM bf"""
