@@ -56,47 +56,70 @@ def test_a_long_document_blocks_nothing(spark):
         assert len(by) == 30 and all(target == 5000 * share and abs(taken - target) <= 10 for taken, target in by.values()), by
 
 
+def chances(sizes, rest):
+    """p of each size: proportional to it, the longest taken out while theirs would reach 1."""
+    sure, sizes = 0, sorted(sizes, reverse=True)
+    while sizes and rest > 0 and sum(s * s for s in sizes) <= (rest - sure) * sizes[0]:
+        sure += sizes.pop(0)
+    squares = sum(s * s for s in sizes)
+    return lambda size: 0 if not size or rest <= 0 else 1 if size not in sizes else (rest - sure) / squares * size
+
+
 def test_a_source_is_filled_in_rank_order(spark):
     # Sizes of 1 to 2,000 words: the rule of the docstring, document by document.
     docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.expr("cast(exp(pmod(id * 7919, 77) / 10.0) as int)")).alias("text"), F.expr("concat('s', id % 20)").alias("source"))
     texts = mixing.keyed(docs, "source")
     u = {r.row: r.u for r in texts.select("row", mixing.uniform(F.col("row"), 17).alias("u")).collect()}
-    rows = mixing.planned(texts, weights=(1, 3), share=0.3).collect()
-    again = 0
-    for source in {r.source for r in rows}:
-        own = sorted((r for r in rows if r.source == source), key=lambda r: u[r.row])
-        target = own[0].target
-
-        def near(taken, gap, own=own):
-            off, _, row = min(((abs(gap - r.size), u[r.row], r.row) for r in own if r.row not in taken), default=(gap, 0, None))
-            return (taken | {row}, off) if off < gap else (taken, gap)
-
-        prefix, gap = set(), target
-        for r in own:
-            if r.size > gap:
-                break
-            prefix, gap = prefix | {r.row}, gap - r.size
-        wanted, off = near(prefix, gap)
-        if off > mixing.NEAR * target:
-            filled, gap = set(prefix), gap
+    again = certain = 0
+    for share in (0.05, 0.3):
+        rows = mixing.planned(texts, weights=(1, 3), share=share).collect()
+        for source in {r.source for r in rows}:
+            own = [r for r in rows if r.source == source]
+            target, p = own[0].target, chances([r.size for r in own], own[0].target)
+            assert all(abs(r.p - p(r.size)) < 1e-8 for r in own)
+            rank = {r.row: u[r.row] / (1 - u[r.row]) / (p(r.size) / (1 - p(r.size))) for r in own if p(r.size) < 1}
+            sure = {r.row for r in own if p(r.size) == 1}
+            certain += len(sure)
+            own, words = sorted((r for r in own if r.row in rank), key=lambda r: rank[r.row]), sum(r.size for r in own if r.row in sure)
+
+            def near(taken, gap, own=own, rank=rank):
+                off, _, row = min(((abs(gap - r.size), rank[r.row], r.row) for r in own if r.row not in taken), default=(gap, 0, None))
+                return (taken | {row}, off) if off < gap else (taken, gap)
+
+            prefix, gap = set(), target - words
             for r in own:
-                if r.row not in filled and r.size <= gap:
-                    filled, gap = filled | {r.row}, gap - r.size
-            other, new = near(filled, gap)
-            if new < off:
-                wanted, again = other, again + 1
-        assert {r.row for r in own if r.copies} == wanted
-    assert again
-
-
-def test_inclusion_follows_the_share(spark):
-    # Source b keeps p = 0.5 of equal documents; each document must be in about half of the mixes.
-    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"), F.lit("b").alias("source"))
-    times = {}
-    for seed in range(12):
-        for r in mixing.planned(mixing.keyed(docs, "source"), seed=seed).collect():
-            times[r.doc_id] = times.get(r.doc_id, 0) + r.copies - 1
-    assert sum(times.values()) == 12 * 200 and all(0 < n < 12 for n in times.values())
+                if r.size > gap:
+                    break
+                prefix, gap = prefix | {r.row}, gap - r.size
+            wanted, off = near(prefix, gap)
+            if off > mixing.NEAR * target:
+                filled, gap = set(prefix), gap
+                for r in own:
+                    if r.row not in filled and r.size <= gap:
+                        filled, gap = filled | {r.row}, gap - r.size
+                other, new = near(filled, gap)
+                if new < off:
+                    wanted, again = other, again + 1
+            assert {r.row for r in rows if r.source == source and r.copies} == wanted | sure
+    assert again and certain
+
+
+def test_inclusion_follows_the_probabilities(spark):
+    # 300 documents of 2 to 30 words and two of 2,000: over many seeds each is taken about as often as its p says.
+    docs = spark.range(302).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.expr("CASE WHEN id >= 300 THEN 2000 ELSE 2 + 4 * cast(id % 8 as int) END")).alias("text"), F.lit("b").alias("source"),
+    )
+    texts = mixing.keyed(docs, "source").persist()
+    taken, p, seeds = {}, {}, 10
+    for seed in range(seeds):
+        for r in mixing.planned(texts, weights=(1,), share=0.75, seed=seed).collect():
+            taken[r.size] = taken.get(r.size, 0) + r.copies
+            p[r.size] = r.p
+    count = {size: 2 if size == 2000 else sum(2 + 4 * (i % 8) == size for i in range(300)) for size in p}
+    assert p[2000] == 1 and taken[2000] == 2 * seeds and 0.05 < p[30] < 1 and abs(p[30] / p[2] - 15) < 1e-6
+    for size, n in taken.items():
+        expected = seeds * count[size] * p[size]
+        assert abs(n - expected) <= 5 * (seeds * count[size] * p[size] * (1 - p[size])) ** 0.5 + seeds, (size, n, expected)
 
 
 def test_mixed_rows_keep_their_columns(spark):

@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
 Each source gets a share of the mix; whole copies that its share holds for certain are given to
-all of its documents, and the rest is a sample in which a document has inclusion probability p
-(its source's remaining share). Documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u drawn
-from a digest of the document's key, and taken in that order until the words are used up. The
-running sums are cut into as many buckets of the rank as a bucket has documents, so that no source
-has to fit into one task. Where a long document ends the sample of a source far from its target,
-the documents behind it are gone through too.
+all of its documents. The rest of the words is a sample with probability proportional to size: a
+document has inclusion probability p = c * size, c such that the expected words are the rest, and
+documents for which that reaches 1 are taken for certain. The others are ranked by
+(u / (1 - u)) / (p / (1 - p)) with u drawn from a digest of the document's key, and taken in that
+order until the words are used up. The running sums are cut into about as many buckets of the rank
+as a bucket has documents, so that no source has to fit into one task. Where a long document ends
+the sample of a source far from its target, the documents behind it are gone through too.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -100,39 +101,67 @@ def filled(left: DataFrame, missed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return durable(everything, "filled"), gaps
 
 
+def inclusion(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, ``least`` (documents of this size or more are taken for certain; null: none), ``open_words`` (what they
+    leave of ``rest``) and ``c`` (p of the others by size) of the sources of (source, size, n) with some ``rest``.
+
+    c solves sum(min(1, c * size) * size) = rest. A size is certain if the sum for c = 1 / size is
+    within the rest; the sums are of whole numbers, so they don't depend on an order. The windows
+    run over the distinct sizes of a source: with W words it has fewer than sqrt(2 W).
+    """
+    same = F.col("source").eqNullSafe(F.col("s"))
+    known = broadcast_if_small(plan.where("rest > 0").select(F.col("source").alias("s"), "rest"))
+    words = (F.col("n") * F.col("size")).cast("decimal(38,0)")
+    table = sizes.where("size > 0").join(known, same).drop("s").withColumn("words", words).withColumn("squares", (F.col("words") * F.col("size")).cast("decimal(38,0)"))
+    at_least = F.sum("words").over(Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.sum("squares").over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1))
+    sum_then = at_least.cast("double") * F.col("size") + F.coalesce(below.cast("double"), F.lit(0.0))
+    marked = table.withColumn("certain", sum_then <= F.col("rest") * F.col("size"))
+    found = marked.groupBy("source").agg(
+        F.first("rest").alias("rest"), F.min(F.when(F.col("certain"), F.col("size"))).alias("least"),
+        F.coalesce(F.sum(F.when(F.col("certain"), F.col("words"))).cast("double"), F.lit(0.0)).alias("sure"), F.sum(F.when(~F.col("certain"), F.col("squares"))).cast("double").alias("squares"),
+    )
+    open_words = F.greatest(F.col("rest") - F.col("sure"), F.lit(0.0))
+    return found.select("source", "least", open_words.alias("open_words"), (open_words / F.col("squares")).alias("c"))
+
+
 def planned(texts: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
-    """row, doc_id, source, size, source_size, target, copies and taken (words, repeats counted) of keyed texts with their source.
-
-    ``size`` counts words (null text: 0). A document is taken 0 to ``most`` times, whole. The
-    sample ends at the first document by rank that doesn't fit. The document that closes the rest
-    is the one, among those not yet taken, that brings the sum nearest to the target, earlier rank
-    first. If that leaves a source off its target by more than ``NEAR`` of it, all later documents
-    that still fit are taken in rank order before one closes, where this comes nearer. Reruns
-    agree; a null source is a source; documents without words take part with nothing; repeated
-    rows count each.
+    """row, doc_id, source, size, source_size, target, p, copies and taken (words, repeats counted) of keyed texts with their source.
+
+    ``size`` counts words (null text: 0); ``p`` is the probability of a copy beyond the whole ones.
+    A document is taken 0 to ``most`` times, whole. The sample ends at the first document by rank
+    that doesn't fit. The document that closes the rest is the one, among those not yet taken, that
+    brings the sum nearest to the target, earlier rank first. If that leaves a source off its target
+    by more than ``NEAR`` of it, all later documents that still fit are taken in rank order before one
+    closes, where this comes nearer. Reruns agree; a null source is a source; documents without words
+    have p = 0 and come as whole copies only; ties of rank go by row; repeated rows count each.
     """
     counted = texts.select("row", "doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     sized = durable(counted, "sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sizes = durable(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "size_counts")
+    per_source = sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = targets(per_source, weights, share, most).withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = durable(plan.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))), "plan")
+    plan = durable(plan, "plan")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    chances = durable(inclusion(sizes, plan), "chances").withColumnRenamed("source", "s")
+    plan = durable(plan.join(broadcast_if_small(chances), same, "left").drop("s"), "plan")
 
     u = uniform(F.col("row"), seed)
-    odds = F.col("p") / (1 - F.col("p"))
-    rank = F.when(F.col("p") > 0, (u / (1 - u)) / odds)
-    # Within a source the rank times the odds of its share is spread evenly once it is put into (0, 1).
-    spread = F.col("rank") * odds
-    bucket = F.floor(spread / (1 + spread) * F.ceil(F.sqrt("n_docs"))).cast("int")
-    same = F.col("source").eqNullSafe(F.col("s"))
+    # The bound keeps rounding from making a document certain.
+    p = F.when(F.col("c").isNull() & F.col("least").isNull() | (F.col("size") == 0), 0.0).when(F.col("size") >= F.col("least"), 1.0).otherwise(F.least(F.col("c") * F.col("size"), F.lit(1 - 1e-9)))
     known = broadcast_if_small(plan.withColumnRenamed("source", "s"))
-    room = F.when(F.col("p") > 0, F.col("rest"))
-    ranked = sized.join(known, same).drop("s").withColumn("rank", rank).withColumn("bucket", F.coalesce(bucket, F.lit(0))).withColumn("room", room)
-    sampled = durable(fitting(ranked), "sampled")
+    ranked = sized.join(known, same).drop("s").withColumn("p", p)
+    ranked = ranked.withColumn("rank", F.when((F.col("p") > 0) & (F.col("p") < 1), (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))))
+    # The logarithm of a rank has a density of at most 1/4 whatever p is, so no bucket holds many of a source's documents.
+    bucket = F.floor(F.log("rank") * F.ceil(F.sqrt("n_docs"))).cast("int")
+    ranked = ranked.withColumn("bucket", bucket).withColumn("room", F.col("open_words"))
+    decided = ranked.where("rank IS NULL").withColumn("fits", F.col("p") >= 1)
+    sampled = durable(fitting(ranked.where("rank IS NOT NULL")).unionByName(decided), "sampled")
 
     sampled_sum = sampled.where("fits").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("got"))
-    gaps = plan.where("p > 0").join(sampled_sum, same, "left").select("source", "target", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
-    left = sampled.where("NOT fits AND size > 0")
+    gaps = plan.where("rest > 0").join(sampled_sum, same, "left").select("source", "target", (F.col("rest") - F.coalesce("got", F.lit(0))).alias("gap"))
+    left = sampled.where("NOT fits AND rank IS NOT NULL")
     ends = durable(closed(left, durable(gaps, "gaps")), "ends")
     added = ends.where("closing IS NOT NULL").select(F.col("closing").alias("added"))
     missed = ends.where(F.col("off") > F.col("target") * NEAR)
@@ -146,7 +175,7 @@ def planned(texts: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
         added = closing.unionByName(more.join(nearer, same, "left_semi").select(F.col("row").alias("added")))
     final = sampled.join(broadcast_if_small(durable(added, "added")), F.col("row") == F.col("added"), "left")
     copies = F.col("whole") + (F.col("fits") | F.col("added").isNotNull()).cast("long")
-    return final.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return final.select("row", "doc_id", "source", "size", "source_size", "target", "p", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
