@@ -57,12 +57,14 @@ def test_repeated_rows_and_an_empty_table(spark):
     rows = [(1, "u", LONG, "d")] * 2 + [(2, "u", LONG, "d")] * 2
     got = warc.digest_report(warc.assemble(warc.read(spark, run(spark, rows)))).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [(1, "response", None)] * 2 + [(2, "revisit", 1)] * 2
+    assert all(r.n_requests == r.n_metadata == 2 for r in got)
     assert warc.digest_report(warc.assemble(warc.read(spark, run(spark, [])))).count() == 0
 
 
 def test_records_without_partners(spark):
     kinds = ", ".join(f"{f.name} {'bigint' if str(f.type) == 'int64' else 'binary' if str(f.type) == 'binary' else 'string'}" for f in warc.RECORD)
     base = {f.name: None for f in warc.RECORD}
-    rows = [base | {"record_id": "a", "record_type": "response", "payload_bytes": 1}, base | {"record_id": "b", "record_type": "revisit", "refers_to": "gone"}, base | {"record_id": "c", "record_type": "request", "concurrent_to": "nobody"}]
+    rows = [base | {"record_id": "a", "record_type": "response", "payload_bytes": 1}, base | {"record_id": "b", "record_type": "revisit", "refers_to": "gone"}, base | {"record_id": "c", "record_type": "request", "concurrent_to": "nobody"}, base | {"record_id": "d", "record_type": "metadata", "concurrent_to": "b"}, base | {"record_id": "e", "record_type": "request"}]
     got = {r.capture_id: r for r in warc.assemble(spark.createDataFrame(rows, kinds)).collect()}
+    assert [len(got[x][kind]) for x in "ab" for kind in ("request", "metadata")] == [0, 0, 0, 1]
     assert set(got) == {"a", "b"} and got["a"].request == [] and got["a"].payload_bytes == 1 and got["b"].payload_bytes is None

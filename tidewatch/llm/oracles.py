@@ -5,12 +5,13 @@ WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(c
 f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to, count(*) OVER (PARTITION BY page_id, payload_digest) AS n_requests,
+       count(*) OVER (PARTITION BY page_id, payload_digest) AS n_metadata
 FROM d LEFT JOIN f USING (payload_digest)
 """
 
 MIX = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS n FROM s),
 w AS (SELECT *, CASE (n - 1) % 3 WHEN 0 THEN 5::DOUBLE WHEN 1 THEN 2::DOUBLE ELSE 1::DOUBLE END AS weight, source_size * 2::DOUBLE AS cap FROM r),
@@ -20,16 +21,40 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
 z AS (SELECT level AS chosen FROM l WHERE level <= cap / weight ORDER BY cap / weight, n LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN (SELECT chosen FROM z) IS NULL THEN cap ELSE least(cap, (SELECT chosen FROM z) * weight) END AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-q AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM p),
-u AS (SELECT d.*, source_size, target, whole, rest, p, (('0x' || substr(md5('17:' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-k AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rnk FROM u),
-c AS (SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rnk, doc_id ROWS UNBOUNDED PRECEDING) <= rest AS fits FROM k),
-g AS (SELECT source, any_value(rest) - coalesce(sum(size) FILTER (fits), 0) AS gap FROM c WHERE p > 0 GROUP BY source),
-o AS (SELECT c.doc_id, row_number() OVER (PARTITION BY c.source ORDER BY abs(gap - size), rnk, c.doc_id) AS pos, abs(gap - size) < gap AS nearer
-      FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND size > 0)
+q AS (SELECT *, target - whole * source_size AS rest FROM p),
+e AS (SELECT d.source, size, count(*) AS n, any_value(rest) AS rest FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source WHERE size > 0 AND rest > 0 GROUP BY 1, 2),
+m AS (SELECT *, size * (sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS UNBOUNDED PRECEDING))::DOUBLE
+        + coalesce(sum(n * size * size) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE <= rest * size AS certain FROM e),
+b AS (SELECT source, min(size) FILTER (certain) AS least_sure, greatest(any_value(rest) - coalesce(sum(n * size) FILTER (certain), 0)::DOUBLE, 0) AS room,
+        (sum(n * size * size) FILTER (NOT certain))::DOUBLE AS squares FROM m GROUP BY source),
+u AS (SELECT d.*, source_size, target, whole, rest, room,
+        CASE WHEN size = 0 OR b.room IS NULL THEN 0 WHEN size >= least_sure THEN 1 ELSE least(room / squares * size, 1 - 1e-9::DOUBLE) END AS p,
+        (('0x' || substr(md5('17:' || doc_id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+k AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS rnk FROM u),
+c AS (SELECT *, CASE WHEN rnk IS NULL THEN p >= 1 ELSE
+        sum(size) OVER (PARTITION BY source, rnk IS NULL ORDER BY rnk, doc_id ROWS UNBOUNDED PRECEDING) <= room END AS fits FROM k),
+g AS (SELECT source, any_value(target) AS target, any_value(rest) - coalesce(sum(size) FILTER (fits), 0) AS gap FROM c WHERE rest > 0 GROUP BY source),
+-- The row that closes a gap, and how far the source then is from its target.
+o AS (SELECT c.source, c.doc_id, gap, abs(gap - size) AS off FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE NOT fits AND rnk IS NOT NULL AND abs(gap - size) < gap
+      QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(gap - size), rnk, c.doc_id) = 1),
+n AS (SELECT g.source, g.gap, o.doc_id AS closing, coalesce(o.off, g.gap) AS off, coalesce(o.off, g.gap) > 0.05::DOUBLE * g.target AS missed FROM g LEFT JOIN o ON g.source IS NOT DISTINCT FROM o.source),
+-- Where that is far off: all documents behind it, one after the other by rank.
+later AS (SELECT c.source, c.doc_id, size, rnk, gap, row_number() OVER (PARTITION BY c.source ORDER BY rnk, c.doc_id) AS pos
+      FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE missed AND NOT fits AND rnk IS NOT NULL),
+walk AS (SELECT source, doc_id, pos, size <= gap AS took, CASE WHEN size <= gap THEN gap - size ELSE gap END AS open FROM later WHERE pos = 1
+      UNION ALL SELECT l.source, l.doc_id, l.pos, size <= open, CASE WHEN size <= open THEN open - size ELSE open END
+      FROM walk JOIN later l ON l.source IS NOT DISTINCT FROM walk.source AND l.pos = walk.pos + 1),
+ended AS (SELECT source, arg_max(open, pos) AS open FROM walk GROUP BY source),
+second AS (SELECT l.source, l.doc_id, abs(ended.open - l.size) AS off FROM later l JOIN walk USING (doc_id) JOIN ended ON l.source IS NOT DISTINCT FROM ended.source
+      WHERE NOT took AND abs(ended.open - l.size) < ended.open QUALIFY row_number() OVER (PARTITION BY l.source ORDER BY abs(ended.open - l.size), rnk, l.doc_id) = 1),
+better AS (SELECT n.source, second.doc_id AS closing FROM n JOIN ended ON n.source IS NOT DISTINCT FROM ended.source LEFT JOIN second ON n.source IS NOT DISTINCT FROM second.source
+      WHERE coalesce(second.off, ended.open) < n.off),
+added AS (SELECT closing AS doc_id FROM n WHERE NOT EXISTS (SELECT 1 FROM better WHERE better.source IS NOT DISTINCT FROM n.source)
+      UNION ALL SELECT closing FROM better
+      UNION ALL SELECT doc_id FROM walk WHERE took AND EXISTS (SELECT 1 FROM better WHERE better.source IS NOT DISTINCT FROM walk.source))
 SELECT doc_id, size, source_size, target,
-       ((whole + CASE WHEN fits OR doc_id IN (SELECT doc_id FROM o WHERE pos = 1 AND nearer) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       ((whole + CASE WHEN fits OR doc_id IN (SELECT a.doc_id FROM added a WHERE a.doc_id IS NOT NULL) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM c
 """
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.durable import fresh_path
+from tidewatch.durable import durable, fresh_path
 from tidewatch.llm import blocknames, collocations, decontam, langid, mixing, neardup, quality, substring, tokens, topk, toxicity, variants, warc
 from tidewatch.llm.common import in_fold, ship, table
 
@@ -23,7 +23,8 @@ def tokenizer_path() -> str:
 def warc_transactions(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write(table(spark, folder, "pages"), path)
-    return warc.digest_report(warc.assemble(warc.read(spark, path, payloads=False)))
+    # The records without payloads are thin; written, so that the archives are parsed once.
+    return warc.digest_report(warc.assemble(durable(warc.read(spark, path, payloads=False), "records")))
 
 
 def token_lists(spark: SparkSession, folder: str) -> DataFrame:

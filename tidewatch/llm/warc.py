@@ -144,9 +144,11 @@ def assemble(records: DataFrame) -> DataFrame:
     names the capture, by record id.
     """
     part = F.struct("record_id", "target_uri", "date", "http", "payload")
-
-    def naming(kind: str) -> DataFrame:
-        return records.where(F.col("record_type") == kind).groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.array_sort(F.collect_list(part)).alias(kind))
+    kinds = ("request", "metadata")
+    # What names a capture is gathered in one pass for both kinds; the captures themselves aren't, so a payload is in no list.
+    parts = records.where(F.col("record_type").isin(*kinds) & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("capture_id")).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("record_type") == kind, part))).alias(kind) for kind in kinds]
+    )
 
     main = records.where(F.col("record_type").isin("response", "revisit"))
     full = records.where(F.col("record_type") == "response").groupBy(F.col("record_id").alias("refers_to")).agg(F.min(F.struct(F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))).alias("full"))
@@ -155,7 +157,7 @@ def assemble(records: DataFrame) -> DataFrame:
         F.when(F.col("record_type") == "response", F.struct(F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))).alias("own"),
         F.struct("http", "payload").alias("response"),
     )
-    joined = own.join(naming("request"), "capture_id", "left").join(naming("metadata"), "capture_id", "left")
+    joined = own.join(parts, "capture_id", "left")
     revisits = joined.where("record_type = 'revisit'").join(full, "refers_to", "left").select(*joined.columns, "full")
     responses = joined.where("record_type = 'response'").withColumn("full", F.col("own"))
     none = F.array().cast(joined.schema["request"].dataType)
@@ -173,10 +175,12 @@ def page_of(captures: DataFrame) -> DataFrame:
 
 
 def digest_report(captures: DataFrame) -> DataFrame:
-    """Per page: page_id, payload_bytes, payload_digest, record_type, and the response's page_id for revisits."""
+    """Per page: page_id, payload_bytes, payload_digest, record_type, the response's page_id for revisits, and how many
+    requests and metadata records name the capture.
+    """
     # Thin and read three times, hence written: refers_to is resolved against it.
-    thin = durable(page_of(captures).select("capture_id", "refers_to_id", "page_id", "payload_bytes", "payload_digest", "record_type"), "captures")
+    thin = durable(page_of(captures).select("capture_id", "refers_to_id", "page_id", "payload_bytes", "payload_digest", "record_type", F.size("request").cast("long").alias("n_requests"), F.size("metadata").cast("long").alias("n_metadata")), "captures")
     target = thin.where("record_type = 'response'").groupBy(F.col("capture_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"))
     revisits = thin.where("record_type = 'revisit'").join(target, "refers_to_id", "left")
-    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_requests", "n_metadata")
     return thin.where("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(*columns).unionByName(revisits.select(*columns))
