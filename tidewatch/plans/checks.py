@@ -10,10 +10,11 @@ from tidewatch import sinks
 from tidewatch.durable import fresh_path
 from tidewatch.functions import network as net
 from tidewatch.operators import alerts as al
-from tidewatch.operators import declared, detectors, results, stats, threat
+from tidewatch.operators import carried, declared, detectors, results, stats, threat
+from tidewatch.operators.contenders import contenders
 from tidewatch.plans.pipeline import Settings, final_alerts, raw_alerts
 from tidewatch.plans.testflows import flows_of
-from tidewatch.sources import ingest, layout
+from tidewatch.sources import ingest, layout, ledger
 from tidewatch.sources.feeds import read_feeds
 from tidewatch.streaming import detect, watch
 
@@ -196,6 +197,18 @@ def ingest_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.select("event_id", "ts", "src_ip", "dst_ip", "src_port", "bytes_sent")
 
 
+def ingest_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ingest_numbered``, but the files come in two goes; the second run reads the new ones only."""
+    flows, root = flows_of(spark, sf_dir), fresh_path(spark, "incremental")
+    middle = flows.agg(F.percentile("event_id", 0.5)).first()[0]
+    folder = fresh_path(spark, "arriving")
+    for half in (F.col("event_id") <= middle, F.col("event_id") > middle):
+        ordered = flows.where(half).repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+        _json_rows(ordered).write.mode("append").json(folder)
+        ledger.add_new(spark, folder, root, YEAR)
+    return ledger.flows(spark, root).select("event_id", "ts", "src_ip", "dst_ip", "src_port", "bytes_sent")
+
+
 def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh byte count spoils the port, every eleventh the time stamp."""
     flows = flows_of(spark, sf_dir)
@@ -380,6 +393,33 @@ def alert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.dedupe(hits, 10 * DAY).select(ALERT_KEYS)
 
 
+def alert_dedup_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``alert_dedup``, in three runs that each know what the one before kept."""
+    hits = al.domain_alerts(threat.domain_contacts(flows_of(spark, sf_dir), feed_table(spark)))
+    first, last = hits.agg(F.min("ts"), F.max("ts")).first()
+    root, third = fresh_path(spark, "dedup-runs"), (last - first) / 3
+    bounds = [first, first + third, first + 2 * third]
+    run = sum((F.col("ts") > F.lit(bound)).cast("int") for bound in bounds[1:])
+    kept = [carried.dedupe_run(hits.where(run == number), root, number, 10 * DAY) for number in range(3)]
+    return reduce(DataFrame.unionByName, kept).select(ALERT_KEYS)
+
+
+def top_talkers_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.top_talkers(contenders(flows_of(spark, sf_dir), ["src_ip"], stats.TOP_N))
+
+
+def top_destinations_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.top_destinations(contenders(flows_of(spark, sf_dir), ["dst_ip"], stats.TOP_N))
+
+
+def top_ports_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.top_ports(contenders(flows_of(spark, sf_dir).where("dst_port > 0"), ["dst_port"], stats.TOP_N))
+
+
+def connection_pairs_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.connection_pairs(contenders(flows_of(spark, sf_dir), ["src_ip", "dst_ip"], 10))
+
+
 def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.ranked(alert_table(spark, sf_dir)).select(*ALERT_KEYS, *ALERT_TEXTS)
 
@@ -487,6 +527,9 @@ QUERIES: dict[str, Query] = {
     "ingest_syslog": ingest_syslog, "ingest_union": ingest_union, "ingest_auto": ingest_auto,
     "ingest_csv_multiline": ingest_csv_multiline, "parse_ts_iso": parse_ts_iso, "watch_csv": watch_csv,
     "ingest_numbered": ingest_numbered, "ingest_stats": ingest_stats, "parse_ts": parse_ts, "feeds": feeds,
+    "ingest_incremental": ingest_incremental, "alert_dedup_runs": alert_dedup_runs,
+    "top_talkers_bounded": top_talkers_bounded, "top_destinations_bounded": top_destinations_bounded,
+    "top_ports_bounded": top_ports_bounded, "connection_pairs_bounded": connection_pairs_bounded,
     "watch_totals": watch_totals, "watch_domains": watch_domains,
     "watch_brute_force": watch_brute_force,
     "traffic_stats": traffic_stats,

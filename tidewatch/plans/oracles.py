@@ -418,3 +418,8 @@ ORACLES["alert_texts"] = f"""{FLOWS}{IP}, tor AS (SELECT * FROM ({FLOWS}{TOR_SQL
         '],"target_count":', target_count, ',"scan_type":"', scan_type, '","event_count":', event_count, '}}') FROM scan
     UNION ALL SELECT 'RULE-003', ts, src_ip, dst_ip, dst_port, concat('Brute force attack detected: 3 failed ', service, ' login attempts from ', src_ip,
         ' to ', dst_ip, ':', dst_port, ' within 7200 minutes.'), concat_ws('|', 3, service, {_iso_sql("ts")}, {_iso_sql("last_ts")}) FROM bf"""
+# Other ways to the same rows.
+ORACLES |= {
+    "ingest_incremental": ORACLES["ingest_numbered"], "alert_dedup_runs": ORACLES["alert_dedup"],
+    **{f"{name}_bounded": ORACLES[name] for name in ("top_talkers", "top_destinations", "top_ports", "connection_pairs")},
+}

@@ -57,7 +57,11 @@ def read_directory(spark: SparkSession, directory: str, default_year: int, multi
 
     Names may hold any characters, also those of patterns, and start with _ or a dot.
     """
-    paths = [path for path in list_files(spark, directory) if suffix_of(path) in SUFFIX_FORMATS]
+    return read_listed(spark, [path for path in list_files(spark, directory) if suffix_of(path) in SUFFIX_FORMATS], default_year, multiline)
+
+
+def read_listed(spark: SparkSession, paths: list[str], default_year: int, multiline: bool | None = None) -> DataFrame:
+    """All records of the files given, whose names are only names."""
     copies: dict[str, str] = {}
     parsed = read_files(spark, [readable(spark, path, copies) for path in paths], default_year, multiline=multiline)
     if not copies:
