@@ -1,13 +1,15 @@
 """What the physical plans must look like."""
 
+import json
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from tests.flowrows import flows, row
 from tidewatch.durable import durable
 from tidewatch.operators import declared, detectors, sliding, stats, threat
-from tidewatch.plans.checks import QUERIES
+from tidewatch.plans.checks import QUERIES, array_parts
 from tidewatch.plans.oracles import ORACLES
 
 
@@ -96,3 +98,21 @@ def test_rules_share_one_scan(spark, tmp_path, monkeypatch):
     counted = [{"id": f"C{i}", "name": "n", "conditions": {"dst_port": i, "count_min": 1, "time_window_seconds": 60}} for i in range(5)]
     assert declared.threshold_rules(fl, single + counted).count() == 45
     assert len(written) == 1 and written[0].count("FileScan") == 1
+
+
+def test_array_files_are_written_without_gathering(spark, tmp_path):
+    # The last of four partitions is empty, one has more records than an Arrow batch.
+    rows = spark.range(0, 12_000, 1, 4).where("id < 9000 AND (id < 3000 OR id % 2 = 0)").selectExpr("id", "IF(id % 3 = 0, NULL, 'a\"}]') AS name")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        parts = array_parts(rows)
+        assert not re.search("Exchange|Aggregate|Sort|collect", plan(parts))
+        parts.write.text(str(tmp_path / "arrays"), lineSep=" ")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    texts = [file.read_text() for file in sorted(Path(tmp_path / "arrays").glob("part-*"))]
+    arrays = [json.loads(text) for text in texts if text]
+    assert [len(array) for array in arrays] == [3000, 1500, 1500] and not any("\n" in text for text in texts)
+    want = [{"id": r.id} | ({"name": r.name} if r.name else {}) for r in rows.collect()]
+    assert [record for array in arrays for record in array] == want

@@ -1,8 +1,9 @@
 """Every operator as a query over the test tables (thresholds scaled to that sparse traffic)."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,9 +97,8 @@ def _csv_rows(flows: DataFrame) -> DataFrame:
     )
 
 
-def _json_rows(flows: DataFrame, *extra: str) -> DataFrame:
+def _json_rows(flows: DataFrame) -> DataFrame:
     return flows.select(
-        *extra,
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"),
         F.col("src_ip").alias("source_ip"), F.col("dst_ip").alias("dst"), "src_port",
         F.col("dst_port").cast("string").alias("dest_port"), F.lower("protocol").alias("proto"),
@@ -154,13 +154,27 @@ def ingest_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(spark, folder)
 
 
+def array_parts(records: DataFrame) -> DataFrame:
+    """Texts that, written one after the other, make one JSON array of each partition's records.
+
+    They pass batch by batch, so an array may have any length; a partition without records gives none.
+    """
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for texts in (batch.column(0).to_pylist() for batch in batches if batch.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array([mark + texts[0], *("," + text for text in texts[1:])])], ["value"])
+            mark = ","
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+    return records.select(F.to_json(F.struct(*records.columns)).alias("value")).mapInArrow(framed, "value STRING")
+
+
 def ingest_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One array file for each input partition, however long."""
-    records = _json_rows(flows_of(spark, sf_dir).withColumn("document", F.spark_partition_id()), "document")
-    names = [c for c in records.columns if c != "document"]
-    documents = records.groupBy("document").agg(F.to_json(F.collect_list(F.struct(*names))).alias("value"))
     folder = fresh_path(spark, "json-array")
-    documents.write.partitionBy("document").text(folder)
+    # A task writes one file, and its array is one line.
+    array_parts(_json_rows(flows_of(spark, sf_dir))).write.option("maxRecordsPerFile", 0).text(folder, lineSep=" ")
     parsed = ingest.read_files(spark, [folder], YEAR, format="auto")
     return ingest.accepted(parsed).select(FLOW_COLUMNS)
 
