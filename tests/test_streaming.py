@@ -118,6 +118,32 @@ def test_stream_and_batch_find_the_same_brute_force(spark, tmp_path):
     assert {"tie", "edge"} <= {r.src_ip for r in got.collect()}
 
 
+def test_few_shards_follow_many_keys(spark, tmp_path):
+    # Keys of one shard fire in different batches, once; others only wait, or keep their last row over a restart.
+    folder, output, state = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "state")
+    folder.mkdir()
+
+    def run():
+        stream = detect.brute_force(watch.watch_flows(spark, str(folder), "json", YEAR, max_files=1), 3, 200, delay_s=60, shards=2)
+        return watch.run_available(stream, output, checkpoint=state)
+
+    many = [f"k{i} ü" for i in range(300)]
+    files = [
+        "".join(login(0, 100 + s, src) for s in (0, 10) for src in many) + "".join(login(0, 100 + s, "early") for s in (1, 2, 3)),
+        "".join(login(0, 290, src) for src in many[::3]) + login(0, 301, many[1]) + login(0, 400, "early") + login(0, 400),
+        login(0, 1000, "end"),
+    ]
+    for i, text in enumerate(files):
+        (folder / f"f{i}.json").write_text(text)
+        os.utime(folder / f"f{i}.json", (i * 100, i * 100))
+        query = run()
+    # Two shards' states, whatever the number of keys.
+    assert 0 < query.lastProgress.stateOperators[0].numRowsTotal <= 2
+    got = spark.read.parquet(output).collect()
+    assert sorted(r.src_ip for r in got) == sorted([*many[::3], "early"])
+    assert {(str(r.ts)[11:], str(r.last_ts)[11:], r.attempts, r.dst_port) for r in got if r.src_ip != "early"} == {("00:01:40", "00:04:50", 3, 22)}
+
+
 def test_old_state_goes_and_late_rows_are_set_aside(spark, tmp_path):
     folder, output = tmp_path / "logs", str(tmp_path / "out")
     folder.mkdir()

@@ -290,11 +290,12 @@ def watch_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def watch_brute_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that each hold rows of the whole time, in no order; a last row far ahead lets the watermark pass them all."""
-    flows = _json_rows(flows_of(spark, sf_dir).repartition(3))
-    folder = _write_logs(spark, "watched", json=flows)
+    flows = flows_of(spark, sf_dir)
+    files = max(3, len(flows.inputFiles()))
+    folder = _write_logs(spark, "watched", json=_json_rows(flows.repartition(files)))
     _write_logs_to(folder, spark.range(1).select(F.lit("2199-01-01 00:00:00").alias("time")))
     output = fresh_path(spark, "watch-brute-force")
-    stream = watch.watch_flows(spark, folder, "json", YEAR, max_files=2)
+    stream = watch.watch_flows(spark, folder, "json", YEAR, max_files=2 * files // 3)
     watch.run_available(detect.brute_force(stream, **SETTINGS.brute_force, delay_s=365 * 24 * HOUR), output)
     return spark.read.parquet(output).drop("batch")
 
