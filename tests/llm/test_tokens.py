@@ -23,6 +23,15 @@ def test_words_one_by_one_give_the_tokenizers_ids(text):
     assert ENCODER.encode(text) == np.asarray(ids_of(text), "<u4").tobytes()
 
 
+def test_new_words_reach_the_tokenizer_some_at_a_time(monkeypatch):
+    encoder, sizes = tokens.PieceEncoder(tokenizer_path()), []
+    plain = encoder._plain
+    monkeypatch.setattr(encoder, "_plain", lambda text: sizes.append(len(text)) or plain(text))
+    text = " ".join(f"w{i}x" for i in range(3 * tokens.LEARN_WORDS + 5))
+    assert encoder.encode(text) == np.asarray(ids_of(text), "<u4").tobytes()
+    assert max(sizes) < len(text) / 2
+
+
 def test_special_token_strings_and_edges():
     for text in ("", " ", "a ", " a", "a  b", "x <|endoftext|> y", "don't  we'll", "\x1c a\x1c\x1c b", "a\n b", "a \nb"):
         assert ENCODER.encode(text) == np.asarray(ids_of(text), "<u4").tobytes()

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import steps
 
 # Words of a generation of a process's cache, and bytes of text that are encoded at once.
-CACHE_WORDS, STEP_BYTES = 300_000, 4 << 20
+CACHE_WORDS, STEP_BYTES = 150_000, 4 << 20
+# Words given to the tokenizer at once: what it builds for a text takes many times the text.
+LEARN_WORDS = 4096
 
 # Two neighbouring white-space characters (of any kind that Python or the tokenizer knows).
 TOUCHING = re.compile(r"\s\s")
@@ -65,7 +67,7 @@ class PieceEncoder:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        """Adds the ids of space-led words, those not known by one call of the tokenizer."""
+        """Adds the ids of space-led words, those not known by a call of the tokenizer for some at a time."""
         new = []
         for word in words:
             if word in self.old:
@@ -74,12 +76,12 @@ class PieceEncoder:
                 new.append(word)
             else:
                 self.young[word] = self._plain(" ")
-        if new:
-            data = self._plain(" " + " ".join(new))
+        for part in (new[i : i + LEARN_WORDS] for i in range(0, len(new), LEARN_WORDS)):
+            data = self._plain(" " + " ".join(part))
             begins = [*np.flatnonzero(self.leads[np.frombuffer(data, "<u4")]).tolist(), len(data) // 4]
-            if len(begins) != len(new) + 1:
+            if len(begins) != len(part) + 1:
                 raise ValueError("the tokenizer does not start a piece at each space")
-            self.young.update((w, data[4 * i : 4 * j]) for w, i, j in zip(new, begins[:-1], begins[1:], strict=True))
+            self.young.update((w, data[4 * i : 4 * j]) for w, i, j in zip(part, begins[:-1], begins[1:], strict=True))
 
     def _whole(self, texts: list[bytes]) -> list[bool]:
         """Which texts the tokenizer has to see whole."""
