@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from tests.flowrows import flows, row
-from tidewatch.durable import durable
+from tidewatch.durable import broadcast_if_small, durable
 from tidewatch.operators import declared, detectors, sliding, stats, threat
 from tidewatch.plans.checks import QUERIES, array_parts
 from tidewatch.plans.oracles import ORACLES
@@ -116,3 +116,13 @@ def test_array_files_are_written_without_gathering(spark, tmp_path):
     assert [len(array) for array in arrays] == [3000, 1500, 1500] and not any("\n" in text for text in texts)
     want = [{"id": r.id} | ({"name": r.name} if r.name else {}) for r in rows.collect()]
     assert [record for array in arrays for record in array] == want
+
+
+def test_no_side_is_broadcast_by_the_size_of_its_files(spark):
+    # Files of a few kilobytes that are 16 MB in memory.
+    rows = durable(spark.range(100_000).selectExpr("'s' AS src_ip", "0L AS cell", "id AS t", "id AS eid", "repeat('x', 100) AS x"), "thin")
+    hits = durable(spark.range(1).selectExpr("'s' AS src_ip", "5L AS t", "9L AS eid"), "hits")
+    text = plan(sliding.rows_in_window(hits, rows, ["src_ip"], 60))
+    assert "BuildRight" in text and "BuildLeft" not in text
+    assert "Broadcast" not in plan(hits.join(broadcast_if_small(rows), "src_ip"))
+    assert "BroadcastHashJoin" in plan(rows.join(broadcast_if_small(hits.select("src_ip")), "src_ip"))

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.durable import broadcast_if_small, durable
+from tidewatch.durable import broadcast_if_small, by_key, durable
 from tidewatch.functions import network as net
 from tidewatch.functions.clock import iso_text, micros, window_micros
 from tidewatch.operators.declared import DeclaredRule
@@ -245,17 +245,17 @@ def dedupe(alerts: DataFrame, window_s: float = 300, chunks: int | None = None)
     )
     reached = roots
     links = durable(
-        links.join(roots.withColumnRenamed("_t", "next_t"), ["_key", "next_t"], "left_anti"), "alert-links"
+        links.join(by_key(roots.withColumnRenamed("_t", "next_t")), ["_key", "next_t"], "left_anti"), "alert-links"
     )
     while not links.isEmpty():
-        stepped = reached.join(links, ["_key", "_t"]).select("_key", F.col("next_t").alias("_t"))
+        stepped = reached.join(by_key(links), ["_key", "_t"]).select("_key", F.col("next_t").alias("_t"))
         reached = durable(reached.unionByName(stepped), "alert-reached")
         further = links.select("_key", F.col("_t").alias("next_t"), F.col("next_t").alias("after_t"))
         links = durable(
-            links.join(further, ["_key", "next_t"]).select("_key", "_t", F.col("after_t").alias("next_t")),
+            links.join(by_key(further), ["_key", "next_t"]).select("_key", "_t", F.col("after_t").alias("next_t")),
             "alert-links",
         )
-    kept = durable(heads.join(reached, ["_key", "_t"], "left_semi"), "alert-kept")
+    kept = durable(heads.join(by_key(reached), ["_key", "_t"], "left_semi"), "alert-kept")
     found = keyed.join(broadcast_if_small(kept), ["_key", "_t", "alert_id"])
     # Alerts that agree even in their id are one alert; only those with company are moved to see.
     doubtful = found.where("_n > 1").dropDuplicates(["_key", "_t", "alert_id"])

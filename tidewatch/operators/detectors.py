@@ -22,6 +22,7 @@ def port_scan(flows: DataFrame, unique_ports: int = 15, window_s: float = 60,
         rows, ["src_ip"], window_s, enough, enough, enough,
         distinct="dst_port", count_rows=False, extra=("dst_ip",), chunks=chunks,
     )
+    hits = durable(hits, "hits")
     # A window ends at the row that brings the last port, so it holds exactly unique_ports ports.
     seen = rows_in_window(hits, picked, ["src_ip"], window_s).groupBy("src_ip").agg(
         F.min("t").alias("start"), F.max("hit_t").alias("hit_t"), F.max("hit_eid").alias("event_id"),
@@ -77,6 +78,7 @@ def ddos(flows: DataFrame, requests_per_second: float = 1000, unique_sources: in
         certain=lambda: (F.col("n") >= peak) & (F.col("d") >= unique_sources),
         value=net.total_bytes(), distinct="src_ip", chunks=chunks,
     )
+    hits = durable(hits, "hits")
     per_source = rows_in_window(hits, picked, ["dst_ip"], window_s).groupBy("dst_ip", "x").agg(
         F.count("*").alias("events")
     )
@@ -87,7 +89,7 @@ def ddos(flows: DataFrame, requests_per_second: float = 1000, unique_sources: in
         .select("dst_ip", F.transform(
             "top", lambda e: F.struct(e["x"].alias("ip"), e["events"].alias("events"))).alias("top_sources"))
     )
-    return hits.join(top, "dst_ip").select(
+    return broadcast_if_small(hits).join(top, "dst_ip").select(
         from_micros("start").alias("ts"), "dst_ip",
         F.col("n").alias("total_events"), F.col("d").alias("unique_sources"),
         (F.col("n") / seconds).alias("requests_per_second"), seconds.alias("duration_seconds"),
@@ -145,7 +147,7 @@ def beaconing(flows: DataFrame, min_connections: int = 10, tolerance_percent: fl
         border = F.coalesce(square(F.col("start") - F.lag("end").over(chain)), F.lit(0.0))
         parts = parts.withColumn("off", F.col("off") + border)
     off = parts.groupBy(*pair).agg(F.sum("off").alias("off"))
-    stats = slow.join(off, pair).withColumn("std_interval", F.sqrt(F.col("off") / (F.col("n") - 1)))
+    stats = broadcast_if_small(slow).join(off, pair).withColumn("std_interval", F.sqrt(F.col("off") / (F.col("n") - 1)))
     return stats.withColumn("cv_percent", F.col("std_interval") / F.col("mean") * 100).where(
         F.col("cv_percent") <= tolerance_percent
     ).select(

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.durable import BROADCAST_BYTES, bytes_of, durable
+from tidewatch.durable import BROADCAST_BYTES, broadcast_if_small, by_key, bytes_of, durable
 from tidewatch.functions.clock import cell_of, micros, window_micros
 from tidewatch.operators.scan import chunked_if_large, running
 
@@ -106,7 +106,7 @@ def rows_of_cells(points: DataFrame, needed: DataFrame, on: list[str], most: int
     placed = needed.select(place.alias("_place"))
     words = durable(placed.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits")), "cell-bits")
     near = points.withColumn("_place", place).withColumn("_word", word).join(F.broadcast(words), "_word")
-    return near.where(F.getbit("_bits", bit) == 1).drop("_place", "_word", "_bits").join(needed, on)
+    return near.where(F.getbit("_bits", bit) == 1).drop("_place", "_word", "_bits").join(by_key(needed), on)
 
 
 def _row_steps(picked: DataFrame, keys: list[str], window_us: int) -> DataFrame:
@@ -200,12 +200,13 @@ def first_hits(
 
 
 def rows_in_window(hits: DataFrame, picked: DataFrame, keys: list[str], window_s: float) -> DataFrame:
-    """The rows of each hit's window (joined by time cell, so one busy key is split up)."""
+    """The rows of each (stored) hit's window (joined by time cell, so one busy key is split up)."""
     window_us = window_micros(window_s)
-    end = hits.select(*keys, F.col("t").alias("hit_t"), F.col("eid").alias("hit_eid"))
+    end = broadcast_if_small(hits).select(*keys, F.col("t").alias("hit_t"), F.col("eid").alias("hit_eid"))
     end = end.withColumn("_own", cell_of("hit_t", window_us))
     end = end.withColumn("cell", F.explode(F.array(F.col("_own"), F.col("_own") - 1))).drop("_own")
     inside = (F.col("t") >= F.col("hit_t") - window_us) & (
         F.struct("t", "eid") <= F.struct(F.col("hit_t").alias("t"), F.col("hit_eid").alias("eid"))
     )
-    return picked.join(end, [*keys, "cell"]).where(inside)
+    # The rows are the larger side and are never broadcast.
+    return by_key(picked).join(end, [*keys, "cell"]).where(inside)
