@@ -32,6 +32,23 @@ def test_new_words_reach_the_tokenizer_some_at_a_time(monkeypatch):
     assert max(sizes) < len(text) / 2
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet=" ab\n", max_size=12), st.sampled_from(["", " ", "a ", " a", "é a\xa0 b", "x <|endoftext|> y"])), max_size=8))
+def test_texts_encoded_together_give_each_its_own_ids(texts):
+    got = ENCODER.encode_all([t.encode() for t in texts])
+    assert [x.tolist() for x in got] == [ids_of(t) for t in texts]
+
+
+def test_words_of_some_steps_before_are_not_learned_again(monkeypatch):
+    encoder, sizes = tokens.PieceEncoder(tokenizer_path()), []
+    plain = encoder._plain
+    texts = [("x " + " ".join(f"{k}q{i:x}" for i in range(100_000))).encode() for k in range(4)]
+    first = [encoder.encode_all([t])[0].tobytes() for t in texts]
+    monkeypatch.setattr(encoder, "_plain", lambda text: sizes.append(len(text)) or plain(text))
+    assert [encoder.encode_all([t])[0].tobytes() for t in texts] == first
+    assert sum(sizes) < 100
+
+
 def test_special_token_strings_and_edges():
     for text in ("", " ", "a ", " a", "a  b", "x <|endoftext|> y", "don't  we'll", "\x1c a\x1c\x1c b", "a\n b", "a \nb"):
         assert ENCODER.encode(text) == np.asarray(ids_of(text), "<u4").tobytes()

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import steps
 
-# Words of a generation of a process's cache, and bytes of text that are encoded at once.
-CACHE_WORDS, STEP_BYTES = 150_000, 4 << 20
+# Words a process keeps from step to step (as Arrow arrays, some 30 bytes a word), and bytes of text that are encoded at once.
+CACHE_WORDS, STEP_BYTES = 1_000_000, 4 << 20
 # Words given to the tokenizer at once: what it builds for a text takes many times the text.
-LEARN_WORDS = 4096
+LEARN_WORDS = 256
 
 # Two neighbouring white-space characters (of any kind that Python or the tokenizer knows).
 TOUCHING = re.compile(r"\s\s")
@@ -44,9 +44,9 @@ class PieceEncoder:
 
     Where no two white-space characters touch, the tokenizer's own splitting always cuts in front of
     a space, so a text is the sequence of its space-led words. The distinct words of many texts are
-    encoded once, those met before not at all, and ids are put together by number. Other texts, and
-    texts that hold the string of a special token, are given to the tokenizer whole. Results equal
-    the tokenizer's own in every case.
+    encoded once, those met before not at all, and ids are put together by number; words and their
+    ids stay in Arrow arrays. Other texts, and texts that hold the string of a special token, are
+    given to the tokenizer whole. Results equal the tokenizer's own in every case.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,29 +59,45 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        # Words met lately, and those met before them; words that come again stay.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        # Space-led words met lately, their ids as bytes, and which were met since words were last forgotten.
+        self.words, self.ids, self.met = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
 
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds the ids of space-led words, those not known by a call of the tokenizer for some at a time."""
-        new = []
-        for word in words:
-            if word in self.old:
-                self.young[word] = self.old[word]
-            elif word:
-                new.append(word)
-            else:
-                self.young[word] = self._plain(" ")
-        for part in (new[i : i + LEARN_WORDS] for i in range(0, len(new), LEARN_WORDS)):
-            data = self._plain(" " + " ".join(part))
-            begins = [*np.flatnonzero(self.leads[np.frombuffer(data, "<u4")]).tolist(), len(data) // 4]
-            if len(begins) != len(part) + 1:
+    def _learn(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of space-led words, by a call of the tokenizer for some at a time."""
+        datas, starts, size = [], [], 0
+        for begin in range(0, len(words), LEARN_WORDS):
+            part = words.slice(begin, LEARN_WORDS)
+            joined = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")
+            data = self._plain(" " + joined[0].as_py())
+            begins = np.flatnonzero(self.leads[np.frombuffer(data, "<u4")])
+            if len(begins) != len(part) or begins[0]:
                 raise ValueError("the tokenizer does not start a piece at each space")
-            self.young.update((w, data[4 * i : 4 * j]) for w, i, j in zip(part, begins[:-1], begins[1:], strict=True))
+            datas.append(data)
+            starts.append(size + 4 * begins)
+            size += len(data)
+        offsets = np.concatenate([*starts, [size]]).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(datas))])
+
+    def _known(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of distinct space-led words; those not met lately are learned."""
+        if len(self.words) > CACHE_WORDS:
+            keep = pa.array(self.met)
+            self.words, self.ids, self.met = self.words.filter(keep), self.ids.filter(keep), np.zeros(self.met.sum(), bool)
+        # The hash table is made of the step's words, which are fewer.
+        found = pa.compute.fill_null(pa.compute.index_in(self.words, value_set=words), -1).to_numpy()
+        again, places = np.flatnonzero(found >= 0), np.full(len(words), -1)
+        places[found[again]] = again
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            places[new] = len(self.words) + np.arange(len(new))
+            fresh = words.take(pa.array(new))
+            self.words, self.ids = pa.concat_arrays([self.words, fresh]), pa.concat_arrays([self.ids, self._learn(fresh)])
+            self.met = np.concatenate((self.met, np.zeros(len(new), bool)))
+        self.met[places] = True
+        return self.ids.take(pa.array(places))
 
     def _whole(self, texts: list[bytes]) -> list[bool]:
         """Which texts the tokenizer has to see whole."""
@@ -98,37 +114,28 @@ class PieceEncoder:
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
         whole = self._whole(texts)
         lists = pa.compute.split_pattern(pa.array([t for t, w in zip(texts, whole, strict=True) if not w], pa.binary()).cast(pa.string()), " ")
-        offsets = lists.offsets.to_numpy()
+        begins = lists.offsets.to_numpy()[:-1]
         encoded = lists.flatten().dictionary_encode()
-        words, codes = encoded.dictionary.to_numpy(zero_copy_only=False).tolist(), encoded.indices.to_numpy()
-        # A text's first word has no space before it.
-        first = np.zeros(len(codes), bool)
-        first[offsets[:-1]] = True
-        met = np.zeros((2, len(words)), bool)
-        met[first.astype(np.int8), codes] = True
-        led, heads = np.flatnonzero(met[0]), np.flatnonzero(met[1])
-        known = [words[i] for i in led.tolist()]
-        found = list(map(self.young.get, known))
-        if None in found:
-            self._learn({w for w, ids in zip(known, found, strict=True) if ids is None})
-            found = list(map(self.young.__getitem__, known))
-        found += [self._plain(words[i]) for i in heads.tolist()]
-        table = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
-        place = np.zeros((2, len(words)), np.int64)
-        place[0, led] = np.arange(len(led))
-        place[1, heads] = len(led) + np.arange(len(heads))
-        slots = place[first.astype(np.int8), codes]
-        counts = sizes[slots]
-        ends = np.cumsum(counts)
-        places = np.repeat((np.cumsum(sizes) - sizes)[slots] - ends + counts, counts)
-        places += np.arange(len(places))
-        ids = table[places]
-        cuts = iter(np.split(ids, ends[offsets[1:-1] - 1])) if len(offsets) > 1 else iter(())
+        words, codes = encoded.dictionary, encoded.indices.to_numpy()
+        # A text's first word has no space before it, an empty last one is a space alone.
+        empty = pa.compute.index(words, "").as_py()
+        led = np.zeros(len(words) + 1, bool)
+        led[np.delete(codes, begins)] = True
+        led[empty] = False
+        led = np.flatnonzero(led)
+        heads, own = np.unique(codes[begins], return_inverse=True)
+        singles = [self._plain(" "), *(self._plain(words[i].as_py()) for i in heads.tolist())]
+        table = pa.concat_arrays([self._known(words.take(pa.array(led))), pa.array(singles, pa.large_binary())])
+        slots = np.full(len(words), len(led), np.int32)
+        slots[led] = np.arange(len(led))
+        slots = slots[codes]
+        slots[begins] = len(led) + 1 + own
+        joined = table.take(pa.array(slots))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1] // 4
+        ids = np.frombuffer(joined.buffers()[2] or b"", "<u4")
+        cuts = iter(np.split(ids[: ends[-1]], ends[begins[1:]])) if len(begins) else iter(())
         return [np.frombuffer(self._plain(t.decode()), "<u4") if w else next(cuts) for t, w in zip(texts, whole, strict=True)]
 
     def encode(self, text: str) -> bytes:
@@ -150,7 +157,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         lengths = np.array([len(x) + 1 for x in ids], np.int64)
         starts = start + np.concatenate(([0], np.cumsum(lengths)[:-1]))
         start += int(lengths.sum())
-        flat = np.concatenate([x for own in ids for x in (own, end)]).astype(np.int32)
+        flat = np.concatenate([x for own in ids for x in (own, end)]).view(np.int32)
         offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [rows.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], schema=_ARROW
