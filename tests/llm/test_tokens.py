@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -96,3 +97,38 @@ def test_forgotten_words_are_learned_again(monkeypatch, words):
     for k in range(3):
         text = " ".join(f"w{i * (k + 1)}" for i in range(words)) + " end"
         assert own.encode(text) == np.asarray(ids_of(text), "<u4").tobytes()
+
+
+def test_long_words_do_not_fill_the_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1 << 18, raising=False)
+    own, before = tokens.PieceEncoder(tokenizer_path()), pa.total_allocated_bytes()
+    for k in range(20):
+        text = "x " + " ".join(f"{k}q{i}" * 200 for i in range(64))
+        assert own.encode(text) == np.asarray(ids_of(text), "<u4").tobytes()
+    assert pa.total_allocated_bytes() - before < 1 << 19
+
+
+def test_a_step_does_not_copy_the_words_kept():
+    own = tokens.PieceEncoder(tokenizer_path())
+    for k in range(4):
+        own.encode("x " + " ".join(f"{k}q{i:x}" for i in range(100_000)))
+    usual, counted = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(counted)
+    try:
+        assert own.encode("x 1q5 new") == np.asarray(ids_of("x 1q5 new"), "<u4").tobytes()
+    finally:
+        pa.set_memory_pool(usual)
+    assert counted.max_memory() < 8 << 20
+
+
+def test_words_met_again_stay_when_many_others_come(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 500)
+    monkeypatch.setattr(tokens, "CACHE_ARRAYS", 3, raising=False)
+    own, learned = tokens.PieceEncoder(tokenizer_path()), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda words: learned.extend(words.to_pylist()) or learn(words))
+    for k in range(40):
+        text = "x often met " + " ".join(f"{k}q{i}" for i in range(100))
+        assert own.encode(text) == np.asarray(ids_of(text), "<u4").tobytes()
+        assert sum(map(len, own.words)) <= 500 + 102
+    assert learned.count("often") == learned.count("met") == 1

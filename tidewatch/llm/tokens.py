@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import steps
 
-# Words a process keeps from step to step (as Arrow arrays, some 30 bytes a word), and bytes of text that are encoded at once.
-CACHE_WORDS, STEP_BYTES = 1_000_000, 4 << 20
+# What a process keeps from step to step: words, bytes of them and their ids, Arrow arrays that hold them.
+CACHE_WORDS, CACHE_BYTES, CACHE_ARRAYS = 600_000, 32 << 20, 64
+# Bytes of text that are encoded at once; what is made of them takes many times as much.
+STEP_BYTES = 1 << 20
 # Words given to the tokenizer at once: what it builds for a text takes many times the text.
 LEARN_WORDS = 256
 
@@ -59,8 +61,8 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
         self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
-        # Space-led words met lately, their ids as bytes, and which were met since words were last forgotten.
-        self.words, self.ids, self.met = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
+        # Space-led words met lately, their ids as bytes, and which were met again since words were last forgotten.
+        self.words, self.ids, self.met = [pa.array([], pa.string())], [pa.array([], pa.large_binary())], np.zeros(0, bool)
 
     def _plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -82,22 +84,29 @@ class PieceEncoder:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(datas))])
 
     def _known(self, words: pa.StringArray) -> pa.LargeBinaryArray:
-        """The ids of distinct space-led words; those not met lately are learned."""
-        if len(self.words) > CACHE_WORDS:
-            keep = pa.array(self.met)
-            self.words, self.ids, self.met = self.words.filter(keep), self.ids.filter(keep), np.zeros(self.met.sum(), bool)
+        """The ids of distinct space-led words; those not kept are learned. When too much is kept, words not met again go."""
+        full = len(self.met) > CACHE_WORDS or sum(x.nbytes for x in (*self.words, *self.ids)) > CACHE_BYTES
+        if full or len(self.words) > CACHE_ARRAYS:
+            keep = pa.array(self.met if full else np.ones(len(self.met), bool))
+            self.words, self.ids = ([pa.chunked_array(x).filter(keep).combine_chunks()] for x in (self.words, self.ids))
+            self.met = np.zeros(len(self.words[0]), bool) if full else self.met
         # The hash table is made of the step's words, which are fewer.
-        found = pa.compute.fill_null(pa.compute.index_in(self.words, value_set=words), -1).to_numpy()
+        found = pa.compute.fill_null(pa.compute.index_in(pa.chunked_array(self.words), value_set=words), -1).to_numpy()
         again, places = np.flatnonzero(found >= 0), np.full(len(words), -1)
-        places[found[again]] = again
+        self.met[again] = True
+        places[found[again]] = np.arange(len(again))
+        begins = np.cumsum([0, *(len(x) for x in self.ids)])
+        hits = np.split(again, np.searchsorted(again, begins[1:-1]))
+        ids = [x.take(pa.array(hit - begin)) for x, hit, begin in zip(self.ids, hits, begins[:-1], strict=True)]
         new = np.flatnonzero(places < 0)
         if len(new):
-            places[new] = len(self.words) + np.arange(len(new))
-            fresh = words.take(pa.array(new))
-            self.words, self.ids = pa.concat_arrays([self.words, fresh]), pa.concat_arrays([self.ids, self._learn(fresh)])
+            places[new] = len(again) + np.arange(len(new))
+            # What a step learns is an array of its own: those of the steps before are not copied.
+            self.words.append(words.take(pa.array(new)))
+            self.ids.append(self._learn(self.words[-1]))
             self.met = np.concatenate((self.met, np.zeros(len(new), bool)))
-        self.met[places] = True
-        return self.ids.take(pa.array(places))
+            ids.append(self.ids[-1])
+        return pa.concat_arrays(ids).take(pa.array(places))
 
     def _whole(self, texts: list[bytes]) -> list[bool]:
         """Which texts the tokenizer has to see whole."""
